@@ -70,10 +70,11 @@ def _separable(half_life_days: float | None, span_days: float = 20_000) -> bool:
     return half_life_days is None or math.log(2) / half_life_days * span_days / 2 < 650
 
 
-def _bucket_history(totals, keys, names, decayed, n_back, lam_bucket, safe):
+def _bucket_history(totals, keys, names, decayed, n_back, lam_bucket, safe, firsts=()):
     """Decayed sums over the n_back - 1 (or all, n_back=None) buckets before each bucket row."""
     w = W.partitionBy(*keys).orderBy("_b")
     frame = w.rangeBetween(W.unboundedPreceding if n_back is None else -n_back, -1)
+    early = [F.min(f"_f_{n}").over(frame).alias(f"_cf_{n}") for n in firsts]
     if safe:
         # weights relative to bucket 0 of the epoch shifted to the year 2000
         grow = F.exp((F.col("_b") - F.col("_o")) * lam_bucket)
@@ -84,9 +85,9 @@ def _bucket_history(totals, keys, names, decayed, n_back, lam_bucket, safe):
                 cols.append((F.sum(x * grow).over(frame) / grow).alias(f"_c_{n}"))
             else:
                 cols.append(F.sum(x).over(frame).alias(f"_c_{n}"))
-        return totals.select(*keys, "_b", *cols)
+        return totals.select(*keys, "_b", *cols, *early)
     entry = F.struct(F.col("_b").alias("b"), *[F.col(f"_t_{n}").alias(n) for n in names])
-    listed = totals.withColumn("_h", F.collect_list(entry).over(frame))
+    listed = totals.select("*", F.collect_list(entry).over(frame).alias("_h"), *early)
 
     def fold(n):
         def step(acc, e):
@@ -95,7 +96,7 @@ def _bucket_history(totals, keys, names, decayed, n_back, lam_bucket, safe):
 
         return F.aggregate(F.col("_h"), F.lit(None).cast("double"), step).alias(f"_c_{n}")
 
-    return listed.select(*keys, "_b", *[fold(n) for n in names])
+    return listed.select(*keys, "_b", *[fold(n) for n in names], *[f"_cf_{n}" for n in firsts])
 
 
 def trailing_sums(
@@ -125,7 +126,10 @@ def trailing_sums(
     Sums over an empty window are null for decayed measures' caller to default;
     count measures should be coalesced by the caller.
     """
-    m = {n: (v if isinstance(v, tuple) else (v, True)) for n, v in measures.items()}
+    firsts = {n: v[1] for n, v in measures.items() if isinstance(v, tuple) and isinstance(v[0], str) and v[0] == "min"}
+    if firsts and isolation != "sequence":
+        raise ValueError("min measures need sequence isolation")
+    m = {n: (v if isinstance(v, tuple) else (v, True)) for n, v in measures.items() if n not in firsts}
     names = list(m)
     decayed = {n: bool(d) and half_life is not None for n, (_, d) in m.items()}
     lam_day = math.log(2) / half_life if half_life else 0.0
@@ -145,10 +149,19 @@ def trailing_sums(
     age = F.col("_t") / F.lit(float(DAY_US))
     grow = F.lit(1.0) if seq_mode else F.exp(age * lam_day)
     vals = {n: (col(e).cast("double") * grow if decayed[n] else col(e).cast("double")) for n, (e, _) in m.items()}
-    src = src.select(*df.columns, "_b", "_t", *[v.alias(f"_x_{n}") for n, v in vals.items()])
+    src = src.select(
+        *df.columns,
+        "_b",
+        "_t",
+        *[v.alias(f"_x_{n}") for n, v in vals.items()],
+        *[col(e).alias(f"_f_{n}") for n, e in firsts.items()],
+    )
 
     origin = F.lit(int(10_957 * DAY_US // bucket_us)).cast("long")
-    totals = src.groupBy(*keys, "_b").agg(*[F.sum(f"_x_{n}").alias(f"_t_{n}") for n in names])
+    totals = src.groupBy(*keys, "_b").agg(
+        *[F.sum(f"_x_{n}").alias(f"_t_{n}") for n in names],
+        *[F.min(f"_f_{n}").alias(f"_f_{n}") for n in firsts],
+    )
     safe = _separable(half_life)
     back = n_back
     if n_back is None and not safe:
@@ -161,7 +174,7 @@ def trailing_sums(
         hist = totals.select(*keys, "_b", *[F.lit(None).cast("double").alias(f"_c_{n}") for n in names])
     else:
         hist = _bucket_history(
-            totals.withColumn("_o", origin), keys, names, decayed, back, lam_bucket, safe
+            totals.withColumn("_o", origin), keys, names, decayed, back, lam_bucket, safe, list(firsts)
         )
 
     if seq_mode or n_back is None:
@@ -170,7 +183,11 @@ def trailing_sums(
         else:
             inside = W.partitionBy(*keys, "_b").orderBy("_t").rangeBetween(W.unboundedPreceding, -1)
         local = src.select(
-            *df.columns, "_b", "_t", *[F.sum(f"_x_{n}").over(inside).alias(f"_l_{n}") for n in names]
+            *df.columns,
+            "_b",
+            "_t",
+            *[F.sum(f"_x_{n}").over(inside).alias(f"_l_{n}") for n in names],
+            *[F.min(f"_f_{n}").over(inside).alias(f"_lf_{n}") for n in firsts],
         )
     else:
         # every row once more, n_back buckets later, as the lower edge of the window
@@ -214,6 +231,8 @@ def trailing_sums(
         a, b = F.col(f"l._l_{n}"), F.col(f"h._c_{n}")
         s = F.coalesce(a + b, a, b)
         out.append((s * fade if decayed[n] else s).alias(n))
+    for n in firsts:
+        out.append(_COMBINE["min"](F.col(f"l._lf_{n}"), F.col(f"h._cf_{n}")).alias(n))
     return joined.select(*[F.col(f"l.{c}") for c in df.columns], *out)
 
 
