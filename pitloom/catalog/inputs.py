@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitloom.functions.columns import day_number, micros
+from pitloom.functions.columns import micros
 
 ROLES = ["top", "jng", "mid", "bot", "sup"]
 SIDES = ["blue", "red"]
@@ -96,14 +96,47 @@ GAMES_SQL = (
 )
 
 
+_WHEN = (
+    "CAST(o_orderdate AS TIMESTAMP) AS date",
+    "unix_date(CAST(o_orderdate AS DATE)) AS day",
+    f"{SPARK_PATCH} AS patch",
+)
+
+
 def games(spark, sf_dir) -> DataFrame:
     """Wide match table: one row per order."""
-    o = table(spark, sf_dir, "orders")
-    return o.select(
-        F.col("o_orderdate").cast("timestamp").alias("date"),
-        day_number("o_orderdate").alias("day"),
-        F.expr(SPARK_PATCH).alias("patch"),
-        *[F.expr(v).alias(k) for k, v in GAME.items()],
+    return table(spark, sf_dir, "orders").selectExpr(
+        *_WHEN, *[f"{v} AS {k}" for k, v in GAME.items()]
+    )
+
+
+def _slot(blue: str, red: str) -> str:
+    return f"CASE WHEN s = 0 THEN {blue} ELSE {red} END"
+
+
+def player_rows(spark, sf_dir) -> DataFrame:
+    """The melted player rows, computed per slot instead of per wide column."""
+    o = table(spark, sf_dir, "orders").selectExpr(
+        *_WHEN, "o_orderkey", "o_totalprice", f"{GAME['league']} AS league", f"{GAME['result']} AS r",
+        f"{_V} AS v", f"{_BT} AS bt", f"{_RT} AS rt",
+    )
+    slots = o.selectExpr("*", "explode(sequence(0, 9)) AS slot").selectExpr("*", "slot % 5 AS p", "slot div 5 AS s")
+    slots = slots.selectExpr("*", f"{_slot('bt', 'rt')} AS t")
+    return slots.selectExpr(
+        "o_orderkey AS gameid",
+        "date",
+        "day",
+        "patch",
+        "league",
+        "CASE WHEN s = 0 THEN 'blue' ELSE 'red' END AS side",
+        "'T' || CAST(t AS STRING) AS team",
+        "element_at(array('top', 'jng', 'mid', 'bot', 'sup'), CAST(p + 1 AS INT)) AS position",
+        "'P' || CAST(t * 6 + CASE WHEN p = 0 AND o_orderkey % 6 = 0 THEN 5 ELSE p END AS STRING) AS player_id",
+        f"'C' || CAST((t * 7 + p * 9 + (o_orderkey % 4) * (p + 1)) % {N_CHAMPS} AS STRING) AS champion",
+        f"{_slot('r', '1 - r')} AS result",
+        "CAST((v + p * 7 + s) % 12 AS INT) AS kills",
+        "CAST((CAST(floor(o_totalprice / 3) AS BIGINT) + p * 5 + s) % 6 AS INT) AS deaths",
+        "CAST((CAST(floor(o_totalprice / 7) AS BIGINT) + p * 3 + s) % 15 AS INT) AS assists",
     )
 
 

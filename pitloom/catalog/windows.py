@@ -46,7 +46,7 @@ DAYS = "86400000000.0"
 
 
 def melted(spark, sf):
-    return rs.melt_players(I.games(spark, sf))
+    return I.player_rows(spark, sf)
 
 
 def team_rows(spark, sf):
@@ -530,7 +530,7 @@ def respect_latest(spark, sf):
     return stores.respect_store(mastery_rows(spark, sf))[1]
 
 
-_HOT_OUT = "v.idx AS hot_champion_id, round(wr, 4) AS hot_win_rate, round(kda, 4) AS hot_avg_kda, g AS hot_games"
+_HOT_OUT = "v.idx AS hot_champion_id, round(wr, 8) AS hot_win_rate, round(kda, 8) AS hot_avg_kda, g AS hot_games"
 _HOT_AGG = "CAST(sum(h.result) AS DOUBLE) / count(*) AS wr, round(sum((h.kills + h.assists) / greatest(h.deaths, 1)) / count(*), 9) AS kda, count(*) AS g"
 
 
@@ -547,14 +547,15 @@ _HOT_AGG = "CAST(sum(h.result) AS DOUBLE) / count(*) AS wr, round(sum((h.kills +
     ),
 )
 def hot_streak_store(spark, sf):
-    return stores.hot_streak_store(melted(spark, sf), I.vocab(spark, sf))[0]
+    h = stores.hot_streak_store(melted(spark, sf), I.vocab(spark, sf))[0]
+    return h.withColumns({c: r(c, 8) for c in ("hot_win_rate", "hot_avg_kda")})
 
 
 @query(
     "hot_streak_latest",
     with_inputs(
-        f"SELECT player_id, {_HOT_OUT}, round(0.5 * round(wr, 4) + 0.3 * least(round(kda, 4), 10.0) / 10 + 0.2 * least(g, 10) / 10, 6) AS hot_score, "
-        "round(0.5 * round(wr, 4) + 0.3 * least(round(kda, 4), 10.0) / 10, 6) AS hot_score_ban FROM ("
+        f"SELECT player_id, {_HOT_OUT}, round(0.5 * wr + 0.3 * least(kda, 10.0) / 10 + 0.2 * least(g, 10) / 10, 6) AS hot_score, "
+        "round(0.5 * wr + 0.3 * least(kda, 10.0) / 10, 6) AS hot_score_ban FROM ("
         "SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY wr DESC, kda DESC, f) AS rn FROM ("
         f"SELECT h.player_id, h.champion, {_HOT_AGG}, min(h.day * 1000000000 + h.gameid) AS f FROM player_rows h GROUP BY 1, 2 HAVING count(*) >= 2)) x "
         "JOIN vocab v ON v.champion = x.champion WHERE rn = 1",
@@ -566,7 +567,11 @@ def hot_streak_latest(spark, sf):
     h = stores.hot_streak_store(melted(spark, sf), I.vocab(spark, sf))[1]
     args = ("hot_win_rate", "hot_avg_kda", "hot_games")
     return h.select(
-        "*", r(stores.hot_score(*args)).alias("hot_score"), r(stores.hot_score(*args, use_games=False)).alias("hot_score_ban")
+        "player_id",
+        "hot_champion_id",
+        *[r(c, 8).alias(c) for c in ("hot_win_rate", "hot_avg_kda")],
+        "hot_games",
+        r(stores.hot_score(*args)).alias("hot_score"), r(stores.hot_score(*args, use_games=False)).alias("hot_score_ban")
     )
 
 

@@ -10,6 +10,7 @@ per-entity scan sees at most one row per bucket.
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -65,38 +66,30 @@ def prior_scan(
     return joined.select(*df.columns, *out)
 
 
-def _separable(half_life_days: float | None, span_days: float = 20_000) -> bool:
-    """May one global origin be used for exp(lambda * day)? (double range, 20 000 days around 2000)"""
-    return half_life_days is None or math.log(2) / half_life_days * span_days / 2 < 650
-
-
-def _bucket_history(totals, keys, names, decayed, n_back, lam_bucket, safe, firsts=()):
-    """Decayed sums over the n_back - 1 (or all, n_back=None) buckets before each bucket row."""
-    w = W.partitionBy(*keys).orderBy("_b")
-    frame = w.rangeBetween(W.unboundedPreceding if n_back is None else -n_back, -1)
-    early = [F.min(f"_f_{n}").over(frame).alias(f"_cf_{n}") for n in firsts]
-    if safe:
-        # weights relative to bucket 0 of the epoch shifted to the year 2000
-        grow = F.exp((F.col("_b") - F.col("_o")) * lam_bucket)
-        cols = []
-        for n in names:
-            x = F.col(f"_t_{n}")
-            if decayed[n]:
-                cols.append((F.sum(x * grow).over(frame) / grow).alias(f"_c_{n}"))
-            else:
-                cols.append(F.sum(x).over(frame).alias(f"_c_{n}"))
-        return totals.select(*keys, "_b", *cols, *early)
-    entry = F.struct(F.col("_b").alias("b"), *[F.col(f"_t_{n}").alias(n) for n in names])
-    listed = totals.select("*", F.collect_list(entry).over(frame).alias("_h"), *early)
-
-    def fold(n):
-        def step(acc, e):
-            w_ = F.exp((e["b"] - F.col("_b")) * lam_bucket) if decayed[n] else F.lit(1.0)
-            return F.coalesce(acc + e[n] * w_, e[n] * w_, acc)
+class Measure(NamedTuple):
+    """One trailing sum (or, under sequence isolation, minimum) of a column."""
+
+    expr: Column
+    half_life: float | None = None
+    window: float | None = None
+    fn: str = "sum"
+
+
+def _separable(half_life: float | None, span_days: float = 20_000) -> bool:
+    """May one global origin be used for exp(lambda * day)? (double range, 10 000 days around 2000)"""
+    return half_life is None or math.log(2) / half_life * span_days / 2 < 650
 
-        return F.aggregate(F.col("_h"), F.lit(None).cast("double"), step).alias(f"_c_{n}")
 
-    return listed.select(*keys, "_b", *[fold(n) for n in names], *[f"_cf_{n}" for n in firsts])
+def _measures(measures, window_days, half_life) -> dict[str, Measure]:
+    out = {}
+    for n, v in measures.items():
+        if isinstance(v, Measure):
+            out[n] = v
+        elif isinstance(v, tuple):
+            out[n] = Measure(col(v[0]), half_life if v[1] else None, window_days)
+        else:
+            out[n] = Measure(col(v), half_life, window_days)
+    return out
 
 
 def trailing_sums(
@@ -111,11 +104,13 @@ def trailing_sums(
     bucket_us: int = DAY_US,
     lower: str = "inclusive",
 ) -> DataFrame:
-    """Sums over the earlier rows of the same key inside a trailing window.
+    """Sums over the earlier rows of the same key inside trailing windows.
 
-    measures: name -> column, or name -> (column, decayed?). A null value adds
-    nothing, so rows that are only looked up carry null measures. A decayed
-    measure is weighted with 2^(-age in days / half_life).
+    measures: name -> Measure, or a column (with the call's window and half
+    life), or (column, decayed?). A null value adds nothing, so rows that are
+    only looked up carry null measures. A decayed measure is weighted with
+    2^(-age in days / half_life). A window of None reaches back without limit.
+    Measures with different windows share the same two shuffles.
 
     isolation="strict_time": rows with t' < t and t' >= t - window; equal
     timestamps never see each other; ages are fractional days.
@@ -123,116 +118,120 @@ def trailing_sums(
     earlier row of the same day has age 0 and the window is [day - W, day]
     (`lower="exclusive"`: day - W itself is out).
 
-    Sums over an empty window are null for decayed measures' caller to default;
-    count measures should be coalesced by the caller.
+    A sum over no rows is null.
     """
-    firsts = {n: v[1] for n, v in measures.items() if isinstance(v, tuple) and isinstance(v[0], str) and v[0] == "min"}
-    if firsts and isolation != "sequence":
-        raise ValueError("min measures need sequence isolation")
-    m = {n: (v if isinstance(v, tuple) else (v, True)) for n, v in measures.items() if n not in firsts}
-    names = list(m)
-    decayed = {n: bool(d) and half_life is not None for n, (_, d) in m.items()}
-    lam_day = math.log(2) / half_life if half_life else 0.0
+    m = _measures(measures, window_days, half_life)
     seq_mode = isolation == "sequence"
     if seq_mode:
         bucket_us = DAY_US
-    lam_bucket = lam_day * bucket_us / DAY_US
-    n_back = None
-    if window_days is not None:
-        n_back = round(window_days * DAY_US / bucket_us)
-        if abs(n_back * bucket_us - window_days * DAY_US) > 1:
+    elif any(x.fn != "sum" for x in m.values()):
+        raise ValueError("minimum measures need sequence isolation")
+    per_day = DAY_US / bucket_us
+
+    def rate(x: Measure) -> float:
+        return math.log(2) / x.half_life if x.half_life else 0.0
+
+    def buckets_back(x: Measure) -> int | None:
+        if x.window is None:
+            return None
+        n = round(x.window * per_day)
+        if abs(n * bucket_us - x.window * DAY_US) > 1:
             raise ValueError("the window must be a whole number of buckets")
+        return n
 
-    t = F.col("_t")
-    src = df.withColumn("_t", micros(ts)).withColumn("_b", F.floor(t / F.lit(bucket_us)).cast("long"))
-    src = src.withColumn("_t", t - F.col("_b") * bucket_us)
+    nb = {n: buckets_back(x) for n, x in m.items()}
+    us = micros(ts)
+    src = df.withColumn("_b", F.floor(us / F.lit(bucket_us)).cast("long"))
+    src = src.withColumn("_t", us - F.col("_b") * bucket_us)
     age = F.col("_t") / F.lit(float(DAY_US))
-    grow = F.lit(1.0) if seq_mode else F.exp(age * lam_day)
-    vals = {n: (col(e).cast("double") * grow if decayed[n] else col(e).cast("double")) for n, (e, _) in m.items()}
-    src = src.select(
-        *df.columns,
-        "_b",
-        "_t",
-        *[v.alias(f"_x_{n}") for n, v in vals.items()],
-        *[col(e).alias(f"_f_{n}") for n, e in firsts.items()],
-    )
 
+    def value(x: Measure) -> Column:
+        if x.fn != "sum":
+            return x.expr
+        v = x.expr.cast("double")
+        return v if seq_mode or not x.half_life else v * F.exp(age * rate(x))
+
+    src = src.select(*df.columns, "_b", "_t", *[value(x).alias(f"_x_{n}") for n, x in m.items()])
+    agg = {"sum": F.sum, "min": F.min}
+
+    # between the cells: one row per (key, bucket)
+    totals = src.groupBy(*keys, "_b").agg(*[agg[x.fn](f"_x_{n}").alias(f"_t_{n}") for n, x in m.items()])
+    cells = W.partitionBy(*keys).orderBy("_b")
     origin = F.lit(int(10_957 * DAY_US // bucket_us)).cast("long")
-    totals = src.groupBy(*keys, "_b").agg(
-        *[F.sum(f"_x_{n}").alias(f"_t_{n}") for n in names],
-        *[F.min(f"_f_{n}").alias(f"_f_{n}") for n in firsts],
+    listed: dict[int, list[str]] = {}
+    carry = []
+    for n, x in m.items():
+        lam = rate(x) / per_day
+        back = nb[n]
+        if back is None and not _separable(x.half_life):
+            back = math.ceil(1075 * x.half_life * per_day)  # weights further back are exactly 0
+        elif back is not None and (not seq_mode or lower == "exclusive"):
+            back -= 1  # the oldest bucket is only partly inside, or out
+        if back is not None and back < 1:
+            carry.append(F.lit(None).cast(src.schema[f"_x_{n}"].dataType).alias(f"_c_{n}"))
+            continue
+        frame = cells.rangeBetween(W.unboundedPreceding if back is None else -back, -1)
+        if not x.half_life or x.fn != "sum":
+            carry.append(agg[x.fn](f"_t_{n}").over(frame).alias(f"_c_{n}"))
+        elif _separable(x.half_life):
+            grow = F.exp((F.col("_b") - origin) * lam)
+            carry.append((F.sum(F.col(f"_t_{n}") * grow).over(frame) / grow).alias(f"_c_{n}"))
+        else:
+            listed.setdefault(back, []).append(n)
+    lists = []
+    for back, names in listed.items():
+        entry = F.struct(F.col("_b").alias("b"), *[F.col(f"_t_{n}").alias(n) for n in names])
+        lists.append(F.collect_list(entry).over(cells.rangeBetween(-back, -1)).alias(f"_h{back}"))
+    hist = totals.select(*keys, "_b", *carry, *lists)
+
+    def fold(back, n):
+        lam = rate(m[n]) / per_day
+
+        def step(acc, e):
+            v = e[n] * F.exp((e["b"] - F.col("_b")) * lam)
+            return F.coalesce(acc + v, v, acc)
+
+        return F.aggregate(F.col(f"_h{back}"), F.lit(None).cast("double"), step).alias(f"_c_{n}")
+
+    hist = hist.select(
+        *[c for c in hist.columns if not c.startswith("_h")], *[fold(b, n) for b, ns in listed.items() for n in ns]
     )
-    safe = _separable(half_life)
-    back = n_back
-    if n_back is None and not safe:
-        # weights below the smallest double are exactly 0 further back than this
-        back = math.ceil(1075 * half_life * DAY_US / bucket_us)
-    # strict_time: buckets b-n+1 .. b-1 are whole; sequence: b-n (inclusive) .. b-1
-    if back is not None and (not seq_mode or lower == "exclusive"):
-        back = back - 1
-    if back is not None and back < 1:
-        hist = totals.select(*keys, "_b", *[F.lit(None).cast("double").alias(f"_c_{n}") for n in names])
-    else:
-        hist = _bucket_history(
-            totals.withColumn("_o", origin), keys, names, decayed, back, lam_bucket, safe, list(firsts)
-        )
 
-    if seq_mode or n_back is None:
-        if seq_mode:
-            inside = W.partitionBy(*keys, "_b").orderBy(*(seq or ["_t"])).rowsBetween(W.unboundedPreceding, -1)
-        else:
-            inside = W.partitionBy(*keys, "_b").orderBy("_t").rangeBetween(W.unboundedPreceding, -1)
+    # inside the cells
+    cell = W.partitionBy(*keys, "_b")
+    edges = sorted({x for x in nb.values() if x is not None})
+    if seq_mode:
+        inside = cell.orderBy(*(seq or ["_t"])).rowsBetween(W.unboundedPreceding, -1)
         local = src.select(
-            *df.columns,
-            "_b",
-            "_t",
-            *[F.sum(f"_x_{n}").over(inside).alias(f"_l_{n}") for n in names],
-            *[F.min(f"_f_{n}").over(inside).alias(f"_lf_{n}") for n in firsts],
+            *df.columns, "_b", "_t", *[agg[x.fn](f"_x_{n}").over(inside).alias(f"_l_{n}") for n, x in m.items()]
         )
     else:
-        # every row once more, n_back buckets later, as the lower edge of the window
-        zero = F.lit(None).cast("double")
-        shrink = math.exp(-lam_bucket * n_back)
-        live = src.select("*", F.lit(True).alias("_live"), *[zero.alias(f"_y_{n}") for n in names])
-        gone = src.select(
-            *[c for c in df.columns],
-            (F.col("_b") + n_back).alias("_b"),
-            "_t",
-            *[zero.alias(f"_x_{n}") for n in names],
-            F.lit(False).alias("_live"),
-            *[
-                (F.col(f"_x_{n}") * (shrink if decayed[n] else 1.0)).alias(f"_y_{n}")
-                for n in names
-            ],
-        )
-        up = W.partitionBy(*keys, "_b").orderBy("_t").rangeBetween(W.unboundedPreceding, -1)
-        down = W.partitionBy(*keys, "_b").orderBy(F.col("_t").desc()).rangeBetween(W.unboundedPreceding, 0)
-        both = live.unionByName(gone)
-        local = both.select(
-            *df.columns,
-            "_b",
-            "_t",
-            "_live",
-            *[
-                F.coalesce(
-                    F.sum(f"_x_{n}").over(up) + F.sum(f"_y_{n}").over(down),
-                    F.sum(f"_x_{n}").over(up),
-                    F.sum(f"_y_{n}").over(down),
-                ).alias(f"_l_{n}")
-                for n in names
-            ],
-        ).filter("_live")
+        # a row comes once as itself (_e = 0) and once per window length as the
+        # lower edge, shifted to the bucket where it is about to leave
+        rows = src.withColumn("_e", F.explode(F.array(*[F.lit(e) for e in (0, *edges)])))
+        rows = rows.withColumn("_b", F.col("_b") + F.col("_e"))
+        up = cell.orderBy("_t").rangeBetween(W.unboundedPreceding, -1)
+        down = cell.orderBy(F.col("_t").desc()).rangeBetween(W.unboundedPreceding, 0)
+
+        def both(n):
+            live = F.sum(F.when(F.col("_e") == 0, F.col(f"_x_{n}"))).over(up)
+            if nb[n] is None:
+                return live
+            leaving = F.sum(F.when(F.col("_e") == nb[n], F.col(f"_x_{n}"))).over(down)
+            leaving = leaving * math.exp(-rate(m[n]) / per_day * nb[n])
+            return F.coalesce(live + leaving, live, leaving)
+
+        local = rows.select(*df.columns, "_b", "_t", "_e", *[both(n).alias(f"_l_{n}") for n in m]).filter("_e = 0")
 
     cond = [F.col(f"l.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys] + [F.col("l._b") == F.col("h._b")]
     joined = local.alias("l").join(hist.alias("h"), cond, "left")
-    fade = F.lit(1.0) if seq_mode else F.exp(F.col("l._t") / F.lit(float(DAY_US)) * (-lam_day))
     out = []
-    for n in names:
+    for n, x in m.items():
         a, b = F.col(f"l._l_{n}"), F.col(f"h._c_{n}")
-        s = F.coalesce(a + b, a, b)
-        out.append((s * fade if decayed[n] else s).alias(n))
-    for n in firsts:
-        out.append(_COMBINE["min"](F.col(f"l._lf_{n}"), F.col(f"h._cf_{n}")).alias(n))
+        s = _COMBINE[x.fn](a, b)
+        if x.half_life and not seq_mode:
+            s = s * F.exp(F.col("l._t") / F.lit(float(DAY_US)) * (-rate(x)))
+        out.append(s.alias(n))
     return joined.select(*[F.col(f"l.{c}") for c in df.columns], *out)
 
 
@@ -268,6 +267,7 @@ def last_n(df, keys, bucket, order, value, n, out="last", time=None, strict=True
     """
     t = col(time if time is not None else order[0])
     src = df.withColumn("_b", bucket).withColumn("_e", F.struct(t.alias("t"), col(value).alias("v")))
+    # work columns must not meet columns of the caller
     cell = W.partitionBy(*keys, "_b").orderBy(*order)
     newest = W.partitionBy(*keys, "_b").orderBy(*[col(o).desc() for o in order])
     tail = (
@@ -289,40 +289,66 @@ def last_n(df, keys, bucket, order, value, n, out="last", time=None, strict=True
     on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_b") == F.col("_kb")]
     joined = local.join(carry, on, "left")
     whole = F.concat(F.coalesce(F.col("_carry"), F.array().cast(tail.schema["_tail"].dataType)), F.col("_loc"))
-    size = F.size("_w")
-    return joined.withColumn("_w", whole).select(
+    size = F.size("_all_n")
+    return joined.withColumn("_all_n", whole).select(
         *df.columns,
-        F.when(size > n, F.slice("_w", size - n + 1, n)).otherwise(F.col("_w")).alias(out),
+        F.when(size > n, F.slice("_all_n", size - n + 1, n)).otherwise(F.col("_all_n")).alias(out),
     )
 
 
 def last_n_rate(df, keys, ts, order, x, n, window_days, bucket=None, out="rate", strict=True):
-    """Mean of the newest n values inside the trailing window (fewer if fewer exist)."""
+    """Mean of the newest n values inside the trailing window (fewer if fewer exist).
+
+    `n` may be a list of lengths, answered from one scan as {out}_{n}.
+    """
+    lengths = [n] if isinstance(n, int) else sorted(n)
+    names = [out] if isinstance(n, int) else [f"{out}_{k}" for k in lengths]
     t = micros(ts)
     b = bucket if bucket is not None else F.floor(t / F.lit(DAY_US))
     src = df.withColumn("_us", t)
-    full = last_n(src, keys, b, order, x, n, "_ln", time="_us", strict=strict)
+    full = last_n(src, keys, b, order, x, lengths[-1], "_ln", time="_us", strict=strict)
     inside = F.filter("_ln", lambda e: e["t"] >= F.col("_us") - int(window_days * DAY_US))
-    total = F.aggregate(inside, F.lit(0.0), lambda a, e: a + e["v"].cast("double"))
-    return full.select(*df.columns, F.when(F.size(inside) > 0, total / F.size(inside)).alias(out))
+    full = full.withColumn("_in", inside)
+
+    def mean(k):
+        newest = F.slice("_in", F.greatest(F.size("_in") - k + 1, F.lit(1)), k)
+        total = F.aggregate(newest, F.lit(0.0), lambda a, e: a + e["v"].cast("double"))
+        return F.when(F.size(newest) > 0, F.try_divide(total, F.size(newest)))
+
+    return full.select(*df.columns, *[mean(k).alias(name) for k, name in zip(lengths, names)])
 
 
 def streak(df, keys, bucket, order, result, out="streak"):
     """Signed run length of the newest result before each row, over all history.
 
     The run is the distance between the row's index and the newest row with the
-    other result, which needs only running maxima of row indexes.
+    other result. Inside a cell that needs running maxima of local indexes;
+    between the cells the offset of the cell and the newest index seen so far.
     """
-    src = df.withColumn("_one", F.lit(1))
-    idx = prior_scan(src, keys, bucket, order, {"_i": ("count", F.col("_one"))})
-    win = F.when(col(result) == 1, F.col("_i"))
-    loss = F.when(col(result) != 1, F.col("_i"))
-    seen = prior_scan(idx, keys, bucket, order, {"_lw": ("max", win), "_ll": ("max", loss)})
-    lw, ll = F.coalesce(F.col("_lw"), F.lit(-1)), F.coalesce(F.col("_ll"), F.lit(-1))
-    return seen.select(
-        *df.columns,
-        F.when(F.col("_i") == 0, F.lit(0)).when(lw > ll, lw - ll).otherwise(lw - ll).cast("long").alias(out),
+    src = df.withColumn("_b", bucket).withColumn("_r", col(result))
+    cell = W.partitionBy(*keys, "_b").orderBy(*order)
+    prior = cell.rowsBetween(W.unboundedPreceding, -1)
+    local = src.withColumn("_i", F.row_number().over(cell) - 1)
+    win, loss = F.when(F.col("_r") == 1, F.col("_i")), F.when(F.col("_r") != 1, F.col("_i"))
+    local = local.withColumns({"_lw": F.max(win).over(prior), "_ll": F.max(loss).over(prior)})
+    cells = local.groupBy(*keys, "_b").agg(
+        F.count("*").alias("_n"), F.max(win).alias("_w"), F.max(loss).alias("_l")
     )
+    before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    cells = cells.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    carry = cells.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+        F.col("_b").alias("_kb"),
+        "_off",
+        F.max(F.col("_off") + F.col("_w")).over(before).alias("_cw"),
+        F.max(F.col("_off") + F.col("_l")).over(before).alias("_cl"),
+    )
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_b") == F.col("_kb")]
+    seen = local.join(carry, on, "left")
+    lw = F.coalesce(F.col("_off") + F.col("_lw"), F.col("_cw"), F.lit(-1))
+    ll = F.coalesce(F.col("_off") + F.col("_ll"), F.col("_cl"), F.lit(-1))
+    first = F.col("_off") + F.col("_i") == 0
+    return seen.select(*df.columns, F.when(first, F.lit(0)).otherwise(lw - ll).cast("long").alias(out))
 
 
 def conditional_rate(num, den, min_n):
