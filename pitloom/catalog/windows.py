@@ -530,8 +530,8 @@ def respect_latest(spark, sf):
     return stores.respect_store(mastery_rows(spark, sf))[1]
 
 
-_HOT_OUT = "v.idx AS hot_champion_id, round(wr, 8) AS hot_win_rate, round(kda, 8) AS hot_avg_kda, g AS hot_games"
-_HOT_AGG = "CAST(sum(h.result) AS DOUBLE) / count(*) AS wr, round(sum((h.kills + h.assists) / greatest(h.deaths, 1)) / count(*), 9) AS kda, count(*) AS g"
+_HOT_OUT = "v.idx AS hot_champion_id, round(wr, 6) AS hot_win_rate, round(ak + 1e-9, 6) AS hot_avg_kda, g AS hot_games"
+_HOT_AGG = "CAST(sum(h.result) AS DOUBLE) / count(*) AS wr, round(sum((h.kills + h.assists) / greatest(h.deaths, 1)) / count(*), 9) AS kda, sum((h.kills + h.assists) / greatest(h.deaths, 1)) / count(*) AS ak, count(*) AS g"
 
 
 @query(
@@ -548,14 +548,14 @@ _HOT_AGG = "CAST(sum(h.result) AS DOUBLE) / count(*) AS wr, round(sum((h.kills +
 )
 def hot_streak_store(spark, sf):
     h = stores.hot_streak_store(melted(spark, sf), I.vocab(spark, sf))[0]
-    return h.withColumns({c: r(c, 8) for c in ("hot_win_rate", "hot_avg_kda")})
+    return h.withColumns({"hot_win_rate": r("hot_win_rate"), "hot_avg_kda": r(F.col("hot_avg_kda") + 1e-9)})
 
 
 @query(
     "hot_streak_latest",
     with_inputs(
-        f"SELECT player_id, {_HOT_OUT}, round(0.5 * wr + 0.3 * least(kda, 10.0) / 10 + 0.2 * least(g, 10) / 10, 6) AS hot_score, "
-        "round(0.5 * wr + 0.3 * least(kda, 10.0) / 10, 6) AS hot_score_ban FROM ("
+        f"SELECT player_id, {_HOT_OUT}, round(0.5 * wr + 0.3 * least(ak, 10.0) / 10 + 0.2 * least(g, 10) / 10 + 1e-9, 6) AS hot_score, "
+        "round(0.5 * wr + 0.3 * least(ak, 10.0) / 10 + 1e-9, 6) AS hot_score_ban FROM ("
         "SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY wr DESC, kda DESC, f) AS rn FROM ("
         f"SELECT h.player_id, h.champion, {_HOT_AGG}, min(h.day * 1000000000 + h.gameid) AS f FROM player_rows h GROUP BY 1, 2 HAVING count(*) >= 2)) x "
         "JOIN vocab v ON v.champion = x.champion WHERE rn = 1",
@@ -569,9 +569,11 @@ def hot_streak_latest(spark, sf):
     return h.select(
         "player_id",
         "hot_champion_id",
-        *[r(c, 8).alias(c) for c in ("hot_win_rate", "hot_avg_kda")],
+        r("hot_win_rate").alias("hot_win_rate"),
+        r(F.col("hot_avg_kda") + 1e-9).alias("hot_avg_kda"),
         "hot_games",
-        r(stores.hot_score(*args)).alias("hot_score"), r(stores.hot_score(*args, use_games=False)).alias("hot_score_ban")
+        r(stores.hot_score(*args) + 1e-9).alias("hot_score"),
+        r(stores.hot_score(*args, use_games=False) + 1e-9).alias("hot_score_ban"),
     )
 
 

@@ -199,13 +199,71 @@ def valid_pairs(df: DataFrame, a="champion", b="opponent_name", games="games", r
 
 
 def resolve_names(df: DataFrame, name: str, known: DataFrame, alias: DataFrame, out: str = "resolved") -> DataFrame:
-    """Exact match, else alias table, else a known name that contains the name or is contained in it.
+    """Exact match, else alias table, else a known name that contains the name or lies inside it.
 
-    known: (team), alias: (alias, team). Only names that the first two steps
-    leave open reach the containment test. It runs once per distinct name
-    against the known names, folded into one array per first... 
+    known: (team); alias: (alias, team). The containment test ignores case. It
+    runs once per distinct open name, against the known names held as one
+    array (a dimension of team names); the shortest, then first name wins.
     """
-    raise NotImplementedError
+    raw = df.select(F.col(name).alias("_n")).distinct()
+    exact = known.select(F.col("team").alias("_n"), F.col("team").alias("_exact")).distinct()
+    named = alias.groupBy(F.lower(F.trim("alias")).alias("_k")).agg(F.min("team").alias("_alias"))
+    names = raw.join(exact, "_n", "left").withColumn("_k", F.lower(F.trim("_n"))).join(named, "_k", "left")
+    every = known.agg(F.array_sort(F.collect_set(F.struct(F.length("team").alias("l"), F.col("team").alias("t")))).alias("a"))
+    hits = F.filter(
+        F.col("_every"),
+        lambda e: F.contains(F.lower(e["t"]), F.col("_k")) | F.contains(F.col("_k"), F.lower(e["t"])),
+    )
+    open_ = F.col("_exact").isNull() & F.col("_alias").isNull() & (F.col("_k") != "")
+    found = names.withColumn("_every", every.scalar()).select(
+        "_n", F.coalesce("_exact", "_alias", F.when(open_, F.get(hits, F.lit(0))["t"])).alias(out)
+    )
+    return df.join(found, F.col(name).eqNullSafe(F.col("_n")), "left").drop("_n")
+
+
+def resolve_prefix(df: DataFrame, text: str, lookup: DataFrame, out: str = "idx") -> DataFrame:
+    """Exact lower-case match, else the single entry that starts with the text.
+
+    lookup: (name, idx). All prefixes of the lookup names are listed once and
+    kept where only one entry has them, so both steps are plain equi joins.
+    """
+    key = F.lower(F.trim(text))
+    names = lookup.select(F.lower(F.trim("name")).alias("name"), "idx").distinct()
+    exact = names.groupBy("name").agg(F.min("idx").alias("_exact"))
+    lens = F.sequence(F.lit(1), F.length("name"))
+    prefixes = names.filter(F.length("name") > 0).select(F.explode(lens).alias("_l"), "name", "idx")
+    single = (
+        prefixes.groupBy(F.expr("substring(name, 1, _l)").alias("_p"))
+        .agg(F.count_distinct("idx").alias("_c"), F.min("idx").alias("_prefix"))
+        .filter("_c = 1")
+    )
+    out_df = df.withColumn("_k", key).join(exact, F.col("_k") == F.col("name"), "left").drop("name")
+    out_df = out_df.join(single.drop("_c"), F.col("_k") == F.col("_p"), "left")
+    return out_df.withColumn(out, F.coalesce("_exact", "_prefix")).drop("_k", "_exact", "_prefix", "_p")
+
+
+def validate_requests(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """Array of the messages of all broken rules (message -> condition that must not hold)."""
+    found = F.array(*[F.when(cond, F.lit(msg)) for msg, cond in rules.items()])
+    return df.withColumn("violations", F.filter(found, lambda m: m.isNotNull()))
+
+
+def recommendation_rules(max_step: int = 20) -> dict[str, Column]:
+    """Rules for a draft recommendation request (see FIXTURES 7)."""
+    step, seq = F.col("completed_steps"), F.col("bp_seq_ids")
+    rules = {
+        "step_missing": step.isNull(),
+        "step_range": (step < 0) | (step >= max_step),
+        "sequence_length": F.size(seq) != step,
+        "team_missing": (F.coalesce(F.trim("blue_team"), F.lit("")) == "") | (F.coalesce(F.trim("red_team"), F.lit("")) == ""),
+        "game_num_range": ~F.col("game_num").between(1, 5),
+    }
+    for s in SIDES:
+        pids = F.col(f"{s}_pids")
+        unknown = F.filter(pids, lambda p: F.lower(F.trim(p)).isin("unknown", ""))
+        rules[f"{s}_players_length"] = F.size(pids) != 5
+        rules[f"{s}_unknown_players"] = F.size(unknown) > 2
+    return rules
 
 
 def normalise_player_id(c) -> Column:
@@ -218,3 +276,26 @@ def unroll_prefix(seq: str, step: str, length: int = 20) -> Column:
     """First `step` entries of a sequence, padded with 0 to `length`."""
     head = F.slice(F.col(seq), F.lit(1), F.col(step))
     return F.concat(head, F.array_repeat(F.lit(0).cast("long"), F.lit(length) - F.col(step)))
+
+
+def union_all(*frames: DataFrame) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
+def union_distinct(*frames: DataFrame) -> DataFrame:
+    return union_all(*frames).distinct()
+
+
+def top_n(df: DataFrame, by: str, n: int, largest: bool = True, keep: str = "first", tie: list[str] = ()) -> DataFrame:
+    """The n largest (smallest) rows; keep="all" also keeps the rows level with the n-th.
+
+    The n-th value comes from a distributed top-n, so no task sorts the table.
+    """
+    order = F.col(by).desc() if largest else F.col(by).asc()
+    if keep == "first":
+        return df.orderBy(order, *tie).limit(n)
+    edge = df.select(by).orderBy(order).limit(n).agg((F.min(by) if largest else F.max(by)).alias("_edge")).scalar()
+    return df.filter(F.col(by) >= edge if largest else F.col(by) <= edge)
