@@ -154,7 +154,7 @@ def _counter_sql(clip):
     wr = "least(greatest(wr, 0.1), 0.9)" if clip else "wr"
     raw = "least(greatest(w, 0.1), 0.9)" if clip else "w"
     return with_inputs(
-        f"SELECT champion, opponent_name, round(CASE WHEN g > 0 THEN (round_even(w * g, 0) + 1.0) / (g + 2) ELSE {raw} END, 5) AS win_rate, mt AS matchup_type FROM ("
+        f"SELECT champion, opponent_name, round(CASE WHEN g > 0 THEN (round_even(w * g, 0) + 1.0) / (g + 2) ELSE {raw} END, 6) AS win_rate, mt AS matchup_type FROM ("
         "SELECT a.champion, a.opponent_name, CASE WHEN flip THEN round(1 - bwr, 6) ELSE awr END AS w, CASE WHEN flip THEN bg ELSE ag END AS g, "
         "CASE WHEN flip THEN CASE WHEN bmt = 'hard' THEN 'easy' ELSE 'hard' END ELSE amt END AS mt FROM ("
         "SELECT a.champion, a.opponent_name, a.wr AS awr, a.g AS ag, a.mt AS amt, b.wr AS bwr, b.g AS bg, b.mt AS bmt, "
@@ -175,18 +175,18 @@ def clean_pairs(spark, sf):
 
 @query("counter_lookup", _counter_sql(False))
 def counter_lookup(spark, sf):
-    return rates.counter_lookup(clean_pairs(spark, sf)).withColumn("win_rate", r("win_rate", 5))
+    return rates.counter_lookup(clean_pairs(spark, sf)).withColumn("win_rate", r("win_rate"))
 
 
 @query("counter_lookup_clipped", _counter_sql(True))
 def counter_lookup_clipped(spark, sf):
-    return rates.counter_lookup(clean_pairs(spark, sf), clip_extreme=True).withColumn("win_rate", r("win_rate", 5))
+    return rates.counter_lookup(clean_pairs(spark, sf), clip_extreme=True).withColumn("win_rate", r("win_rate"))
 
 
 def _synergy_sql(clip):
     fix = "SELECT x, y, round_even(least(greatest(w / g, 0.1), 0.9) * g, 0) AS w, g FROM s WHERE g >= 5" if clip else "SELECT * FROM s"
     return with_inputs(
-        f"SELECT x AS champion_a, y AS champion_b, round((w + 1.0) / (g + 2), 5) AS win_rate FROM ({fix})",
+        f"SELECT x AS champion_a, y AS champion_b, round((w + 1.0) / (g + 2), 6) AS win_rate FROM ({fix})",
         "pairs",
         s=(
             f"SELECT least(champion, opponent_name) AS x, greatest(champion, opponent_name) AS y, sum(round_even({I.DUCK_PCT} * games, 0)) AS w, sum(games) AS g "
@@ -197,12 +197,12 @@ def _synergy_sql(clip):
 
 @query("synergy_lookup", _synergy_sql(False))
 def synergy_lookup(spark, sf):
-    return rates.synergy_lookup(clean_pairs(spark, sf)).withColumn("win_rate", r("win_rate", 5))
+    return rates.synergy_lookup(clean_pairs(spark, sf)).withColumn("win_rate", r("win_rate"))
 
 
 @query("synergy_lookup_clipped", _synergy_sql(True))
 def synergy_lookup_clipped(spark, sf):
-    return rates.synergy_lookup(clean_pairs(spark, sf), clip_extreme=True).withColumn("win_rate", r("win_rate", 5))
+    return rates.synergy_lookup(clean_pairs(spark, sf), clip_extreme=True).withColumn("win_rate", r("win_rate"))
 
 
 SEASON_SQL = (
