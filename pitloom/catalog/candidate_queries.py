@@ -312,22 +312,22 @@ def score_stats(spark, sf):
 
 # candidate columns as expressions over the score rows (tables of the ranking family)
 _CF = {
-    "meta_presence": "(candidate_id % 17) / 17.0",
-    "meta_wr": "(candidate_id % 13) / 13.0",
-    "meta_ban": "(candidate_id % 19) / 19.0",
-    "player_mastery": "(candidate_id % 101) / 1.3",
-    "ally_synergy": "(query_id % 7) / 7.0",
-    "enemy_counter": "((query_id + candidate_id) % 11) / 11.0",
-    "ally_role_fit": "(candidate_id % 5) / 5.3",
-    "enemy_role_fit": "(candidate_id % 6) / 6.1",
-    "enemy_mastery_max": "(query_id % 53) / 1.7",
+    "meta_presence": "(candidate_id % 17) / 17.0e0",
+    "meta_wr": "(candidate_id % 13) / 13.0e0",
+    "meta_ban": "(candidate_id % 19) / 19.0e0",
+    "player_mastery": "(candidate_id % 101) / 1.3e0",
+    "ally_synergy": "(query_id % 7) / 7.0e0",
+    "enemy_counter": "((query_id + candidate_id) % 11) / 11.0e0",
+    "ally_role_fit": "(candidate_id % 5) / 5.3e0",
+    "enemy_role_fit": "(candidate_id % 6) / 6.1e0",
+    "enemy_mastery_max": "(query_id % 53) / 1.7e0",
     "n_ally_picked": "(query_id % 5) * 1.0",
-    "last_ally_synergy": "(candidate_id % 29) / 29.0",
+    "last_ally_synergy": "(candidate_id % 29) / 29.0e0",
     "bp_step": "query_id % 20",
     "ban_step": "query_id % 6",
-    "grudge": "(candidate_id % 3) / 3.0",
-    "respect": "(candidate_id % 23) / 23.0",
-    "hot_streak": "(candidate_id % 31) / 31.0",
+    "grudge": "(candidate_id % 3) / 3.0e0",
+    "respect": "(candidate_id % 23) / 23.0e0",
+    "hot_streak": "(candidate_id % 31) / 31.0e0",
 }
 _CFSQL = "SELECT query_id, candidate_id, cs_logit, nocs_logit, mask, label, " + ", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in _CF.items()) + " FROM scores"
 
@@ -462,7 +462,7 @@ _CONF = dict(
     qs="SELECT gameid, step, side FROM l WHERE step = gameid % 20",
     pid=PRIOR_ID,
     sh=SHARP,
-    b=f"SELECT *, {_BEST} AS best, {_ATX} AS at FROM sh",
+    b=f"SELECT *, {_BEST} AS best, {_ATX} AS atp FROM sh",
     pk="SELECT q.gameid, h.champion_id AS c, h.side = q.side AS mine FROM qs q JOIN l h ON h.gameid = q.gameid AND h.step < q.step AND h.action = 'pick' AND h.champion_id >= 7",
     qc="SELECT qs.gameid, b.* FROM qs, b",
 )
@@ -471,7 +471,7 @@ _CONF = dict(
 @query(
     "ban_conflict_filter",
     with_inputs(
-        "SELECT gameid AS query_id, count(*) AS n, CAST(sum(cid) AS BIGINT) AS ids FROM qc q WHERE NOT (q.best >= 0.85 AND EXISTS (SELECT 1 FROM pk JOIN b ON b.cid = pk.c WHERE pk.gameid = q.gameid AND NOT pk.mine AND b.best >= 0.85 AND b.at = q.at)) GROUP BY 1",
+        "SELECT gameid AS query_id, count(*) AS n, CAST(sum(cid) AS BIGINT) AS ids FROM qc q WHERE NOT (q.best >= 0.85 AND EXISTS (SELECT 1 FROM pk JOIN b ON b.cid = pk.c WHERE pk.gameid = q.gameid AND NOT pk.mine AND b.best >= 0.85 AND b.atp = q.atp)) GROUP BY 1",
         "games",
         "vocab",
         "prior",
@@ -492,16 +492,16 @@ def pick_conflict_filter(spark, sf):
 @query(
     "enrich_results",
     with_inputs(
-        "SELECT gameid AS query_id, count(*) AS n, count(CASE WHEN conflict THEN 1 END) AS n_conflict, count(CASE WHEN NOT conflict AND prob >= 0.85 THEN 1 END) AS n_fit, round(sum(prob), 4) AS prob_sum, "
+        "SELECT gameid AS query_id, count(*) AS n, count(CASE WHEN conflict THEN 1 END) AS n_conflict, count(CASE WHEN prob >= 0.85 THEN 1 END) AS n_fit, round(sum(prob), 4) AS prob_sum, "
         "count(CASE WHEN (cid % 13) / 13.0 > 0.55 THEN 1 END) AS n_strong FROM ("
-        "SELECT q.gameid, q.cid, CASE WHEN h.taken[at] THEN coalesce(alt, best) ELSE best END AS prob, h.taken[at] AND alt IS NULL AS conflict FROM ("
+        "SELECT q.gameid, q.cid, CASE WHEN h.taken[q.atp] THEN coalesce(alt, best) ELSE best END AS prob, h.taken[q.atp] AND alt IS NULL AS conflict FROM ("
         "SELECT q.*, greatest(" + ", ".join(f"CASE WHEN NOT t.taken[{i + 1}] AND p{i} > 0.15 THEN p{i} END" for i in range(5)) + ") AS alt FROM qc q JOIN tk t ON t.gameid = q.gameid) q JOIN tk h ON h.gameid = q.gameid) GROUP BY 1",
         "games",
         "vocab",
         "prior",
         **_CONF,
         tk=(
-            "SELECT qs.gameid, [" + ", ".join(f"coalesce(bool_or(pk.mine AND b.best >= 0.85 AND b.at = {i}), false)" for i in range(1, 6)) + "] AS taken "
+            "SELECT qs.gameid, [" + ", ".join(f"coalesce(bool_or(pk.mine AND b.best >= 0.85 AND b.atp = {i}), false)" for i in range(1, 6)) + "] AS taken "
             "FROM qs LEFT JOIN pk ON pk.gameid = qs.gameid LEFT JOIN b ON b.cid = pk.c GROUP BY 1"
         ),
     ),
@@ -567,7 +567,7 @@ _RULE = dict(
     l=RS.LONG_SQL.replace("FROM d LEFT", "FROM d0 d LEFT"),
     qs="SELECT gameid, step, side FROM l WHERE step = gameid % 20",
     pid=PRIOR_ID,
-    mt="SELECT cid, (cid * 7 % 23) / 40.0 AS presence, (cid * 5 % 19) / 19.0 AS wr, p0, p1, p2, p3, p4 FROM pid",
+    mt="SELECT cid, (cid * 7 % 23) / 40e0 AS presence, (cid * 5 % 19) / 19e0 AS wr, p0, p1, p2, p3, p4 FROM pid",
     un="SELECT DISTINCT q.gameid, h.champion_id AS cid FROM qs q JOIN l h ON h.gameid = q.gameid AND h.step < q.step WHERE h.champion_id >= 7",
     ms=f"SELECT c.player_id, v.idx AS cid, round({_MAST}, 6) AS m FROM career c JOIN vocab v USING (champion)",
     qc="SELECT qs.*, mt.* FROM qs, mt WHERE NOT EXISTS (SELECT 1 FROM un WHERE un.gameid = qs.gameid AND un.cid = mt.cid)",
@@ -615,8 +615,8 @@ def rule_pick_general(spark, sf):
     "rule_ban",
     with_inputs(
         "SELECT query_id, candidate_id, score, rank FROM (SELECT gameid AS query_id, cid AS candidate_id, score, row_number() OVER (PARTITION BY gameid ORDER BY score DESC, cid) AS rank FROM ("
-        "SELECT q.gameid, q.cid, round(0.5 * ms.m / 10 + 0.5 * q.wr, 4) AS score, q.wr >= 0.5 AS good, bool_or(q.wr >= 0.5) OVER (PARTITION BY q.gameid) AS some "
-        "FROM qc q JOIN tp ON tp.gameid = q.gameid JOIN ms ON ms.player_id = tp.player_id AND ms.cid = q.cid) WHERE good OR NOT some) WHERE rank <= 3",
+        "SELECT q.gameid, q.cid, round(0.5 * ms.m / 10 + 0.5 * q.wr, 4) AS score, q.wr >= 0.5 AS good, bool_or(q.wr >= 0.5) OVER (PARTITION BY q.gameid) AS any_good "
+        "FROM qc q JOIN tp ON tp.gameid = q.gameid JOIN ms ON ms.player_id = tp.player_id AND ms.cid = q.cid) WHERE good OR NOT any_good) WHERE rank <= 3",
         "player_rows",
         "vocab",
         "prior",
@@ -646,7 +646,7 @@ def rule_ban_global(spark, sf):
 @query(
     "rule_win_prob",
     with_inputs(
-        "SELECT gameid, round(greatest(least(b / (b + r), 0.75), 0.25), 6) AS blue_prob FROM (SELECT p.gameid, avg(CASE WHEN side = 'blue' THEN coalesce(w, 0.5) END) AS b, avg(CASE WHEN side = 'red' THEN coalesce(w, 0.5) END) AS r "
+        "SELECT gameid, round(greatest(least(b / (b + r), 0.75), 0.25) + 1e-9, 6) AS blue_prob FROM (SELECT p.gameid, avg(CASE WHEN side = 'blue' THEN coalesce(w, 0.5) END) AS b, avg(CASE WHEN side = 'red' THEN coalesce(w, 0.5) END) AS r "
         "FROM player_rows p LEFT JOIN (SELECT champion, (CAST(substr(champion, 2) AS BIGINT) * 7 % 23) / 23.0 AS w FROM vocab) m USING (champion) GROUP BY 1)",
         "player_rows",
         "vocab",
@@ -655,7 +655,7 @@ def rule_ban_global(spark, sf):
 def rule_win_prob(spark, sf):
     m = I.vocab(spark, sf).select("champion", (F.substring("champion", 2, 9).cast("long") * 7 % 23 / 23.0).alias("meta_wr"))
     p = I.player_rows(spark, sf).select("gameid", "side", "champion")
-    return rules.rule_win_prob(p, m).select("gameid", r("blue_prob").alias("blue_prob"))
+    return rules.rule_win_prob(p, m).select("gameid", r(F.col("blue_prob") + 1e-9).alias("blue_prob"))
 
 
 @query(
@@ -678,7 +678,7 @@ def cold_start(spark, sf):
     return rules.cold_start(m).withColumn("active_share", r("active_share"))
 
 
-_METRIC = "SELECT event_id, ts, CASE user_id % 3 WHEN 0 THEN 'pick_at_10' WHEN 1 THEN 'ban_at_10' ELSE 'auc' END AS metric, ((event_id * 37) % 100) / 100.0 AS value FROM events"
+_METRIC = "SELECT event_id, ts, CASE user_id % 3 WHEN 0 THEN 'pick_at_10' WHEN 1 THEN 'ban_at_10' ELSE 'auc' END AS metric, ((event_id * 37) % 100) / 101e0 AS value FROM events"
 
 
 @query(
@@ -688,7 +688,7 @@ _METRIC = "SELECT event_id, ts, CASE user_id % 3 WHEN 0 THEN 'pick_at_10' WHEN 1
 )
 def rolling_degraded(spark, sf):
     e = I.table(spark, sf, "events").selectExpr(
-        "event_id", "ts", "CASE user_id % 3 WHEN 0 THEN 'pick_at_10' WHEN 1 THEN 'ban_at_10' ELSE 'auc' END AS metric", "CAST(((event_id * 37) % 100) / 100.0 AS DOUBLE) AS value"
+        "event_id", "ts", "CASE user_id % 3 WHEN 0 THEN 'pick_at_10' WHEN 1 THEN 'ban_at_10' ELSE 'auc' END AS metric", "((event_id * 37) % 100) / 101e0 AS value"
     )
     out = rules.rolling_degraded(e, ["ts", "event_id"], F.unix_date(F.to_date("ts")))
     return out.select("event_id", "metric", r("rolling_mean").alias("rolling_mean"), "rolling_n", "degraded")

@@ -108,7 +108,7 @@ def spread(cols) -> Column:
 
 def pipe_list(c) -> Column:
     """'a| b|' -> ['a', 'b']; null -> empty array."""
-    parts = F.transform(F.split(F.coalesce(col(c), F.lit("")), r"\|"), F.trim)
+    parts = F.transform(F.split(F.coalesce(col(c), F.lit("")), r"\|"), lambda x: F.trim(x))
     return F.filter(parts, lambda x: x != "")
 
 
@@ -119,28 +119,25 @@ def role_mask(prior, min_prob=0.15) -> Column:
     return F.when(prior.isNull() | (mask == 0), 31).otherwise(mask)
 
 
-def lineup_feasible(masks) -> Column:
-    """Can every entry of an array of role masks get its own role?
-
-    Hall's condition: each subset of entries must cover at least as many roles.
-    Lineups hold five slots at most, hence 31 subsets at most; longer arrays
-    cannot be placed on five roles at all.
-    """
-    m = col(masks)
-    subsets = F.sequence(F.lit(1), F.shiftleft(F.lit(1), 5) - 1)
+def _place(state: Column, mask: Column) -> Column:
+    """Occupied-role sets reachable after one more entry took one of its free roles."""
+    out = None
+    for role in range(5):
+        free = sum(1 << s for s in range(32) if not s >> role & 1)  # sets without this role
+        moved = F.shiftleft(state.bitwiseAND(F.lit(free)), 1 << role)
+        term = F.when(mask.bitwiseAND(F.lit(1 << role)) != 0, moved).otherwise(F.lit(0).cast("long"))
+        out = term if out is None else out.bitwiseOR(term)
+    return out
 
-    def covers(subset):
-        def bit(i):
-            return F.when(F.get(m, F.lit(i)).isNotNull(), subset.bitwiseAND(F.lit(1 << i)) != 0).otherwise(False)
 
-        union = reduce(
-            lambda a, b: a.bitwiseOR(b),
-            [F.when(bit(i), F.get(m, F.lit(i))).otherwise(0) for i in range(5)],
-        )
-        picked = total([F.when(bit(i), 1).otherwise(0) for i in range(5)])
-        return F.bit_count(union) >= picked
+def lineup_feasible(masks) -> Column:
+    """Can every entry of an array of role masks get a role of its own?
 
-    return (F.size(m) <= 5) & F.forall(subsets, covers)
+    The sets of occupied roles that are reachable so far are the bits of one
+    long (32 sets of five roles); each entry moves them on. No set left = no
+    assignment.
+    """
+    return F.aggregate(col(masks), F.lit(1).cast("long"), lambda st, m: _place(st, m)) != 0
 
 
 def decay_weight(days, half_life) -> Column:

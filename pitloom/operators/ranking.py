@@ -156,59 +156,62 @@ def ensemble_mean(df: DataFrame, row: list[str], pred: str) -> DataFrame:
     return df.groupBy(*row).agg(F.avg(pred).alias(pred), F.count("*").alias("n_models"))
 
 
-def hard_positions(champions: Column, priors: Column, hard: float = HARD) -> Column:
-    """Positions (1-5) that champions hold for certain; `priors`: map id -> array."""
-    def one(c):
-        p = F.try_element_at(priors, c)
-        best = F.array_max(p)
-        return F.when(best >= hard, F.array_position(p, best))
+def with_priors(df: DataFrame, priors: DataFrame, min_prob: float = 0.15, out: str = "_p") -> DataFrame:
+    """Attach the position table as one map: id -> best probability, its position (0-4), role mask, all five.
 
-    return F.filter(F.transform(champions, one), lambda x: x.isNotNull())
+    The map has one entry per vocabulary item and is built once for the query.
+    """
+    best = F.array_max("pos")
+    facts = priors.select(
+        "candidate_id",
+        F.struct(
+            best.alias("best"),
+            (F.array_position("pos", best) - 1).cast("int").alias("at"),
+            role_mask(F.col("pos"), min_prob).alias("roles"),
+            F.col("pos"),
+        ).alias("v"),
+    )
+    return df.withColumn(out, facts.agg(F.map_from_entries(F.collect_list(F.struct("candidate_id", "v")))).scalar())
+
+
+def _fact(item, field):
+    return F.try_element_at(F.col("_p"), item)[field]
+
+
+def _hard_bits(champions, hard: float = HARD) -> Column:
+    """Bit per position that some champion holds for certain."""
+    def bit(acc, c):
+        held = F.call_function("shiftleft", F.lit(1), _fact(c, "at"))
+        return acc.bitwiseOR(F.when(_fact(c, "best") >= hard, held).otherwise(F.lit(0)))
 
+    return F.aggregate(col(champions), F.lit(0), bit)
 
-def with_priors(df: DataFrame, priors: DataFrame, out: str = "_priors") -> DataFrame:
-    """Attach the position table as one map column (one vocabulary of entries)."""
-    m = priors.agg(F.map_from_entries(F.collect_list(F.struct("candidate_id", "pos"))).alias("m"))
-    return df.withColumn(out, m.scalar())
+
+def _has_bit(bits: Column, at: Column) -> Column:
+    return F.call_function("shiftright", bits, at).bitwiseAND(F.lit(1)) == 1
 
 
 def filter_pick_conflicts(df: DataFrame, priors: DataFrame, ally: str = "ally", min_prob=0.15, crowd=2.0, main=0.4) -> DataFrame:
     """Drop candidates that cannot join the lineup: a hard position that is taken, a main
     position held twice, an overcrowded position, or no assignment of five roles."""
-    d = with_priors(df, priors)
-    m, cand = F.col("_priors"), F.col("candidate_id")
-    pos = F.coalesce(F.try_element_at(m, cand), F.array(*[F.lit(0.0)] * 5))
-    best = F.array_max(pos)
-    at = F.array_position(pos, best).cast("int")
-
-    def main_pos(c):
-        p = F.coalesce(F.try_element_at(m, c), F.array(*[F.lit(0.0)] * 5))
-        return F.array_position(p, F.array_max(p)).cast("int")
-
-    mains = F.transform(F.col(ally), main_pos)
-    same = F.size(F.filter(mains, lambda x: x == F.col("_at")))
-    held = F.aggregate(
-        F.col(ally),
-        F.lit(0.0),
-        lambda acc, c: acc + F.coalesce(F.element_at(F.try_element_at(m, c), F.col("_at")), F.lit(0.0)),
-    )
-    masks = F.transform(F.concat(F.col(ally), F.array(cand)), lambda c: role_mask(F.try_element_at(m, c), min_prob))
-    d = d.withColumns({"_best": best, "_at": at})
-    d = d.withColumns({"_hard": hard_positions(F.col(ally), m), "_same": same, "_held": held, "_masks": masks})
-    clash = (F.col("_best") >= HARD) & F.array_contains("_hard", F.col("_at").cast("long"))
-    crowded = (F.col("_same") >= 2) | ((F.col("_best") >= main) & (F.col("_held") + F.col("_best") > crowd))
-    stuck = ~lineup_feasible("_masks")
-    bad = clash | ((F.size(ally) > 0) & (crowded | stuck))
+    d = with_priors(df, priors, min_prob)
+    cand, mates = F.col("candidate_id"), F.col(ally)
+    best, at = F.coalesce(_fact(cand, "best"), F.lit(0.0)), F.coalesce(_fact(cand, "at"), F.lit(0))
+    same = F.size(F.filter(mates, lambda c: F.coalesce(_fact(c, "at"), F.lit(0)) == at))
+    held = F.aggregate(mates, F.lit(0.0), lambda acc, c: acc + F.coalesce(_fact(c, "pos")[at], F.lit(0.0)))
+    roles = F.transform(F.concat(mates, F.array(cand)), lambda c: F.coalesce(_fact(c, "roles"), F.lit(31)))
+    clash = (best >= HARD) & _has_bit(_hard_bits(ally), at)
+    crowded = (same >= 2) | ((best >= main) & (held + best > crowd))
+    bad = clash | ((F.size(mates) > 0) & (crowded | ~lineup_feasible(roles)))
     return d.filter(~bad).select(*df.columns)
 
 
 def filter_ban_conflicts(df: DataFrame, priors: DataFrame, enemy: str = "enemy") -> DataFrame:
     """Drop hard candidates for a position the enemy has already filled for certain."""
     d = with_priors(df, priors)
-    pos = F.coalesce(F.try_element_at(F.col("_priors"), F.col("candidate_id")), F.array(*[F.lit(0.0)] * 5))
-    best = F.array_max(pos)
-    d = d.withColumns({"_best": best, "_at": F.array_position(pos, best), "_hard": hard_positions(F.col(enemy), F.col("_priors"))})
-    return d.filter(~((F.col("_best") >= HARD) & F.array_contains("_hard", F.col("_at")))).select(*df.columns)
+    cand = F.col("candidate_id")
+    bad = (_fact(cand, "best") >= HARD) & _has_bit(_hard_bits(enemy), _fact(cand, "at"))
+    return d.filter(~F.coalesce(bad, F.lit(False))).select(*df.columns)
 
 
 def enrich(df: DataFrame, priors: DataFrame, action: str = "pick", ally: str = "ally") -> DataFrame:
@@ -216,26 +219,26 @@ def enrich(df: DataFrame, priors: DataFrame, action: str = "pick", ally: str = "
 
     df: candidate_id, ally, meta_wr, meta_presence, meta_ban.
     """
-    d = with_priors(df, priors)
-    flat = F.array(*[F.lit(0.2)] * 5)
-    pos = F.coalesce(F.try_element_at(F.col("_priors"), F.col("candidate_id")), flat)
-    d = d.withColumns({"_pos": pos, "_hard": hard_positions(F.col(ally), F.col("_priors"))})
-    best = F.array_max("_pos")
-    at = F.array_position(F.col("_pos"), best)
-    d = d.withColumns({"_best": best, "_at": at})
-    taken = F.array_contains("_hard", F.col("_at"))
-    free = F.transform(
-        F.col("_pos"), lambda p, i: F.when((p > 0.15) & ~F.array_contains("_hard", (i + 1).cast("long")), p)
+    cand = F.col("candidate_id")
+    d = with_priors(df, priors).withColumns(
+        {
+            "_pos": F.coalesce(_fact(cand, "pos"), F.array(*[F.lit(0.2)] * 5)),
+            "_best": F.coalesce(_fact(cand, "best"), F.lit(0.2)),
+            "_at": F.coalesce(_fact(cand, "at"), F.lit(0)),
+            "_hard": _hard_bits(ally),
+        }
     )
-    alt = F.array_max(F.filter(free, lambda x: x.isNotNull()))
-    prob = F.when(taken & alt.isNotNull(), alt).otherwise(F.col("_best"))
-    d = d.withColumns({"position_conflict": taken & alt.isNull(), "assigned_prob": prob})
+    taken = _has_bit(F.col("_hard"), F.col("_at"))
+    free = F.filter("_pos", lambda p, i: (p > 0.15) & ~_has_bit(F.col("_hard"), i))
+    d = d.withColumn("_alt", F.array_max(free))
+    prob = F.when(taken & F.col("_alt").isNotNull(), F.col("_alt")).otherwise(F.col("_best"))
+    d = d.withColumns({"position_conflict": taken & F.col("_alt").isNull(), "assigned_prob": prob})
     wr, pres, ban = F.col("meta_wr"), F.col("meta_presence"), F.col("meta_ban")
     strength = [F.when(wr > 0.55, "strong_patch").when(wr > 0.4, "good_win_rate")]
     rates = [F.when(pres >= 0.2, "high_presence"), F.when(ban > 0.2, "high_ban_rate")]
     fit = [F.when(F.col("assigned_prob") >= HARD, "position_fit").when(F.col("position_conflict"), "flex")]
     tags = [*fit, *strength, *rates] if action == "pick" else [rates[1], rates[0], *strength]
-    name = F.element_at(F.array(*[F.lit(p) for p in POSITIONS]), F.col("_at").cast("int"))
+    name = F.element_at(F.array(*[F.lit(p) for p in POSITIONS]), F.col("_at") + 1)
     return d.select(
         *df.columns,
         name.alias("best_position"),
