@@ -160,7 +160,7 @@ def _candidate_sql(mode):
     )
     cols = [*C.CANDIDATE_COLUMNS, "mask"]
     body = (
-        "SELECT query_id, count(*) AS n, " + ", ".join(f"round(CAST(sum({c}) AS DOUBLE), 4) AS {c}" for c in cols) + f" FROM (SELECT q.gameid AS query_id, {own} FROM qc q "
+        "SELECT query_id, count(*) AS n, " + ", ".join(f"round(CAST(sum({c}) AS DOUBLE) + 1e-7, 4) AS {c}" for c in cols) + f" FROM (SELECT q.gameid AS query_id, {own} FROM qc q "
         "JOIN pid d ON d.cid = q.cid LEFT JOIN occ ao ON ao.gameid = q.gameid AND ao.mine LEFT JOIN occ eo ON eo.gameid = q.gameid AND NOT eo.mine "
         "LEFT JOIN mt m ON m.gameid = q.gameid AND m.cid = q.cid JOIN se ON se.gameid = q.gameid AND se.cid = q.cid "
         "LEFT JOIN sy ON sy.gameid = q.gameid AND sy.cid = q.cid LEFT JOIN ct ON ct.gameid = q.gameid AND ct.cid = q.cid "
@@ -220,7 +220,7 @@ def _candidate_sql(mode):
 def _candidate_query(spark, sf, mode):
     rows = candidate_rows(spark, sf, mode)
     cols = [*C.CANDIDATE_COLUMNS, "mask"]
-    return rows.groupBy("query_id").agg(F.count("*").alias("n"), *[r(F.sum(F.col(c).cast("double")), 4).alias(c) for c in cols])
+    return rows.groupBy("query_id").agg(F.count("*").alias("n"), *[r(F.sum(F.col(c).cast("double")) + 1e-7, 4).alias(c) for c in cols])
 
 
 @query("candidate_features_train", _candidate_sql("train"))

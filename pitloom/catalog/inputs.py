@@ -103,9 +103,15 @@ _WHEN = (
 )
 
 
-def games(spark, sf_dir) -> DataFrame:
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A supplied table as a file stream."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def games(spark, sf_dir, orders: DataFrame | None = None) -> DataFrame:
     """Wide match table: one row per order."""
-    return table(spark, sf_dir, "orders").selectExpr(
+    return (table(spark, sf_dir, "orders") if orders is None else orders).selectExpr(
         *_WHEN, *[f"{v} AS {k}" for k, v in GAME.items()]
     )
 
@@ -334,8 +340,8 @@ EV_SQL = (
 )
 
 
-def ev(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+def ev(spark, sf_dir, events: DataFrame | None = None) -> DataFrame:
+    e = table(spark, sf_dir, "events") if events is None else events
     return e.select(
         "event_id",
         "user_id",
