@@ -71,26 +71,35 @@ def drift_of(counts: DataFrame, baseline: DataFrame, bins: int = 10) -> DataFram
     return cur.join(baseline.select("feature", "counts"), "feature").select("period", "feature", psi_value(F.col("counts"), F.col("_cur")).alias("psi"))
 
 
-def _in_order(batches, order: list[str]):
-    """One key's rows of a micro-batch in order. The trigger bounds a micro-batch (maxFilesPerTrigger)."""
-    import pandas as pd
+def _sorter():
+    """Function that puts one key's rows of a micro-batch in order.
+
+    It is made here as a closure, so that it travels to the workers by value
+    and they need no copy of this package. The trigger bounds a micro-batch
+    (maxFilesPerTrigger), and with it the rows sorted at once.
+    """
+
+    def in_order(batches, order):
+        import pandas as pd
 
-    parts = list(batches)
-    if not parts:
-        return []
-    return pd.concat(parts, ignore_index=True).sort_values(order, kind="stable").itertuples(index=False)
+        parts = list(batches)
+        if not parts:
+            return []
+        return pd.concat(parts, ignore_index=True).sort_values(order, kind="stable").itertuples(index=False)
+
+    return in_order
 
 
 def rolling_monitor(df: DataFrame, limits: dict, key: str = "metric", order: list[str] = ("seq",), value: str = "value", size: int = 30) -> DataFrame:
     """Degrade and recover events of the mean over the last `size` values of each metric."""
     import pandas as pd
 
-    need, order = max(5, size // 2), list(order)
+    need, order, in_order = max(5, size // 2), list(order), _sorter()
 
     def step(k, batches, state):
         values, bad = (list(state.get[0]), state.get[1]) if state.exists else ([], False)
         out = []
-        for row in _in_order(batches, order):
+        for row in in_order(batches, order):
             values = (values + [float(getattr(row, value))])[-size:]
             mean = sum(values) / len(values)
             now = len(values) >= need and mean < limits.get(k[0], float("-inf"))
@@ -113,6 +122,7 @@ def entity_decay(df: DataFrame, key: str, us: str, event: str, value: str, half_
     """
     import pandas as pd
 
+    in_order = _sorter()
     lam_us = 0.6931471805599453 / (half_life * 86_400_000_000.0)
 
     def step(k, batches, state):
@@ -120,7 +130,7 @@ def entity_decay(df: DataFrame, key: str, us: str, event: str, value: str, half_
 
         s, w, n, last = state.get if state.exists else (0.0, 0.0, 0, 0)
         out = []
-        for row in _in_order(batches, [us, event]):
+        for row in in_order(batches, [us, event]):
             t, x = int(getattr(row, us)), float(getattr(row, value))
             if n:
                 f = math.exp(-lam_us * (t - last))
@@ -143,13 +153,15 @@ def draft_stream(df: DataFrame, game: str = "gameid", idle: str | None = None) -
     """
     import pandas as pd
 
+    in_order = _sorter()
+
     def step(k, batches, state):
         if state.hasTimedOut:
             state.remove()
             return
         blue, red, used = (list(x) for x in state.get) if state.exists else ([], [], [])
         out = []
-        for row in _in_order(batches, ["step"]):
+        for row in in_order(batches, ["step"]):
             cid = int(row.champion_id)
             mine, other = (blue, red) if row.side == "blue" else (red, blue)
             out.append((int(k[0]), int(row.step), len(mine), len(other), sum(mine), len(used)))
@@ -175,10 +187,12 @@ def session_stream(df: DataFrame, key: str, order: list[str], step: str) -> Data
     """Match number per event: one more whenever the step does not grow."""
     import pandas as pd
 
+    in_order = _sorter()
+
     def run(k, batches, state):
         no, prev = state.get if state.exists else (0, None)
         out = []
-        for row in _in_order(batches, order):
+        for row in in_order(batches, order):
             s = int(getattr(row, step))
             no += 1 if prev is not None and s <= prev else 0
             prev = s
