@@ -139,6 +139,33 @@ def noise_copies(df: DataFrame, cond: Column, cols: list[str], label: str, sigma
     return df.unionByName(noisy).unionByName(mirror(noisy, label, **kw))
 
 
+def medians(df: DataFrame, cols: list[str], cells: int = 4096) -> DataFrame:
+    """One row with the exact median of every column.
+
+    Values are counted per distinct value, ordered inside cells of the value
+    range and offset by the counts of the lower cells; the two middle
+    positions are then looked up. No task holds more than one cell.
+    """
+    from pitloom.operators.quality import unfold
+
+    n = unfold(df, cols).filter(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count("*").alias("c"))
+    span = n.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("c").alias("n"))
+    rows = n.join(F.broadcast(span), "feature")  # one row per column
+    width = F.col("hi") - F.col("lo")
+    cell = F.when(width > 0, F.floor((F.col("value") - F.col("lo")) / width * cells)).otherwise(F.lit(0).cast("long"))
+    seen = prior_scan(rows, ["feature"], cell, ["value"], {"_before": ("sum", F.col("c"))})
+    first = F.coalesce("_before", F.lit(0))
+
+    def holds(pos):
+        return (first < pos) & (first + F.col("c") >= pos)
+
+    lower, upper = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    mid = seen.groupBy("feature").agg(
+        ((F.max(F.when(holds(lower), F.col("value"))) + F.max(F.when(holds(upper), F.col("value")))) / 2).alias("m")
+    )
+    return mid.agg(*[F.max(F.when(F.col("feature") == c, F.col("m"))).alias(c) for c in cols])
+
+
 def oof_stitch(base: DataFrame, folds: DataFrame, key: str, cols: list[str]) -> DataFrame:
     """Out-of-fold features: test rows of every fold and train rows of fold 0; the latest
     fold wins (test before train), rows without features get the column median."""
@@ -146,15 +173,13 @@ def oof_stitch(base: DataFrame, folds: DataFrame, key: str, cols: list[str]) ->
     rank = F.struct("fold", (F.col("split") == "train").cast("int"))
     one = usable.groupBy(key).agg(F.max_by(F.struct(*cols), rank).alias("_r")).select(key, "_r.*")
     joined = base.join(one, key, "left")
-    med = joined.agg(*[F.percentile(c, 0.5).alias(c) for c in cols])
+    med = medians(joined, cols)
     return joined.withColumns({c: F.coalesce(F.col(c), med.select(c).scalar()) for c in cols})
 
 
-def median_fill(train: DataFrame, test: DataFrame, cols: list[str], approx: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Nulls of both parts become the train median (`approx` for tables too big for the exact one)."""
-    med = train.agg(
-        *[(F.percentile_approx(c, 0.5, 100_000) if approx else F.percentile(c, 0.5)).alias(c) for c in cols]
-    )
+def median_fill(train: DataFrame, test: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Nulls of both parts become the exact train median."""
+    med = medians(train, cols)
     fill = {c: F.coalesce(F.col(c), med.select(c).scalar()) for c in cols}
     return train.withColumns(fill), test.withColumns(fill)
 

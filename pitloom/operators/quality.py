@@ -199,7 +199,13 @@ def _bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
     """Equal-width bin (0-based) of a value; null outside the edges; the last bin is closed."""
     width = hi - lo
     b = F.least(F.floor((x - lo) / width * bins), F.lit(bins - 1))
-    return F.when((x >= lo) & (x <= hi) & (width > 0), b).when((x == lo) & (width == 0), F.lit(bins // 2))
+    return F.when((x >= lo) & (x <= hi) & (width > 0), b)
+
+
+def _widened(lo: Column, hi: Column) -> tuple[Column, Column]:
+    """A constant feature gets half a unit of room on both sides."""
+    flat = lo == hi
+    return F.when(flat, lo - 0.5).otherwise(lo), F.when(flat, hi + 0.5).otherwise(hi)
 
 
 def _counts(binned: DataFrame, keys: list[str], bins: int) -> DataFrame:
@@ -214,7 +220,8 @@ def psi_baseline(df: DataFrame, cols: list[str], bins: int = 10, min_values: int
     """Ten equal-width bins over the finite values of every feature: counts and edges."""
     rows = unfold(df, cols).select("feature", finite("value").alias("value")).filter(F.col("value").isNotNull())
     span = rows.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n"))
-    span = span.filter(F.col("n") >= min_values)
+    lo, hi = _widened(F.col("lo"), F.col("hi"))
+    span = span.filter(F.col("n") >= min_values).select("feature", lo.alias("lo"), hi.alias("hi"))
     binned = rows.join(F.broadcast(span), "feature").withColumn("_bin", _bin(F.col("value"), F.col("lo"), F.col("hi"), bins))
     edges = F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / bins)
     return _counts(binned, ["feature"], bins).join(span, "feature").select("feature", "counts", edges.alias("bin_edges"))
@@ -233,29 +240,29 @@ def psi_value(base: Column, cur: Column, eps: float = 1e-6) -> Column:
     return F.when(bt == 0, F.lit(0.0)).otherwise(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x))
 
 
-def psi(baseline: DataFrame, df: DataFrame, by: list[str] = (), min_values: int = 0) -> DataFrame:
+def psi(baseline: DataFrame, df: DataFrame, by: list[str] = (), min_values: int = 0, legacy: bool = False) -> DataFrame:
     """Index per feature (and group) of the current rows against a baseline.
 
     Values outside the baseline's edges fall out of the counts; no current
-    value gives 1, an empty baseline 0. A baseline without edges is compared on
-    the current minimum and maximum. `baseline` has one row per feature.
+    value gives 1, an empty baseline 0. `legacy`: the baseline has no edges,
+    and the current minimum and maximum are cut into bins instead. `baseline`
+    has one row per feature, which bounds what is broadcast.
     """
-    by = list(by)
-    names = [f for f in df.columns if f not in by]
-    bins = 10
-    rows = unfold(df, [c for c in names if c in _numeric(df)], by).select(*by, "feature", finite("value").alias("value"))
-    rows = rows.filter(F.col("value").isNotNull())
-    edges = baseline.select(
-        "feature", F.element_at("bin_edges", 1).alias("_lo"), F.element_at("bin_edges", -1).alias("_hi")
-    )
-    span = rows.groupBy(*by, "feature").agg(F.min("value").alias("_clo"), F.max("value").alias("_chi"), F.count("*").alias("n"))
-    joined = rows.join(F.broadcast(edges), "feature").join(span, [*by, "feature"])
-    lo, hi = F.coalesce("_lo", "_clo"), F.coalesce("_hi", "_chi")
-    cur = _counts(joined.withColumn("_bin", _bin(F.col("value"), lo, hi, bins)), [*by, "feature"], bins)
+    by, bins = list(by), 10
+    cols = [c for c in _numeric(df) if c not in by]
+    rows = unfold(df, cols, by).select(*by, "feature", finite("value").alias("value")).filter(F.col("value").isNotNull())
+    span = rows.groupBy(*by, "feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n"))
+    if legacy:
+        lo, hi = _widened(F.col("lo"), F.col("hi"))
+        edges = span.select(*by, "feature", lo.alias("lo"), hi.alias("hi"))
+        placed = rows.join(edges if by else F.broadcast(edges), [*by, "feature"])
+    else:
+        edges = baseline.select("feature", F.element_at("bin_edges", 1).alias("lo"), F.element_at("bin_edges", -1).alias("hi"))
+        placed = rows.join(F.broadcast(edges), "feature")
+    cur = _counts(placed.withColumn("_bin", _bin(F.col("value"), F.col("lo"), F.col("hi"), bins)), [*by, "feature"], bins)
     cur = span.select(*by, "feature", "n").join(cur, [*by, "feature"], "left")
-    groups = baseline.select("feature", F.col("counts").alias("_base"))
-    out = groups.join(cur, "feature", "left")
-    empty = F.transform(F.sequence(F.lit(1), F.lit(bins)), lambda i: F.lit(0.0))
+    out = baseline.select("feature", F.col("counts").alias("_base")).join(cur, "feature", "left")
+    empty = F.array(*[F.lit(0.0)] * bins)
     value = F.when(F.col("n").isNull(), F.lit(1.0)).otherwise(psi_value(F.col("_base"), F.coalesce("counts", empty)))
     res = out.select(*by, "feature", F.coalesce("n", F.lit(0)).alias("n"), value.alias("psi"))
     return res.filter(F.col("n") >= min_values) if min_values else res

@@ -119,7 +119,7 @@ def load_vocab(spark, path: str) -> DataFrame:
 
 def load_position_prior(spark, path: str) -> DataFrame:
     """Prior JSON {champion: {position: probability}} as rows (champion, position, probability)."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     m = F.from_json("value", T.MapType(T.StringType(), T.MapType(T.StringType(), T.DoubleType())))
     return text.select(F.explode(m).alias("champion", "_p")).select("champion", F.explode("_p").alias("position", "probability"))
 
