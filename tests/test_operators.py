@@ -154,3 +154,16 @@ def test_vocab_and_prior_files(spark, tmp_path):
     (tmp_path / "p.json").write_text('{"A": {"top": 0.9,\n "mid": 0.1}}')
     assert {tuple(r) for r in matches.load_vocab(spark, str(tmp_path / "v.json")).collect()} == {("A", 7), ("B", 8)}
     assert {tuple(r) for r in matches.load_position_prior(spark, str(tmp_path / "p.json")).collect()} == {("A", "top", 0.9), ("A", "mid", 0.1)}
+
+
+def test_udf_helpers(spark):
+    from pitloom.functions import udfs
+
+    df = spark.createDataFrame([(1, [5, 6]), (2, [7])], "g int, seq array<bigint>")
+    fn = udfs.unroll_udtf()
+    spark.udtf.register("unroll", fn)
+    df.createOrReplaceTempView("seqs")
+    got = spark.sql("SELECT g, step, target, size(prefix) AS n FROM seqs, LATERAL unroll(seq)").collect()
+    assert sorted(tuple(r) for r in got) == [(1, 0, 5, 0), (1, 1, 6, 1), (2, 0, 7, 0)]
+    spread = udfs.aggregate(lambda x: float(x.max() - x.min()), "double")
+    assert spark.range(5).agg(spread(F.col("id").cast("double")).alias("v")).first().v == 4.0
