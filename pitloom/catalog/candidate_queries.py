@@ -483,7 +483,35 @@ def ban_conflict_filter(spark, sf):
     return kept.groupBy("query_id").agg(F.count("*").alias("n"), F.sum("candidate_id").alias("ids"))
 
 
-@query("pick_conflict_filter")
+_M = "CASE WHEN mm = 0 THEN 31 ELSE mm END"
+_PICK_SQL = with_inputs(
+    "SELECT gameid AS query_id, count(*) AS n, CAST(sum(cid) AS BIGINT) AS ids FROM qc q LEFT JOIN ag USING (gameid) LEFT JOIN stuck USING (gameid, cid) WHERE NOT ("
+    "coalesce(q.best >= 0.85 AND ag.hard[q.atp] > 0, false) OR (coalesce(ag.n, 0) > 0 AND (ag.same[q.atp] >= 2 OR (q.best >= 0.4 AND ag.held[q.atp] + q.best > 2.0) OR stuck.gameid IS NOT NULL))) GROUP BY 1",
+    "games",
+    "vocab",
+    "prior",
+    **_CONF,
+    bm="SELECT *, " + " + ".join(f"CASE WHEN p{i} >= 0.15 THEN {1 << i} ELSE 0 END" for i in range(5)) + " AS mm FROM b",
+    al=f"SELECT pk.gameid, bm.*, {_M} AS m FROM pk JOIN bm ON bm.cid = pk.c WHERE pk.mine",
+    ag=(
+        "SELECT gameid, count(*) AS n, ["
+        + ", ".join(f"count(CASE WHEN best >= 0.85 AND atp = {i} THEN 1 END)" for i in range(1, 6))
+        + "] AS hard, ["
+        + ", ".join(f"count(CASE WHEN atp = {i} THEN 1 END)" for i in range(1, 6))
+        + "] AS same, ["
+        + ", ".join(f"sum(p{i})" for i in range(5))
+        + "] AS held FROM al GROUP BY 1"
+    ),
+    # no lineup if more champions live inside a set of roles than the set has roles
+    ar="SELECT gameid, r, count(CASE WHEN m & (31 - r) = 0 THEN 1 END) AS inside FROM al, (SELECT CAST(unnest(range(1, 32)) AS INT) AS r) GROUP BY 1, 2",
+    stuck=(
+        "SELECT DISTINCT ar.gameid, c.cid FROM ar JOIN qs ON qs.gameid = ar.gameid, "
+        f"(SELECT cid, {_M} AS m FROM bm) c WHERE ar.inside + CASE WHEN c.m & (31 - ar.r) = 0 THEN 1 ELSE 0 END > bit_count(ar.r)"
+    ),
+)
+
+
+@query("pick_conflict_filter", _PICK_SQL)
 def pick_conflict_filter(spark, sf):
     kept = R.filter_pick_conflicts(conflict_rows(spark, sf), priors(spark, sf))
     return kept.groupBy("query_id").agg(F.count("*").alias("n"), F.sum("candidate_id").alias("ids"))
