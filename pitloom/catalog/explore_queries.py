@@ -143,12 +143,39 @@ def best_duos(spark, sf):
     return E.best_duos(_sides(spark, sf), _SLOTS, "res").withColumn("win_rate", r("win_rate"))
 
 
-@query("template_fill")
+_TPL = with_inputs(
+    "SELECT core, rank, champion, position, meta, synergy, counter, attributes, total FROM (SELECT *, row_number() OVER (PARTITION BY core ORDER BY total DESC, champion, position) AS rank FROM ("
+    "SELECT *, round(meta + synergy + counter + attributes, 2) AS total FROM ("
+    "SELECT o.core, s.champion, s.position, any_value(s.meta) AS meta, any_value(s.attr) AS attributes, "
+    "round(least(sum(coalesce(y.v, 0)) / 3, 35.0), 2) AS synergy, round(least(sum(coalesce(e.v, 0)), 20.0), 2) AS counter "
+    "FROM o JOIN s ON NOT list_contains(o.a, s.champion) AND NOT list_contains(o.homes, s.position) "
+    "JOIN oc ON oc.core = o.core LEFT JOIN y ON y.a = s.champion AND y.b = oc.c LEFT JOIN e ON e.champion = s.champion AND e.opponent_name = oc.c GROUP BY 1, 2, 3))) WHERE rank <= 5",
+    "player_rows",
+    "pairs",
+    c0="SELECT array_to_string(list_sort([blue_pick1, blue_pick2, blue_pick3]), '+') AS core, count(*) AS n FROM games GROUP BY 1 HAVING count(*) >= 20 ORDER BY n DESC, core LIMIT 5",
+    oc="SELECT core, unnest(string_split(core, '+')) AS c FROM c0",
+    p="SELECT champion, position, count(*) AS picks, avg(result) + 1e-7 AS wr, avg((kills + assists) / greatest(deaths, 1)) AS kda FROM player_rows GROUP BY 1, 2",
+    s=(
+        "SELECT champion, position, picks, round(least(picks / (SELECT ceil(sum(picks) / 10.0) FROM p) * 75, 15.0) + least(wr * 30, 15.0) + least(0.1 * 30, 5.0), 2) AS meta, "
+        "round(least(kda, 4.0) + least(kda * 90 / 200, 3.0) + least(kda * 50 / 100, 3.0), 2) AS attr FROM p"
+    ),
+    hm="SELECT champion, arg_max(position, CAST(picks AS BIGINT) * 10 + CASE position WHEN 'top' THEN 5 WHEN 'sup' THEN 4 WHEN 'mid' THEN 3 WHEN 'jng' THEN 2 ELSE 1 END) AS pos FROM p GROUP BY 1",
+    o="SELECT core, list(c) AS a, list(coalesce(hm.pos, '')) AS homes FROM oc LEFT JOIN hm ON hm.champion = oc.c GROUP BY 1",
+    sy=RQ._synergy_sql(False),
+    y0="SELECT champion_a AS a, champion_b AS b, win_rate AS w FROM sy UNION SELECT champion_b, champion_a, win_rate FROM sy",
+    y="SELECT a, b, least(w * 100 / 10, 12.0) + least(w * 10, 5.0) AS v FROM y0",
+    e=(
+        f"SELECT champion, opponent_name, sum(3 + (1 - w) * 100 - 50) AS v FROM (SELECT *, {I.DUCK_PCT} AS w FROM pairs) WHERE w BETWEEN 0 AND 1 AND games > 0 AND matchup_type = 'easy' GROUP BY 1, 2"
+    ),
+)
+
+
+@query("template_fill", _TPL)
 def template_fill(spark, sf):
     cores = E.core3(I.games(spark, sf), [f"blue_pick{i}" for i in range(1, 6)], "result", 20)
     cores = cores.orderBy(F.col("n").desc(), "core").limit(5).select(F.split("core", r"\+").alias("core"))
     p = I.player_rows(spark, sf).groupBy("champion", "position").agg(
-        F.count("*").alias("picks"), F.avg("result").alias("win_rate"), F.avg((F.col("kills") + F.col("assists")) / F.greatest("deaths", F.lit(1))).alias("kda")
+        F.count("*").alias("picks"), (F.avg("result") + 1e-7).alias("win_rate"), F.avg((F.col("kills") + F.col("assists")) / F.greatest("deaths", F.lit(1))).alias("kda")
     )
     games = p.agg(F.ceil(F.sum("picks") / 10)).scalar()
     st = p.withColumns({"pick_rate": F.col("picks") / games, "ban_rate": F.lit(0.1), "dpm": F.col("kda") * 90, "gpm": F.col("kda") * 50})
