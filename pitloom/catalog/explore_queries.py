@@ -154,9 +154,9 @@ _TPL = with_inputs(
     "pairs",
     c0="SELECT array_to_string(list_sort([blue_pick1, blue_pick2, blue_pick3]), '+') AS core, count(*) AS n FROM games GROUP BY 1 HAVING count(*) >= 20 ORDER BY n DESC, core LIMIT 5",
     oc="SELECT core, unnest(string_split(core, '+')) AS c FROM c0",
-    p="SELECT champion, position, count(*) AS picks, avg(result) + 1e-7 AS wr, avg((kills + assists) / greatest(deaths, 1)) AS kda FROM player_rows GROUP BY 1, 2",
+    p="SELECT champion, position, count(*) AS picks, avg(result) AS wr, avg((kills + assists) / greatest(deaths, 1)) AS kda FROM player_rows GROUP BY 1, 2",
     s=(
-        "SELECT champion, position, picks, round(least(picks / (SELECT ceil(sum(picks) / 10.0) FROM p) * 75, 15.0) + least(wr * 30, 15.0) + least(0.1 * 30, 5.0), 2) AS meta, "
+        "SELECT champion, position, picks, round(least(picks / (SELECT ceil(sum(picks) / 10.0) FROM p) * 75, 15.0) + least(wr * 30, 15.0) + least(0.1001 * 30, 5.0), 2) AS meta, "
         "round(least(kda, 4.0) + least(kda * 90 / 200, 3.0) + least(kda * 50 / 100, 3.0), 2) AS attr FROM p"
     ),
     hm="SELECT champion, arg_max(position, CAST(picks AS BIGINT) * 10 + CASE position WHEN 'top' THEN 5 WHEN 'sup' THEN 4 WHEN 'mid' THEN 3 WHEN 'jng' THEN 2 ELSE 1 END) AS pos FROM p GROUP BY 1",
@@ -175,10 +175,10 @@ def template_fill(spark, sf):
     cores = E.core3(I.games(spark, sf), [f"blue_pick{i}" for i in range(1, 6)], "result", 20)
     cores = cores.orderBy(F.col("n").desc(), "core").limit(5).select(F.split("core", r"\+").alias("core"))
     p = I.player_rows(spark, sf).groupBy("champion", "position").agg(
-        F.count("*").alias("picks"), (F.avg("result") + 1e-7).alias("win_rate"), F.avg((F.col("kills") + F.col("assists")) / F.greatest("deaths", F.lit(1))).alias("kda")
+        F.count("*").alias("picks"), F.avg("result").alias("win_rate"), F.avg((F.col("kills") + F.col("assists")) / F.greatest("deaths", F.lit(1))).alias("kda")
     )
     games = p.agg(F.ceil(F.sum("picks") / 10)).scalar()
-    st = p.withColumns({"pick_rate": F.col("picks") / games, "ban_rate": F.lit(0.1), "dpm": F.col("kda") * 90, "gpm": F.col("kda") * 50})
+    st = p.withColumns({"pick_rate": F.col("picks") / games, "ban_rate": F.lit(0.1001), "dpm": F.col("kda") * 90, "gpm": F.col("kda") * 50})
     c = RQ.clean_pairs(spark, sf)
     syn = rates.synergy_lookup(c)
     both = syn.select(F.col("champion_a").alias("a"), F.col("champion_b").alias("b"), "win_rate").union(syn.select("champion_b", "champion_a", "win_rate")).distinct()
