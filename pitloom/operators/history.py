@@ -267,7 +267,6 @@ def last_n(df, keys, bucket, order, value, n, out="last", time=None, strict=True
     """
     t = col(time if time is not None else order[0])
     src = df.withColumn("_b", bucket).withColumn("_e", F.struct(t.alias("t"), col(value).alias("v")))
-    # work columns must not meet columns of the caller
     cell = W.partitionBy(*keys, "_b").orderBy(*order)
     newest = W.partitionBy(*keys, "_b").orderBy(*[col(o).desc() for o in order])
     tail = (
@@ -356,7 +355,7 @@ def conditional_rate(num, den, min_n):
     return F.when(col(den) >= min_n, F.try_divide(col(num), col(den)))
 
 
-def sequence_decay(df, keys, seq, x, half_life=500.0, by=()):
+def sequence_decay(df, keys, seq, x, half_life=500.0):
     """Mean of x weighted with 2^(-(newest seq - seq) / half_life), per key."""
     top = df.agg(F.max(seq).alias("_m"))
     w = F.pow(F.lit(2.0), -(top.scalar() - F.col(seq)) / F.lit(float(half_life)))

@@ -34,7 +34,6 @@ def leakage_ratio(prior: DataFrame, history: DataFrame, career: DataFrame, limit
     """(prior games + history games) / career games, and whether it passes the limit."""
     n_hist = history.agg(F.count("*").alias("n")).scalar()
     n_career = career.agg(F.sum("games").alias("n")).scalar()
-    ratio = F.try_divide(F.sum("base_g") + F.max(F.lit(n_hist)), F.max(F.lit(n_career)))
     return prior.agg(F.sum("base_g").alias("_b")).select(
         ((F.col("_b") + n_hist) / n_career).alias("ratio")
     ).withColumn("leaks", F.col("ratio") > limit)

@@ -272,12 +272,6 @@ def normalise_player_id(c) -> Column:
     return F.when(~F.lower(x).isin("unknown", "", "nan", "none", "null"), x)
 
 
-def unroll_prefix(seq: str, step: str, length: int = 20) -> Column:
-    """First `step` entries of a sequence, padded with 0 to `length`."""
-    head = F.slice(F.col(seq), F.lit(1), F.col(step))
-    return F.concat(head, F.array_repeat(F.lit(0).cast("long"), F.lit(length) - F.col(step)))
-
-
 def union_all(*frames: DataFrame) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from pitloom.operators.quality import _bin, _counts, psi_value, unfold
+from pitloom.operators.quality import _bin, psi_value, unfold
 
 
 def checkpoint_root(spark: SparkSession) -> str:
