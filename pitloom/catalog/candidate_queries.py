@@ -735,3 +735,18 @@ def route_queries(spark, sf):
         "gameid", "league", "gameid % 97 = 0 AS cold", "gameid % 89 = 0 AS degraded", "gameid % 13 = 0 AS collapsed", "(gameid % 100) / 100.0 AS confidence"
     )
     return rules.route(g).groupBy("path").agg(F.count("*").alias("n"))
+
+
+@query(
+    "extra_context",
+    with_inputs(
+        "SELECT gameid, round((coalesce(try_cast(patch AS DOUBLE), 14.0) - 14) / 2, 6) AS context_20, CAST(game_num AS DOUBLE) AS context_21, "
+        "round((day / 365.25 - 53) / 3, 6) AS context_22, round(ln(1 + gameid % 500) / 10, 6) AS context_23 FROM games",
+        "games",
+    ),
+)
+def extra_context(spark, sf):
+    g = I.games(spark, sf)
+    patch = F.coalesce(F.col("patch").try_cast("double"), F.lit(14.0))
+    cols = C.extra_context(patch, F.col("game_num"), F.col("day") / 365.25 + 1970, F.col("gameid") % 500)
+    return g.select("gameid", *cols).select("gameid", *[r(c).alias(c) for c in ("context_20", "context_21", "context_22", "context_23")])
