@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitloom.llm import exact_dedup as dedup
-from pitloom.llm import piece_codec
+from pitloom.llm import near_dedup, piece_codec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,3 +44,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op4_sentencepiece")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_digests(_table(spark, sf_dir, "documents"))
+
+
+@_query("op9_minhash_near_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(_table(spark, sf_dir, "documents"))
