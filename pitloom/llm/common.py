@@ -55,10 +55,10 @@ def record_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def keep_rows(docs: DataFrame, keys: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` whose row key stands in `keys[key]`, once for each key, with the columns of `docs`."""
+def keep_rows(docs: DataFrame, keys: DataFrame, key: str = "row_key", once: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` whose row key stands in `keys[key]`, with the columns of `docs`; `once`: one of the rows that share a key."""
     own, other = fresh(docs, "row_key"), fresh(docs, "kept_row_key")
     found = docs.withColumn(own, row_key(F.col(doc_id), F.col(text))).join(
         keys.select(F.col(key).alias(other)), F.col(own) == F.col(other), "left_semi"
     )
-    return found.dropDuplicates([own]).drop(own)
+    return (found.dropDuplicates([own]) if once else found).drop(own)

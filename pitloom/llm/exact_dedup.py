@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitloom.llm.common import squeeze
+from pitloom.llm.common import row_key, squeeze
 
 #: Bytes of labels and nodes that a trie may hold before it spills a subtree.
 MEMORY = 96 << 20
@@ -190,8 +190,8 @@ def owners(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", memory:
     return dealt.mapInArrow(partial(_fold, memory=memory, final=True), "keep_id long, group_size long, n_bytes long, hash string")
 
 
-def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", memory: int = MEMORY) -> DataFrame:
-    """One row for each row of `docs`: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", memory: int = MEMORY, with_row_key: bool = False) -> DataFrame:
+    """One row for each row of `docs`: doc_id, keep_id, group_size, kept, text_sha256, and row_key where asked for.
 
     A null text is empty, and all empty texts are equal. The owner is the smallest id that is not null. Rows that
     repeat the owner's id with the owner's text are one document told again: all are marked kept (`keep_rows` leaves
@@ -199,6 +199,7 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mem
     empty table gives no rows; other columns of the input are neither read nor returned.
     """
     body = squeeze(F.col(text))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("hash"))
+    more = [row_key(F.col(doc_id), F.col(text)).alias("row_key")] if with_row_key else []
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("hash"), *more)
     joined = rows.join(owners(docs, doc_id, text, memory), ["n_bytes", "hash"])
-    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("hash").alias("text_sha256"))
+    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("hash").alias("text_sha256"), *(["row_key"] if with_row_key else []))

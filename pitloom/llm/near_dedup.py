@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitloom.llm.common import stored
+from pitloom.llm.common import row_key, stored
 from pitloom.llm.components import components
 from pitloom.llm.words import U, counted, mix, seeded, shingles, word_hashes, words_of
 
@@ -150,7 +150,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = band_keys(dart_signatures(elements, weights)).view(np.int64)
             lists = [row if len(e) else [] for row, e in zip(keys.tolist(), elements, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").slice(begin, at - begin), pa.array(nodes, pa.string()), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "node", "bands"]
+                [*(b.column(c).slice(begin, at - begin) for c in ("doc_id", "row_key")), pa.array(nodes, pa.string()), pa.array(lists, pa.list_(pa.int64()))],
+                names=["doc_id", "row_key", "node", "bands"],
             )
 
 
@@ -264,15 +265,15 @@ def _unsettled_pairs(members: DataFrame, hubs: DataFrame, labels: DataFrame, tex
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of `docs`: doc_id, class_id, class_size, node (MD5 of the words joined by one space), keeps.
+    """One row for each row of `docs`: doc_id, row_key, class_id, class_size, node (MD5 of the words joined by one space), keeps.
 
     class_id is the smallest id of the class that is not null (null if it has none), class_size counts rows. Texts of
     equal words are always one class, so all texts without a word are one. `keeps` marks the rows of the document
     that stays: those that carry class_id and the class's kept node, or all if there is no id. Rows that repeat an id
     within a node are told alike. An empty table gives no rows; other columns are neither read nor returned.
     """
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed = stored(base.mapInArrow(_sign, "doc_id long, node string, bands array<long>"), "signatures")
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("row_key"), F.col(text).cast("string").alias("text"))
+    signed = stored(base.mapInArrow(_sign, "doc_id long, row_key string, node string, bands array<long>"), "signatures")
     nodes = stored(signed.groupBy("node").agg(F.min("doc_id").alias("low_id"), F.count(F.lit(1)).alias("n"), F.any_value("bands").alias("bands")), "nodes")
     slots = nodes.select("node", F.explode("bands").alias("bucket"))
     crowded = slots.groupBy("bucket").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1")
@@ -296,9 +297,9 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     of = of.join(classes, "label")
     kept_node = of.filter(F.col("low_id").eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min("node").alias("kept_node"))
     of = of.join(kept_node, "label").select("node", "class_id", "class_size", "kept_node")
-    found = signed.select("doc_id", "node").join(of, "node")
+    found = signed.select("doc_id", "row_key", "node").join(of, "node")
     keeps = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("kept_node"))
-    return found.select("doc_id", "class_id", "class_size", "node", keeps.alias("keeps"))
+    return found.select("doc_id", "row_key", "class_id", "class_size", "node", keeps.alias("keeps"))
 
 
 def _joined_words(text):
