@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitloom.llm import exact_dedup as dedup
-from pitloom.llm import language_id, mixing, near_dedup, piece_codec
+from pitloom.llm import language_id, mixing, near_dedup, piece_codec, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -41,6 +41,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+@_query("op2_substring_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
+
+
 @_query("op4_sentencepiece")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_digests(_table(spark, sf_dir, "documents"))
