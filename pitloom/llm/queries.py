@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitloom.llm import exact_dedup as dedup
-from pitloom.llm import language_id, mixing, near_dedup, piece_codec, substring_dedup
+from pitloom.llm import language_id, lattice_lm, mixing, near_dedup, piece_codec, secret_scan, substring_dedup, topk_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -56,6 +56,33 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(_table(spark, sf_dir, "documents")).drop("row_key")
 
 
+OP5_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@_query("op5_exact_top_k", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_index.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@_query("op8_secret_scan")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+@_query("op10_lattice_lm")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 @_query("op6_language_id")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_id.identify(_table(spark, sf_dir, "documents"), declared=F.col("lang"), address=F.col("source"))
