@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitloom.llm import exact_dedup as dedup
-from pitloom.llm import language_id, lattice_lm, mixing, near_dedup, piece_codec, secret_scan, substring_dedup, topk_index
+from pitloom.llm import language_id, lattice_lm, mixing, near_dedup, pii, piece_codec, secret_scan, substring_dedup, topk_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -46,6 +46,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+@_query("op3_pii")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 @_query("op4_sentencepiece")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_digests(_table(spark, sf_dir, "documents"))
