@@ -35,8 +35,8 @@ TYPES = {
     "card": r"[0-9][0-9-]{11,22}[0-9]",
     "phone": r"\(?[0-9][0-9().-]{6,16}[0-9]",
 }
-#: A token of 6 to 64 characters that holds a digit or an at sign.
-TOKEN = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]*?[0-9@])[^\x20\x09-\x0D]{6,64}(?![^\x20\x09-\x0D])"
+#: A token of 6 to 64 characters that holds a digit or an at sign, also a spelt one.
+TOKEN = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]*?(?:[0-9@]|[\[(]at[\])]))[^\x20\x09-\x0D]{6,64}(?![^\x20\x09-\x0D])"
 _WORD = r"[^\x20\x09-\x0D]"
 #: Characters on either side in which a neighbouring word is sought.
 AROUND = 48

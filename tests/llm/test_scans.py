@@ -1,0 +1,161 @@
+import hashlib
+import random
+import re
+
+from pitloom.llm import language_id, pii, secret_scan
+from pyspark.sql import functions as F
+
+PII = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        v = int(c) * (1 + i % 2)
+        total += v - 9 if v > 9 else v
+    return total % 10 == 0
+
+
+def pii_fits(kind, v):
+    if kind == "email":
+        return True
+    if kind == "ip":
+        return all(int(x) <= 255 for x in v.split("."))
+    d = re.sub("[^0-9]", "", v)
+    return 13 <= len(d) <= 19 and luhn(d) if kind == "card" else 9 <= len(d) <= 15
+
+
+def brute_pii(t):
+    spans, n = [], []
+    for k, p in PII.items():
+        found = [f"{k}:{m.start()}:{m.end()}" for m in re.finditer(p, t or "") if pii_fits(k, m[0])]
+        spans += found
+        n.append(len(found))
+    return (*n, hashlib.sha256(",".join(spans).encode()).hexdigest())
+
+
+HARD = [
+    None,
+    "",
+    "a@b.c_x@y.org a@b@c.d é x@é.com 😀 z@z.zz q@q-q.q.q.",
+    "1.2.3.4.5.6.7.8 256.1.1.1 001.02.3.255 1.2.3",
+    "4111 1111 1111 1111 and 4111-1111-1111-1111x 4111  1111 +1 (555) 123-4567 +49.30.1234567. +1+22222222222 ",
+    "1 " * 5000 + "a" * 20000 + "@",
+    "+" + "1 " * 300,
+    "x@y.z" * 2000,
+    "9" * 50000,
+]
+
+
+def test_pii_base_matches_brute_force(spark, docs, sf_dir):
+    hard = spark.createDataFrame(list(enumerate(HARD)), "doc_id long, text string")
+    for table in (hard, docs, spark.read.parquet(f"{sf_dir}/documents.parquet")):
+        got = {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in pii.find(table).collect()}
+        assert got == {r.doc_id: brute_pii(r.text) for r in table.select("doc_id", "text").collect()}
+
+
+def test_pii_learns_contexts(spark, odd, nothing):
+    r = random.Random(2)
+    rows = [(i, f"please write ticketmail: user{i}@mail{i}.example.com soon and {r.randrange(99)} of the rest") for i in range(8)]
+    rows += [(20, "so ticketmail: someone[at]hidden.example now"), (21, "the other@odd and nothing else")]
+    found = {x.doc_id: x for x in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[20].spans == "email:15:40" and found[20].n_added == 1 and found[20].n_email == 0
+    assert found[21].spans == "" and all(found[i].n_added == 0 and found[i].n_email == 1 for i in range(8))
+    assert pii.find(nothing).count() == 0 and pii.find(odd).count() == 8
+
+
+def test_pii_plan_is_native(spark, docs):
+    plan = pii.base_matches(docs)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+SECRETS = {
+    "assign": (r"""(?ia:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 12),
+    "access": (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 18),
+    "hex": (r"[0-9a-f]+", lambda m: len(m[0]) >= 16),
+}
+
+
+def brute_secrets(t):
+    spans, n = [], []
+    for k, (p, fits) in SECRETS.items():
+        found = [(m.start(), list(SECRETS).index(k), m.end()) for m in re.finditer(p, t or "") if fits(m)]
+        spans += found
+        n.append(len(found))
+    names = list(SECRETS)
+    return (*n, hashlib.sha256(",".join(f"{names[k]}:{s}:{e}" for s, k, e in sorted(spans)).encode()).hexdigest())
+
+
+def test_secret_base_matches_brute_force(spark, docs, odd, nothing, sf_dir):
+    hard = ["Token = 'abcdefABCDEF012' PASSWD:x api_key=" + "A" * 40, "AKIA" + "B" * 13 + " AKIA" + "9" * 14, "ſecret=abcdefghijklmnop K", "é " + "0f" * 40, None, "toKen:" * 3000]
+    for table in (spark.createDataFrame(list(enumerate(hard)), "doc_id long, text string"), docs, spark.read.parquet(f"{sf_dir}/documents.parquet")):
+        got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in secret_scan.scan(table).collect()}
+        assert got == {r.doc_id: brute_secrets(r.text) for r in table.select("doc_id", "text").collect()}
+    assert secret_scan.scan(nothing).count() == 0 and secret_scan.scan(odd).count() == 8
+
+
+def test_secret_novelty(spark):
+    rows = [
+        (1, "set the credential to the x9Qz7Lk2Vb8TnR4wYp3M before start"),
+        (2, "the credential ConnectionFactory2BuilderImpl and ConnectionFactory2BuilderImpl again ConnectionFactory2BuilderImpl"),
+        (3, "a plain text with x9Qz7Lk2Vb8TnR4wYp3M but nothing near"),
+    ]
+    got = {r.doc_id: r.spans for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "novel:26:46", 2: "", 3: ""}
+
+
+def test_language_held_out_accuracy(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    hidden = F.when(F.col("doc_id") % 5 != 0, F.col("lang"))
+    got = language_id.identify(docs, declared=hidden, address=F.col("source")).filter("doc_id % 5 = 0").join(docs.select("doc_id", F.col("lang").alias("true_lang")), "doc_id").collect()
+    assert sum(r.lang == r.true_lang for r in got) >= 0.95 * len(got)
+    assert sum(r.accepted for r in got) >= 0.97 * len(got)
+
+
+def test_language_matches_brute_force(spark, docs, corpus, odd, nothing):
+    """The fused posterior, computed again row by row from the definitions."""
+    import numpy as np
+
+    got = {r.doc_id: r for r in language_id.identify(docs, declared=F.col("lang"), address=F.col("source")).collect()}
+    rows = [(i, t, ("en", "de")[i % 2], f"src{i % 3}") for i, t in corpus]
+    langs = ["en", "de"]
+    count = np.zeros((2, language_id.COUNTERS))
+    for _, t, lang, _ in rows:
+        np.add.at(count[langs.index(lang)], language_id.trigrams(t), 1)
+    count += language_id.SMOOTHING
+    logp = np.log(count / count.sum(axis=1, keepdims=True)).astype(np.float32)
+    like = {i: logp[:, language_id.trigrams(t)].sum(axis=1, dtype=float) for i, t, _, _ in rows}
+    own = {i: int(like[i].argmax()) if len(language_id.trigrams(t)) else None for i, t, _, _ in rows}
+    hosts = {h: np.array([sum(own[i] == k for i, _, _, s in rows if s == h) for k in range(2)], float) for h in ("src0", "src1", "src2")}
+    whole = sum(hosts.values())
+    confusion = np.ones((2, 2))
+    for i, _, lang, _ in rows:
+        if own[i] is not None:
+            confusion[own[i], langs.index(lang)] += 1
+    confusion /= confusion.sum(axis=1, keepdims=True)
+    for i, t, lang, h in rows:
+        less = np.array([own[i] == k for k in range(2)], float)
+        corpus_p = (whole - less + 0.5) / ((whole - less).sum() + 1)
+        suffix_p = (whole - less + 50 * corpus_p) / ((whole - less).sum() + 50)
+        prior = (hosts[h] - less + 20 * suffix_p) / ((hosts[h] - less).sum() + 20)
+        score = like[i] + np.log(prior) + np.log(confusion[:, langs.index(lang)])
+        odds = np.exp(score - score.max())
+        assert abs(got[i].posterior - (odds / odds.sum()).max()) < 1e-6
+        assert got[i].accepted == (own[i] is not None)
+    assert language_id.identify(nothing, declared=F.col("lang")).count() == 0
+    assert language_id.identify(odd, declared=F.col("lang")).count() == 8
+
+
+def test_language_reads_markup_and_addresses(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    body = F.regexp_replace("html", "(?s)<[^>]*>", " ")
+    table = pages.withColumn("text", body)
+    got = language_id.identify(table, doc_id="page_id", declared=language_id.markup_language(F.col("html")), address=F.col("url"))
+    assert got.count() == pages.count() and got.filter("accepted").count() > 0.9 * pages.count()
+    hosts = spark.createDataFrame([("https://u@A.b.Example.org:80/x?y", "a.b.example.org"), ("src1", "src1"), (None, "")], "url string, host string")
+    assert all(r[0] == r[1] for r in hosts.select(language_id.host_of(F.col("url")), "host").collect())
