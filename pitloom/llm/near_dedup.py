@@ -35,7 +35,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 5
 FIRST_CELL, CELL = 1 / 16, 0.5
 #: Counters of the frequency sketch that orders shingles by rarity; any order is right, this one is quick.
-SKETCH = 1 << 16
+SKETCH = 1 << 20
 SIZE_STEP = 1.05
 
 
@@ -187,8 +187,9 @@ def _units(text: str) -> np.ndarray:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SKETCH, dtype=np.int64)
     for b in batches:
-        for t in b.column("text").to_pylist():
-            total += np.bincount((_units(t) % U(SKETCH)).astype(np.int64), minlength=SKETCH)
+        units = [_units(t) for t in b.column("text").to_pylist()]
+        if units:
+            total += np.bincount((np.concatenate(units) % U(SKETCH)).astype(np.int64), minlength=SKETCH)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["slot", "n"])
 
@@ -201,7 +202,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, probe: bool
     t = THRESHOLD
     for b in batches:
         out: list[tuple] = []
-        for node, text in zip(b.column("node").to_pylist(), b.column("text").to_pylist(), strict=True):
+        for node, label, text in zip(*(b.column(c).to_pylist() for c in ("node", "label", "text")), strict=True):
             units = _units(text)
             n = len(units)
             if not n:
@@ -216,18 +217,18 @@ def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, probe: bool
                 first, last = _step(int(np.ceil(low))), _step(np.floor(high))
                 reps = np.maximum(last - first + 1, 0)
                 step = first + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-                out.append((np.repeat(units, reps), step, np.full(reps.sum(), n), np.repeat(place, reps), [node] * int(reps.sum())))
+                out.append((np.repeat(units, reps), step, np.full(reps.sum(), n), np.repeat(place, reps), [node] * int(reps.sum()), [label] * int(reps.sum())))
             else:
-                out.append((units, np.full(len(place), _step(n)), np.full(len(place), n), place, [node] * len(place)))
+                out.append((units, np.full(len(place), _step(n)), np.full(len(place), n), place, [node] * len(place), [label] * len(place)))
         if out:
             cols = [np.concatenate([o[i] for o in out]) for i in range(4)]
-            names = pa.array([x for o in out for x in o[4]], pa.string())
+            names = [pa.array([x for o in out for x in o[i]], pa.string()) for i in (4, 5)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0].view(np.int64)), *(pa.array(c.astype(np.int64)) for c in cols[1:]), names], names=["unit", "step", "size", "place", "node"]
+                [pa.array(cols[0].view(np.int64)), *(pa.array(c.astype(np.int64)) for c in cols[1:]), *names], names=["unit", "step", "size", "place", "node", "label"]
             )
 
 
-_PREFIX = "unit long, step long, size long, place long, node string"
+_PREFIX = "unit long, step long, size long, place long, node string, label string"
 
 
 def _unsettled_pairs(members: DataFrame, hubs: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame | None:
@@ -241,27 +242,23 @@ def _unsettled_pairs(members: DataFrame, hubs: DataFrame, labels: DataFrame, tex
         return None
     crowd = rows.join(loose.select("bucket").distinct(), "bucket", "left_semi").select("node", "label").distinct()
     crowd = stored(crowd.join(texts, "node"), "crowd")
-    counts = np.zeros(SKETCH, dtype=np.int64)
-    for slot, n in crowd.select("text").mapInArrow(_sketch, "slot long, n long").groupBy("slot").agg(F.sum("n")).collect():  # SKETCH rows at most
-        counts[slot] = n
+    counts = np.zeros(SKETCH, dtype=np.int32)
+    sums = crowd.select("text").mapInArrow(_sketch, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SKETCH rows at most
+    counts[sums.column("slot").to_numpy()] = sums.column("n").to_numpy()
     probing = crowd.join(loose.select("node").distinct(), "node", "left_semi")
-    left = probing.select("node", "text").mapInArrow(partial(_prefixes, counts=counts, probe=True), _PREFIX)
-    right = crowd.select("node", "text").mapInArrow(partial(_prefixes, counts=counts, probe=False), _PREFIX)
+    left = probing.select("node", "label", "text").mapInArrow(partial(_prefixes, counts=counts, probe=True), _PREFIX)
+    right = crowd.select("node", "label", "text").mapInArrow(partial(_prefixes, counts=counts, probe=False), _PREFIX)
     need = THRESHOLD / (1 + THRESHOLD)
     v, u = left.alias("v"), right.alias("u")
     bound = F.col("u.size") + F.col("v.size")
     fits = (
-        (F.col("v.node") != F.col("u.node"))
+        (F.col("v.label") != F.col("u.label"))
         & (F.col("u.size") - F.col("u.place") >= need * bound - 1e-6)
         & (F.col("v.size") - F.col("v.place") >= need * bound - 1e-6)
         & (F.col("u.size") >= THRESHOLD * F.col("v.size") - 1e-6)
     )
     pairs = v.join(u, (F.col("v.unit") == F.col("u.unit")) & (F.col("v.step") == F.col("u.step")) & fits)
-    pairs = pairs.select(F.greatest("v.node", "u.node").alias("a"), F.least("v.node", "u.node").alias("b")).distinct()
-    at = crowd.select("node", "label")
-    pairs = pairs.join(at.select(F.col("node").alias("a"), F.col("label").alias("label_a")), "a")
-    pairs = pairs.join(at.select(F.col("node").alias("b"), F.col("label").alias("label_b")), "b")
-    return pairs.filter("label_a <> label_b").select("a", "b")
+    return pairs.select(F.greatest("v.node", "u.node").alias("a"), F.least("v.node", "u.node").alias("b")).distinct()
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
