@@ -75,9 +75,41 @@ class Measure(NamedTuple):
     fn: str = "sum"
 
 
-def _separable(half_life: float | None, span_days: float = 20_000) -> bool:
-    """May one global origin be used for exp(lambda * day)? (double range, 10 000 days around 2000)"""
-    return half_life is None or math.log(2) / half_life * span_days / 2 < 650
+#: Weights below exp(-_FADED) count as nothing; twice that is the range of a double.
+_FADED = 600.0
+_UNLIMITED_BLOCK = _FADED / 2
+
+
+def _decayed_carry(total: Column, keys: list[str], lam: float, back: int | None) -> Column:
+    """Sum over the earlier cells of a key, each weighted with exp(-lam * buckets), for any date and half life.
+
+    Buckets fall into blocks no longer than a double can span, and weights are relative to a block's start. A limited
+    window touches a block and the one before: two running sums, in which even (odd) blocks are relative to their own
+    start and the others to the next block's, serve the rows of even (odd) blocks. Without a limit a row sums its own
+    block and takes the two before as a whole.
+    """
+    length = max(1, int((_UNLIMITED_BLOCK if back is None else _FADED) / lam))
+    if back is not None:
+        back = min(back, length)
+        length = back + 1
+    block = F.floor(F.col("_b") / length)
+    here = F.exp((F.col("_b") - block * length) * lam)
+    own = total * here
+    if back is None:
+        inside = F.sum(own).over(W.partitionBy(*keys, block).orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
+        by_block = W.partitionBy(*keys).orderBy(block.cast("long"))
+        parts = [inside] + [F.sum(own).over(by_block.rangeBetween(-j, -j)) * math.exp(-lam * length * j) for j in (1, 2)]
+        some = F.coalesce(*parts)
+        whole = parts[0]
+        for x in parts[1:]:
+            whole = _COMBINE["sum"](whole, x)
+        return F.when(some.isNotNull(), whole / here)
+    frame = W.partitionBy(*keys).orderBy("_b").rangeBetween(-back, -1)
+    even = F.pmod(block, F.lit(2)) == 0
+    ahead = own * math.exp(-lam * length)
+    in_even = F.sum(F.when(even, own).otherwise(ahead)).over(frame)
+    in_odd = F.sum(F.when(even, ahead).otherwise(own)).over(frame)
+    return F.when(even, in_even).otherwise(in_odd) / here
 
 
 def _measures(measures, window_days, half_life) -> dict[str, Measure]:
@@ -157,45 +189,19 @@ def trailing_sums(
     # between the cells: one row per (key, bucket)
     totals = src.groupBy(*keys, "_b").agg(*[agg[x.fn](f"_x_{n}").alias(f"_t_{n}") for n, x in m.items()])
     cells = W.partitionBy(*keys).orderBy("_b")
-    origin = F.lit(int(10_957 * DAY_US // bucket_us)).cast("long")
-    listed: dict[int, list[str]] = {}
     carry = []
     for n, x in m.items():
-        lam = rate(x) / per_day
         back = nb[n]
-        if back is None and not _separable(x.half_life):
-            back = math.ceil(1075 * x.half_life * per_day)  # weights further back are exactly 0
-        elif back is not None and (not seq_mode or lower == "exclusive"):
+        if back is not None and (not seq_mode or lower == "exclusive"):
             back -= 1  # the oldest bucket is only partly inside, or out
         if back is not None and back < 1:
-            carry.append(F.lit(None).cast(src.schema[f"_x_{n}"].dataType).alias(f"_c_{n}"))
-            continue
-        frame = cells.rangeBetween(W.unboundedPreceding if back is None else -back, -1)
-        if not x.half_life or x.fn != "sum":
-            carry.append(agg[x.fn](f"_t_{n}").over(frame).alias(f"_c_{n}"))
-        elif _separable(x.half_life):
-            grow = F.exp((F.col("_b") - origin) * lam)
-            carry.append((F.sum(F.col(f"_t_{n}") * grow).over(frame) / grow).alias(f"_c_{n}"))
+            c = F.lit(None).cast(src.schema[f"_x_{n}"].dataType)
+        elif x.half_life and x.fn == "sum":
+            c = _decayed_carry(F.col(f"_t_{n}"), keys, rate(x) / per_day, back)
         else:
-            listed.setdefault(back, []).append(n)
-    lists = []
-    for back, names in listed.items():
-        entry = F.struct(F.col("_b").alias("b"), *[F.col(f"_t_{n}").alias(n) for n in names])
-        lists.append(F.collect_list(entry).over(cells.rangeBetween(-back, -1)).alias(f"_h{back}"))
-    hist = totals.select(*keys, "_b", *carry, *lists)
-
-    def fold(back, n):
-        lam = rate(m[n]) / per_day
-
-        def step(acc, e):
-            v = e[n] * F.exp((e["b"] - F.col("_b")) * lam)
-            return F.coalesce(acc + v, v, acc)
-
-        return F.aggregate(F.col(f"_h{back}"), F.lit(None).cast("double"), step).alias(f"_c_{n}")
-
-    hist = hist.select(
-        *[c for c in hist.columns if not c.startswith("_h")], *[fold(b, n) for b, ns in listed.items() for n in ns]
-    )
+            c = agg[x.fn](f"_t_{n}").over(cells.rangeBetween(W.unboundedPreceding if back is None else -back, -1))
+        carry.append(c.alias(f"_c_{n}"))
+    hist = totals.select(*keys, "_b", *carry)
 
     # inside the cells
     cell = W.partitionBy(*keys, "_b")

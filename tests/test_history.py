@@ -173,3 +173,19 @@ def test_meta_drift_covers_every_date(spark):
     games = spark.createDataFrame([(1, T0, "14.1"), (2, T0 + timedelta(days=1), "14.1")], "gameid long, date timestamp, patch string")
     got = {(r.champion, r.date): r.meta_win_rate_pit for r in meta.meta_drift(picks, games).collect()}
     assert len(got) == 4 and got[("X", T0)] == 0.5 and got[("X", T0 + timedelta(days=1))] == pytest.approx(2 / 3)
+
+
+@pytest.mark.parametrize("window,half_life", [(None, 10.7), (90, 10.7), (None, 21), (365, 0.5), (40, 0.05)])
+def test_decay_is_finite_for_any_date(spark, window, half_life):
+    """Late, early and far-apart dates: finite, and equal to brute force while a weight is above exp(-600)."""
+    starts = [datetime(1905, 3, 1), datetime(2030, 1, 1), datetime(2060, 5, 5), datetime(9990, 1, 1)]
+    rows = [(10 * j + i, "k", t0 + timedelta(days=7 * i, hours=5 * i), float(i + 1), 0) for j, t0 in enumerate(starts) for i in range(8)]
+    for seq in (False, True):
+        out = trailing_sums(
+            frame(spark, rows), ["k"], "ts", {"s": F.col("x")}, window_days=window, half_life=half_life, isolation="sequence" if seq else "strict_time", seq=["ts", "id"]
+        )
+        want = brute(rows, window, half_life, seq)
+        for r in out.collect():
+            s, _, n = want[r.id]
+            assert r.s is None or math.isfinite(r.s)
+            assert abs((r.s or 0.0) - s) <= 1e-9 * max(1.0, abs(s)), (r.id, r.s, s)
