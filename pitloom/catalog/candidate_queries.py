@@ -644,7 +644,8 @@ def rule_pick_general(spark, sf):
     with_inputs(
         "SELECT query_id, candidate_id, score, rank FROM (SELECT gameid AS query_id, cid AS candidate_id, score, row_number() OVER (PARTITION BY gameid ORDER BY score DESC, cid) AS rank FROM ("
         "SELECT q.gameid, q.cid, round(0.5 * ms.m / 10 + 0.5 * q.wr, 4) AS score, q.wr >= 0.5 AS good, bool_or(q.wr >= 0.5) OVER (PARTITION BY q.gameid) AS any_good "
-        "FROM qc q JOIN tp ON tp.gameid = q.gameid JOIN ms ON ms.player_id = tp.player_id AND ms.cid = q.cid) WHERE good OR NOT any_good) WHERE rank <= 3",
+        "FROM qc q JOIN tp ON tp.gameid = q.gameid JOIN ms ON ms.player_id = tp.player_id AND ms.cid = q.cid) WHERE good OR NOT any_good) WHERE rank <= 3 UNION ALL "
+        + _top("round(0.6 * presence + 0.4 * wr, 4)", 50, "FROM qc WHERE gameid NOT IN (SELECT tp.gameid FROM tp JOIN ms ON ms.player_id = tp.player_id)"),
         "player_rows",
         "vocab",
         "prior",

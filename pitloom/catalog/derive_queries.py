@@ -224,10 +224,10 @@ def time_split(spark, sf):
     return prep.time_split(i, "i").select("event_id", "split")
 
 
-@query("group_kfold")
+@query("group_kfold", "SELECT l_orderkey, l_linenumber, CAST(('0x' || substr(md5(l_orderkey::VARCHAR), 1, 15))::BIGINT % 5 AS INTEGER) AS fold FROM lineitem")
 def group_kfold(spark, sf):
     li = I.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
-    return prep.group_kfold(li, "l_orderkey").groupBy("fold").agg(F.count_distinct("l_orderkey").alias("groups"))
+    return prep.group_kfold(li, "l_orderkey")
 
 
 @query(
@@ -354,14 +354,19 @@ def standardise(spark, sf):
     return a.union(b).select("o_orderkey", (r("z") + 0.0).alias("z"))
 
 
-@query("stratified_sample")
+@query(
+    "stratified_sample",
+    "WITH d AS (SELECT doc_id, lang, md5(doc_id || ':42') AS h FROM documents), "
+    "f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY h, doc_id) AS rn FROM d WHERE lang IN ('en', 'fr', 'de')) WHERE rn <= 30), "
+    "o AS (SELECT *, row_number() OVER (ORDER BY h, doc_id) AS rn FROM d WHERE doc_id NOT IN (SELECT doc_id FROM f)) "
+    "SELECT doc_id, lang FROM f UNION ALL SELECT doc_id, lang FROM o WHERE rn <= 90 - (SELECT count(*) FROM f)",
+)
 def stratified_sample(spark, sf):
     d = I.table(spark, sf, "documents").select("doc_id", "lang")
-    s = prep.stratified_sample(d, "lang", ["en", "fr", "de"], 90, "doc_id")
-    return s.groupBy("lang").agg(F.count("*").alias("n"))
+    return prep.stratified_sample(d, "lang", ["en", "fr", "de"], 90, "doc_id")
 
 
-@query("holdout")
+@query("holdout", "SELECT event_id, CAST(('0x' || substr(md5(event_id || ':42'), 1, 15))::BIGINT % 1000000 < 200000 AS INTEGER) AS holdout FROM events")
 def holdout(spark, sf):
     e = I.table(spark, sf, "events").select("event_id")
-    return prep.holdout(e, "event_id").groupBy("holdout").agg(F.count("*").alias("n"))
+    return prep.holdout(e, "event_id")

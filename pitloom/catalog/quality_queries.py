@@ -157,7 +157,7 @@ def drift_report(spark, sf):
     return Q.drift_report(p, ["event_type"], 0.005).drop("drifted")
 
 
-@query("sample_cap")
+@query("sample_cap", "SELECT least(count(*), 500) AS n FROM events")
 def sample_cap(spark, sf):
     e = I.table(spark, sf, "events").select("event_id")
     return Q.sample_cap(e, 500, ["event_id"]).agg(F.count("*").alias("n"))
@@ -265,9 +265,15 @@ def segment_metrics(spark, sf):
     return out.select("segment", "n", r("log_loss", 5).alias("log_loss"), r("brier").alias("brier"), r("accuracy").alias("accuracy"), r("auc").alias("auc"))
 
 
-@query("bootstrap_ci")
+@query(
+    "bootstrap_ci",
+    with_inputs(f"SELECT round(auc, 6) AS auc, true AS covered, CAST(200 AS BIGINT) AS resamples FROM ({_AUC.format(g='', x='', p='', q='')})", "preds"),
+)
 def bootstrap_ci(spark, sf):
-    return M.bootstrap_ci(I.preds(spark, sf), "y", "p", n=200, digits=2)
+    """The interval's ends are random; that it covers the statistic, and that all resamples count, is not."""
+    p = I.preds(spark, sf)
+    both = M.bootstrap_ci(p, "y", "p", n=200).join(M.auc(p, "y", "p"))
+    return both.select(r("auc").alias("auc"), F.col("auc").between(F.col("lower"), F.col("upper")).alias("covered"), "resamples")
 
 
 @query(

@@ -45,12 +45,13 @@ def _cells(df: DataFrame, y: str, p: str, by: list[str], weight: str | None = No
 def _auc_of_cells(cells: DataFrame, by: list[str]) -> DataFrame:
     """Area under the curve from score cells, ties counted half.
 
-    Cells are ordered inside buckets of 1/1024 of the score range, so a segment
-    with very many distinct scores is spread over tasks.
+    Cells are ordered inside buckets of the squashed score p / (1 + |p|), of which
+    there are at most 4096 whatever the scores are, so a segment with very many
+    distinct scores is spread over tasks.
     """
     keys = by or ["_all"]
     src = cells if by else cells.withColumn("_all", F.lit(0))
-    seen = prior_scan(src, keys, F.floor(F.col("_p") * 1024), ["_p"], {"_below": ("sum", F.col("_neg"))})
+    seen = prior_scan(src, keys, F.floor(F.col("_p") / (1 + F.abs("_p")) * 2048), ["_p"], {"_below": ("sum", F.col("_neg"))})
     won = F.sum(F.col("_pos") * (F.coalesce("_below", F.lit(0.0)) + F.col("_neg") / 2))
     return seen.groupBy(*keys).agg(
         F.try_divide(won, F.sum("_pos") * F.sum("_neg")).alias("auc"), F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg")
@@ -81,30 +82,81 @@ def segment_metrics(df: DataFrame, segment: str, y: str, p: str, min_n: int = 10
     return ok.filter((F.col("n") >= min_n) & (F.col("n_pos") > 0) & (F.col("n_neg") > 0)).drop("n_pos", "n_neg")
 
 
-def bootstrap_ci(df: DataFrame, y: str, p: str, n: int = 1000, seed: int = 42, digits: int = 3) -> DataFrame:
+def _mixed(x):
+    """Spreads 64-bit numbers over the whole range."""
+    import numpy as np
+
+    u = np.uint64
+    x = (x ^ (x >> u(30))) * u(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> u(27))) * u(0x94D049BB133111EB)
+    return x ^ (x >> u(31))
+
+
+def poisson_weights(counts, hashes, n: int):
+    """(cells, n) Poisson draws with the counts as means; equal hashes give equal draws in any partitioning."""
+    import numpy as np
+
+    out = np.zeros((len(counts), n))
+    small = counts <= 16
+    key = hashes.view(np.uint64)[:, None] + np.arange(n, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    chance = (_mixed(key) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    term = np.exp(-np.minimum(counts, 16.0))[:, None]
+    total, k = term.copy(), 0
+    while k < 90 and (more := (chance >= total) & small[:, None]).any():
+        out += more
+        k += 1
+        term = term * (counts[:, None] / k)
+        total = total + term
+    for i in np.flatnonzero(~small):  # a cell of many rows has a generator of its own
+        out[i] = np.random.default_rng(int(hashes.view(np.uint64)[i])).poisson(counts[i], n)
+    return out
+
+
+def bootstrap_ci(df: DataFrame, y: str, p: str, n: int = 1000, seed: int = 42) -> DataFrame:
     """Percentile interval of the AUC over Poisson resamples.
 
-    Rows with the same label and (rounded) score are interchangeable, so a
-    resample draws one Poisson(count) per cell instead of one Poisson(1) per
-    row. The work grows with the cells (10^digits x 2), not with the rows.
+    Rows with the same label and the same score are interchangeable, so a resample draws one Poisson(count) per cell.
+    Cells are dealt by ranges of the score; a range sums, for all resamples at once, the pairs won inside it and its
+    weights, and what ranges win against each other is added from one row per range.
     """
     import numpy as np
     import pandas as pd
 
-    cells = df.groupBy(F.col(y).cast("int").alias("y"), F.round(F.col(p), digits).alias("p")).agg(F.count("*").alias("c"))
+    cells = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
+    cells = cells.groupBy(F.col(y).cast("int").alias("y"), F.col(p).cast("double").alias("p")).agg(F.count("*").cast("double").alias("c"))
+    cells = cells.withColumn("h", F.xxhash64("y", "p", F.lit(seed))).repartitionByRange("p").sortWithinPartitions("p")
 
     def draw(batches):
+        won, pos, neg, tie, low, last = np.zeros(n), np.zeros(n), np.zeros(n), (np.zeros(n), np.zeros(n)), None, None
         for pdf in batches:
-            for row_y, row_p, c in zip(pdf["y"], pdf["p"], pdf["c"]):
-                rng = np.random.default_rng([seed, int(row_y), int(round(row_p * 10**digits))])
-                w = rng.poisson(c, n)
-                yield pd.DataFrame({"b": np.arange(n), "y": row_y, "p": row_p, "w": w.astype(float)})
-
-    spread = cells.repartition("y", "p").mapInPandas(draw, "b int, y int, p double, w double")
-    per = auc(spread, "y", "p", ["b"], "w")
-    return per.agg(
-        F.percentile("auc", F.array(F.lit(0.025), F.lit(0.975))).alias("_q"), F.avg("auc").alias("mean"), F.count("*").alias("resamples")
-    ).select(F.col("_q")[0].alias("lower"), F.col("_q")[1].alias("upper"), "mean", "resamples")
+            for at in range(0, len(pdf), 256):
+                part = pdf.iloc[at : at + 256]
+                w = poisson_weights(part["c"].to_numpy(), part["h"].to_numpy(), n)
+                for score, label, x in zip(part["p"].to_numpy(), part["y"].to_numpy(), w):
+                    if score != last:  # the cells of one score are settled together
+                        won += tie[0] * (neg + tie[1] / 2)
+                        pos, neg, tie, last = pos + tie[0], neg + tie[1], (np.zeros(n), np.zeros(n)), score
+                        low = score if low is None else low
+                    tie[0 if label == 1 else 1][:] += x
+        if low is not None:
+            won += tie[0] * (neg + tie[1] / 2)
+            yield pd.DataFrame({"low": [low], "won": [won], "pos": [pos + tie[0]], "neg": [neg + tie[1]]})
+
+    def combine(pdf):
+        won, pos, neg = np.zeros(n), np.zeros(n), np.zeros(n)
+        for r in pdf.sort_values("low").itertuples():
+            won += r.won + np.asarray(r.pos) * neg
+            pos, neg = pos + r.pos, neg + r.neg
+        with np.errstate(invalid="ignore", divide="ignore"):
+            auc_n = won / (pos * neg)
+        auc_n = auc_n[np.isfinite(auc_n)]
+        if not len(auc_n):
+            return pd.DataFrame({"lower": [None], "upper": [None], "mean": [None], "resamples": [0]})
+        lower, upper = np.quantile(auc_n, [0.025, 0.975])
+        return pd.DataFrame({"lower": [lower], "upper": [upper], "mean": [auc_n.mean()], "resamples": [len(auc_n)]})
+
+    per = cells.select("y", "p", "c", "h").mapInPandas(draw, "low double, won array<double>, pos array<double>, neg array<double>")
+    return per.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(combine, "lower double, upper double, mean double, resamples long")
 
 
 def fold_summary(metrics: DataFrame, metric: str, fold: str, baseline: float, band: float = 0.005, by: list[str] = ()) -> DataFrame:
@@ -276,8 +328,9 @@ def score(df: DataFrame, model, cols: list[str], out: str = "p") -> DataFrame:
     return df.mapInPandas(run, f"{schema}, `{out}` double")
 
 
-def fit_bagged(df: DataFrame, cols: list[str], label: str, weight: str | None = None, seeds: list[int] = (42,), kind: str = "gbt", **params):
-    """One Spark ML classifier per seed on a hash sample of the rows; returns the fitted models."""
+def fit_bagged(df: DataFrame, cols: list[str], label: str, weight: str | None = None, seeds: list[int] = (42,), kind: str = "gbt", share: float = 1.0, **params):
+    """One Spark ML classifier per seed; returns the fitted models. With `share` below 1 each sees that part of the
+    rows, chosen by a hash of the row and the seed, so in any partitioning the same."""
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
@@ -290,7 +343,8 @@ def fit_bagged(df: DataFrame, cols: list[str], label: str, weight: str | None =
             est = LogisticRegression(labelCol=label, featuresCol="features", **params)
         if weight:
             est = est.setWeightCol(weight)
-        models.append(est.fit(data.sample(0.9, seed=s) if len(seeds) > 1 else data))
+        part = F.pmod(F.xxhash64(*cols, label, F.lit(s)), F.lit(1_000_000)) < int(share * 1_000_000)
+        models.append(est.fit(data.filter(part) if share < 1 else data))
     return models
 
 

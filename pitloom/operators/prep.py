@@ -62,8 +62,13 @@ def time_split(df: DataFrame, index: str, val_ratio: float = 0.15) -> DataFrame:
 
 
 def group_kfold(df: DataFrame, group: str, k: int = 5) -> DataFrame:
-    """Fold number per group from a hash, so groups stay whole without any shuffle."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.col(group).cast("string")), F.lit(k)).cast("int"))
+    """Fold number per group from the first 60 bits of an MD5, so groups stay whole without any shuffle."""
+    return df.withColumn("fold", F.pmod(_place(F.col(group).cast("string")), F.lit(k)).cast("int"))
+
+
+def _place(key):
+    """A number below 2 ** 60 that any engine with MD5 finds again."""
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
 
 
 def sessionise(df: DataFrame, keys: list[str], bucket, order: list[str], step: str, out: str = "match_no") -> DataFrame:
@@ -173,14 +178,14 @@ def oof_stitch(base: DataFrame, folds: DataFrame, key: str, cols: list[str]) ->
     rank = F.struct("fold", (F.col("split") == "train").cast("int"))
     one = usable.groupBy(key).agg(F.max_by(F.struct(*cols), rank).alias("_r")).select(key, "_r.*")
     joined = base.join(one, key, "left")
-    med = medians(joined, cols)
-    return joined.withColumns({c: F.coalesce(F.col(c), med.select(c).scalar()) for c in cols})
+    med = medians(joined, cols).select(F.struct(*cols)).scalar()
+    return joined.withColumns({c: F.coalesce(F.col(c), med[c]) for c in cols})
 
 
 def median_fill(train: DataFrame, test: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
     """Nulls of both parts become the exact train median."""
-    med = medians(train, cols)
-    fill = {c: F.coalesce(F.col(c), med.select(c).scalar()) for c in cols}
+    med = medians(train, cols).select(F.struct(*cols)).scalar()
+    fill = {c: F.coalesce(F.col(c), med[c]) for c in cols}
     return train.withColumns(fill), test.withColumns(fill)
 
 
@@ -202,10 +207,10 @@ def ranking_frame(scores: DataFrame, q: str, cand: str, score: str, label: str,
 
 def standardise(train: DataFrame, others: list[DataFrame], cols: list[str]) -> list[DataFrame]:
     """(x - mean) / population deviation, both from train; a constant column is only centred."""
-    stats = train.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in cols])
+    stats = train.agg(F.struct(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in cols])).scalar()
 
     def scale(c):
-        st = stats.select(c).scalar()
+        st = stats[c]
         return (F.col(c) - st["m"]) / F.when(st["s"] > 0, st["s"]).otherwise(1.0)
 
     return [d.withColumns({c: scale(c) for c in cols}) for d in [train, *others]]
@@ -218,7 +223,7 @@ def stratified_sample(df: DataFrame, stratum: str, values: list, n: int, key: st
     each step keeps at most n rows before it shuffles.
     """
     per = max(1, n // len(values))
-    h = F.xxhash64(F.col(key), F.lit(seed))
+    h = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
     src = df.withColumn("_h", h)
     w = W.partitionBy(stratum).orderBy("_h", key)
     first = src.filter(F.col(stratum).isin(values)).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per).drop("_r")
@@ -229,6 +234,6 @@ def stratified_sample(df: DataFrame, stratum: str, values: list, n: int, key: st
 
 
 def holdout(df: DataFrame, key: str, frac: float = 0.2, seed: int = 42) -> DataFrame:
-    """Seeded hold-out by hash of the key: the same rows in any partitioning."""
-    u = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000))
+    """Seeded hold-out by an MD5 of the key: the same rows in any partitioning."""
+    u = F.pmod(_place(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), F.lit(1_000_000))
     return df.withColumn("holdout", (u < int(frac * 1_000_000)).cast("int"))

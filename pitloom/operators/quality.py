@@ -147,9 +147,75 @@ FEATURE_RANGES = (
     ("team_wr_max_gap", -1.0, 1.0),
     ("team_wr_balance", 0.0, 1.0),
     ("team_wr_x_roster_wr", 0.0, 1.0),
+    ("bloodiness_x_aggression", -20.0, 20.0),
+    ("early_power_x_snowball", -20.0, 20.0),
+    ("ckpm_x_aggression", -20.0, 20.0),
+    ("wr_x_aggression", -20.0, 20.0),
+    ("tf_win_logits", -100.0, 100.0),
     ("tf_cosine_sim", -1.0, 1.0),
+    ("tf_blue_l2norm", 0.0, 100.0),
+    ("tf_red_l2norm", 0.0, 100.0),
     ("champion_", 0.0, 1.0),
 )
+# Range of each candidate column (whole name); columns not listed have ANY_RANGE.
+CANDIDATE_RANGES = (
+    ("meta_pick", -1e-6, 1.0 + 1e-6),
+    ("meta_ban", -1e-6, 1.0 + 1e-6),
+    ("meta_presence", -1e-6, 1.0 + 1e-6),
+    ("meta_wr", -1e-6, 1.0 + 1e-6),
+    ("player_mastery", 0.0, 150.0),
+    ("player_recent_kda", 0.0, 100.0),
+    ("player_recent_wr", 0.0, 1.0),
+    ("player_overall_kda", 0.0, 100.0),
+    ("player_overall_wr", 0.0, 1.0),
+    ("player_overall_games", 0.0, 10000.0),
+    ("pos_top", 0.0, 1.0),
+    ("pos_jng", 0.0, 1.0),
+    ("pos_mid", 0.0, 1.0),
+    ("pos_bot", 0.0, 1.0),
+    ("pos_sup", 0.0, 1.0),
+    ("ally_synergy", 0.0, 1.0),
+    ("enemy_synergy", 0.0, 1.0),
+    ("enemy_counter", 0.0, 1.0),
+    ("ally_counter", 0.0, 1.0),
+    ("ally_role_fit", 0.0, 1.2),
+    ("enemy_role_fit", 0.0, 1.2),
+    ("is_pick", 0.0, 1.0),
+    ("enemy_mastery_max", 0.0, 150.0),
+    ("enemy_mastery_mean", 0.0, 150.0),
+    ("ban_step", 0.0, 20.0),
+    ("grudge", 0.0, 1.0),
+    ("respect", 0.0, 1.0),
+    ("hot_streak", 0.0, 10.0),
+    ("n_ally_picked", 0.0, 5.0),
+    ("is_red_side", 0.0, 1.0),
+    ("last_ally_synergy", 0.0, 1.0),
+    ("is_fearless_banned", 0.0, 1.0),
+    ("player_recent_games", 0.0, 1000.0),
+)
+# Range of each place of the game context vector.
+CONTEXT_RANGES = (
+    ("league_LPL", 0.0, 1.0),
+    ("league_LCK", 0.0, 1.0),
+    ("league_LEC", 0.0, 1.0),
+    ("blue_team_avg_ckpm", 0.0, 5.0),
+    ("blue_team_avg_golddiffat15", -10000.0, 10000.0),
+    ("blue_team_avg_gamelength", 900.0, 4000.0),
+    ("blue_team_firstdragon_rate", 0.0, 1.0),
+    ("blue_team_firsttower_rate", 0.0, 1.0),
+    ("red_team_avg_ckpm", 0.0, 5.0),
+    ("red_team_avg_golddiffat15", -10000.0, 10000.0),
+    ("red_team_avg_gamelength", 900.0, 4000.0),
+    ("red_team_firstdragon_rate", 0.0, 1.0),
+    ("red_team_firsttower_rate", 0.0, 1.0),
+    ("is_playoffs", 0.0, 1.0),
+    ("first_pick_map_side", 0.0, 1.0),
+    ("is_game_1", 0.0, 1.0),
+    ("is_game_2", 0.0, 1.0),
+    ("is_game_3", 0.0, 1.0),
+    ("is_game_4", 0.0, 1.0),
+    ("is_game_5", 0.0, 1.0),
+)
 ANY_RANGE = (-10000.0, 10000.0)
 
 
@@ -162,15 +228,20 @@ def feature_range(name: str, rules=FEATURE_RANGES, default=ANY_RANGE) -> tuple[f
     return (-(hit[1] - hit[0]), hit[1] - hit[0]) if name.startswith("diff_") else hit
 
 
-def validate_ranges(df: DataFrame, cols: list[str], rules=FEATURE_RANGES, keys: list[str] = ()) -> DataFrame:
+def exact_range(name: str, rules, default=ANY_RANGE) -> tuple[float, float]:
+    """Range of a column by its whole name."""
+    return next(((lo, hi) for k, lo, hi in rules if k == name), default)
+
+
+def validate_ranges(df: DataFrame, cols: list[str], rules=FEATURE_RANGES, keys: list[str] = (), whole_names: bool = False) -> DataFrame:
     """Rows (keys, feature, value, lo, hi) for every value outside its range.
 
-    Ranges are resolved from the names while the plan is built; the data is
-    read once and only violations are unfolded.
+    Ranges are resolved from the names while the plan is built (`whole_names`: as they are, for CANDIDATE_RANGES and
+    CONTEXT_RANGES; otherwise by part of a name); the data is read once and only violations are unfolded.
     """
     found = []
     for c in cols:
-        lo, hi = feature_range(c, rules)
+        lo, hi = (exact_range if whole_names else feature_range)(c, rules)
         x = F.col(c).cast("double")
         entry = F.struct(F.lit(c).alias("feature"), x.alias("value"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
         found.append(F.when((x < lo) | (x > hi) | F.isnan(x), entry))

@@ -57,7 +57,7 @@ def write_stores(frames: dict[str, DataFrame], root: str) -> dict[str, DataFrame
 
 # What a slot without a store row is given.
 SLOT_DEFAULTS = {
-    "mastery_score": 0.0,
+    "mastery_score": 32.5,
     "player_recent_kda_90d": 3.0,
     "player_recent_wr_90d": 0.5,
     "player_recent_games_90d": 0,

@@ -17,9 +17,12 @@ from pitloom.operators.quality import _bin, psi_value, unfold
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Folder for checkpoints: the cluster's shared one, a local one only where none is set (tests)."""
+    """Folder for checkpoints and written tables: the shared one that spark.checkpoint.dir names; a purely local session may do without."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         root = tempfile.mkdtemp(prefix="pitloom-")
@@ -27,10 +30,10 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def log_sink(df: DataFrame, path: str, checkpoint: str, model: str, ts: str = "timestamp", rate: float = 1.0, key: str | None = None):
-    """Append a feature stream to daily partitions; sampling by hash, so a replay keeps the same rows."""
+    """Append a feature stream to daily partitions; sampling by a hash of `key` (of the whole row without one), so a replay keeps the same rows."""
     rows = df.withColumns({"model": F.lit(model), "dt": F.to_date(ts)})
-    if rate < 1 and key is not None:
-        rows = rows.filter(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(rate * 1_000_000))
+    if rate < 1:
+        rows = rows.filter(F.pmod(F.xxhash64(*([key] if key else df.columns)), F.lit(1_000_000)) < int(rate * 1_000_000))
     return (
         rows.writeStream.format("parquet")
         .partitionBy("model", "dt")
@@ -42,8 +45,11 @@ def log_sink(df: DataFrame, path: str, checkpoint: str, model: str, ts: str = "t
 
 def rate_flag(df: DataFrame, key: str, ts: str = "ts", limit: int = 120, window: str = "60 seconds", slide: str = "1 second", late: str = "5 minutes") -> DataFrame:
     """Requests per key and sliding window with a flag above the limit."""
-    rows = df.withWatermark(ts, late) if df.isStreaming else df
-    n = rows.groupBy(F.window(ts, window, slide), key).agg(F.count("*").alias("n"))
+    if df.isStreaming:
+        n = df.withWatermark(ts, late).groupBy(F.window(ts, window, slide), key).agg(F.count("*").alias("n"))
+    else:  # counted once per slide, so only counts are copied into the windows
+        per = df.groupBy(F.window(ts, slide).alias("w"), key).agg(F.count("*").alias("n")).withColumn("at", F.col("w.start"))
+        n = per.groupBy(F.window("at", window, slide), key).agg(F.sum("n").alias("n"))
     return n.select(key, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n", (F.col("n") > limit).alias("limited"))
 
 

@@ -167,3 +167,40 @@ def test_udf_helpers(spark):
     assert sorted(tuple(r) for r in got) == [(1, 0, 5, 0), (1, 1, 6, 1), (2, 0, 7, 0)]
     spread = udfs.aggregate(lambda x: float(x.max() - x.min()), "double")
     assert spark.range(5).agg(spread(F.col("id").cast("double")).alias("v")).first().v == 4.0
+
+
+def test_bootstrap_covers_close_scores_and_heavy_cells(spark):
+    rows = [(1, 0.50002 + i * 4e-5) for i in range(5)] + [(0, 0.5 + i * 1e-6) for i in range(5)]
+    ci = metrics.bootstrap_ci(spark.createDataFrame(rows, "y int, p double"), "y", "p", n=100).first()
+    assert ci.lower == ci.upper == 1.0
+    many = spark.createDataFrame([(i % 2, float(i % 4)) for i in range(4000)], "y int, p double")
+    ci = metrics.bootstrap_ci(many, "y", "p", n=200).first()
+    assert ci.lower <= metrics.auc(many, "y", "p").first().auc <= ci.upper and ci.upper - ci.lower < 0.06
+
+
+def test_auc_of_raw_logits(spark):
+    rows = [(int(i % 3 == 0), (-1) ** i * float(i) ** 3) for i in range(300)]
+    pos, neg = [p for y, p in rows if y], [p for y, p in rows if not y]
+    want = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))
+    assert abs(metrics.auc(spark.createDataFrame(rows, "y int, p double"), "y", "p").first().auc - want) < 1e-12
+
+
+def test_rule_ban_answers_unknown_players(spark):
+    from pitloom.operators import rules
+
+    q = spark.createDataFrame([(1, "a", [2]), (2, "nobody", [1]), (3, None, [])], "query_id int, player_id string, unavailable array<int>")
+    meta = spark.createDataFrame([(1, 0.5, 0.6), (2, 0.4, 0.4), (3, 0.1, 0.55)], "candidate_id int, presence double, meta_wr double")
+    mastery = spark.createDataFrame([("a", 1, 80.0), ("a", 3, 20.0)], "player_id string, candidate_id int, mastery double")
+    got = {}
+    for r in rules.rule_ban(q, meta, mastery).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.candidate_id)
+    assert got == {1: [1, 3], 2: [2, 3], 3: [1, 2, 3]}
+
+
+def test_ranges_by_whole_name(spark):
+    from pitloom.operators import quality
+
+    df = spark.createDataFrame([(1.5, 0.5, 5e4)], "grudge double, is_pick double, other double")
+    found = quality.validate_ranges(df, df.columns, quality.CANDIDATE_RANGES, whole_names=True)
+    assert sorted(r.feature for r in found.collect()) == ["grudge", "other"]
+    assert quality.feature_range("tf_win_logits") == (-100.0, 100.0) and quality.feature_range("diff_wr_x_aggression") == (-40.0, 40.0)
