@@ -19,17 +19,17 @@ def r(c, n=6):
     return F.round(F.col(c) if isinstance(c, str) else c, n)
 
 
-# one step per game: step = gameid % 20
+# every step of every game; query_id = gameid * 20 + step
 def draft_queries(spark, sf):
     g = I.games(spark, sf)
-    arrays = draft.draft_arrays(RS.long_draft(spark, sf)).withColumn("step", (F.col("gameid") % 20).cast("int"))
+    arrays = draft.draft_arrays(RS.long_draft(spark, sf)).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(19))))
     state = draft.draft_state(arrays).withColumn("label", F.element_at("seq", F.col("step") + 1))
     pids = {s: F.array(*[F.col(f"{s}_{p}_player_id") for p in ROLES]) for s in SIDES}
     seats = g.select("gameid", "blue_team", "red_team", "prev_game_champs", *[pids[s].alias(f"{s}_pids") for s in SIDES])
     q = state.join(seats, "gameid")
     blue = F.col("side") == "blue"
     return q.select(
-        F.col("gameid").alias("query_id"),
+        (F.col("gameid") * 20 + F.col("step")).alias("query_id"),
         "gameid",
         "step",
         "side",
@@ -162,10 +162,10 @@ def _candidate_sql(mode):
     body = (
         "SELECT query_id, count(*) AS n, " + ", ".join(f"round(CAST(sum({c}) AS DOUBLE) + 1e-7, 4) AS {c}" for c in cols) + f" FROM (SELECT q.gameid AS query_id, {own} FROM qc q "
         "JOIN pid d ON d.cid = q.cid LEFT JOIN occ ao ON ao.gameid = q.gameid AND ao.mine LEFT JOIN occ eo ON eo.gameid = q.gameid AND NOT eo.mine "
-        "LEFT JOIN mt m ON m.gameid = q.gameid AND m.cid = q.cid JOIN se ON se.gameid = q.gameid AND se.cid = q.cid "
+        "LEFT JOIN mt m ON m.gameid = q.game AND m.cid = q.cid JOIN se ON se.gameid = q.gameid AND se.cid = q.cid "
         "LEFT JOIN sy ON sy.gameid = q.gameid AND sy.cid = q.cid LEFT JOIN ct ON ct.gameid = q.gameid AND ct.cid = q.cid "
-        "LEFT JOIN gr ON gr.gameid = q.gameid AND gr.side = q.side AND gr.cid = q.cid LEFT JOIN la ON la.gameid = q.gameid LEFT JOIN s2 ls ON ls.x = q.cid AND ls.y = la.c "
-        "LEFT JOIN fe ON fe.gameid = q.gameid AND fe.cid = q.cid LEFT JOIN un ON un.gameid = q.gameid AND un.cid = q.cid) GROUP BY 1"
+        "LEFT JOIN gr ON gr.gameid = q.game AND gr.side = q.side AND gr.cid = q.cid LEFT JOIN la ON la.gameid = q.gameid LEFT JOIN s2 ls ON ls.x = q.cid AND ls.y = la.c "
+        "LEFT JOIN fe ON fe.gameid = q.game AND fe.cid = q.cid LEFT JOIN un ON un.gameid = q.gameid AND un.cid = q.cid) GROUP BY 1"
     )
     return with_inputs(
         body,
@@ -176,14 +176,14 @@ def _candidate_sql(mode):
         d0=RS.DRAFT_SQL,
         l=RS.LONG_SQL.replace("FROM d LEFT", "FROM d0 d LEFT"),
         qs=(
-            "SELECT t.gameid, t.step, t.side, t.champion_id AS label, CASE WHEN t.action = 'pick' THEN 1 ELSE 0 END AS is_pick, CASE WHEN t.side = 'red' THEN 1 ELSE 0 END AS is_red, "
+            "SELECT t.gameid * 20 + t.step AS gameid, t.gameid AS game, t.step, t.side, t.champion_id AS label, CASE WHEN t.action = 'pick' THEN 1 ELSE 0 END AS is_pick, CASE WHEN t.side = 'red' THEN 1 ELSE 0 END AS is_red, "
             "count(CASE WHEN h.action = 'ban' AND h.side = t.side THEN 1 END) + CASE WHEN t.action = 'ban' THEN 1 ELSE 0 END AS ban_step, "
             "count(CASE WHEN h.action = 'pick' AND h.side = t.side AND h.champion_id >= 7 THEN 1 END) AS n_ally "
-            "FROM l t LEFT JOIN l h ON h.gameid = t.gameid AND h.step < t.step WHERE t.step = t.gameid % 20 GROUP BY 1, 2, 3, 4, t.action"
+            "FROM l t LEFT JOIN l h ON h.gameid = t.gameid AND h.step < t.step GROUP BY 1, 2, 3, 4, 5, t.action"
         ),
         qc="SELECT qs.*, v.idx AS cid FROM qs, vocab v",
         pid=PRIOR_ID,
-        pk="SELECT q.gameid, h.champion_id, h.step, h.side = q.side AS mine FROM qs q JOIN l h ON h.gameid = q.gameid AND h.step < q.step AND h.action = 'pick' AND h.champion_id >= 7",
+        pk="SELECT q.gameid, h.champion_id, h.step, h.side = q.side AS mine FROM qs q JOIN l h ON h.gameid = q.game AND h.step < q.step AND h.action = 'pick' AND h.champion_id >= 7",
         occ="SELECT gameid, mine, " + ", ".join(f"sum(p{i}) AS o{i}" for i in range(5)) + " FROM pk JOIN pid ON pid.cid = pk.champion_id GROUP BY 1, 2",
         seats=(
             "SELECT p.gameid, p.side, CASE p.position WHEN 'top' THEN 0 WHEN 'jng' THEN 1 WHEN 'mid' THEN 2 WHEN 'bot' THEN 3 ELSE 4 END AS pos, v.idx AS hid, kills, deaths, assists, result "
@@ -194,7 +194,7 @@ def _candidate_sql(mode):
             f"SELECT q.gameid, q.cid, {seat_cols}, max(CASE WHEN NOT s.mine THEN CASE WHEN s.hid = q.cid THEN kills * 5.0 ELSE 0 END * {miss('e')} END) AS emx, "
             f"sum(CASE WHEN NOT s.mine THEN CASE WHEN s.hid = q.cid THEN kills * 5.0 ELSE 0 END * {miss('e')} END) / 5 AS ems, "
             "max(CASE WHEN NOT s.mine AND s.hid = q.cid THEN least(kills * 10, 100) / 100 ELSE 0 END) AS respect, max(CASE WHEN NOT s.mine AND s.hid = q.cid THEN assists / 15 ELSE 0 END) AS hot_streak "
-            "FROM qc q JOIN (SELECT seats.*, seats.side = qs.side AS mine FROM seats JOIN qs USING (gameid)) s ON s.gameid = q.gameid "
+            "FROM qc q JOIN (SELECT seats.* EXCLUDE (gameid), qs.gameid, seats.side = qs.side AS mine FROM seats JOIN qs ON qs.game = seats.gameid) s ON s.gameid = q.gameid "
             "LEFT JOIN occ ao ON ao.gameid = q.gameid AND ao.mine LEFT JOIN occ eo ON eo.gameid = q.gameid AND NOT eo.mine GROUP BY 1, 2"
         ),
         syn=RQ._synergy_sql(False),
@@ -213,7 +213,7 @@ def _candidate_sql(mode):
         gr="SELECT b.gameid, b.side, v.idx AS cid, count(*) / 5 AS rate FROM ban_rows b JOIN vocab v USING (champion) GROUP BY 1, 2, 3",
         la="SELECT gameid, arg_max(champion_id, step) AS c FROM pk WHERE mine GROUP BY 1",
         fe="SELECT DISTINCT g.gameid, v.idx AS cid FROM games g, unnest(string_split(g.prev_game_champs, '|')) AS t(x) JOIN vocab v ON v.champion = trim(x)",
-        un="SELECT DISTINCT q.gameid, h.champion_id AS cid FROM qs q JOIN l h ON h.gameid = q.gameid AND h.step < q.step WHERE h.champion_id >= 7",
+        un="SELECT DISTINCT q.gameid, h.champion_id AS cid FROM qs q JOIN l h ON h.gameid = q.game AND h.step < q.step WHERE h.champion_id >= 7",
     )
 
 
@@ -459,11 +459,11 @@ _ATX = f"CASE WHEN p0 = {_BEST} THEN 1 WHEN p1 = {_BEST} THEN 2 WHEN p2 = {_BEST
 _CONF = dict(
     d0=RS.DRAFT_SQL,
     l=RS.LONG_SQL.replace("FROM d LEFT", "FROM d0 d LEFT"),
-    qs="SELECT gameid, step, side FROM l WHERE step = gameid % 20",
+    qs="SELECT gameid * 20 + step AS gameid, gameid AS game, step, side FROM l",
     pid=PRIOR_ID,
     sh=SHARP,
     b=f"SELECT *, {_BEST} AS best, {_ATX} AS atp FROM sh",
-    pk="SELECT q.gameid, h.champion_id AS c, h.side = q.side AS mine FROM qs q JOIN l h ON h.gameid = q.gameid AND h.step < q.step AND h.action = 'pick' AND h.champion_id >= 7",
+    pk="SELECT q.gameid, h.champion_id AS c, h.side = q.side AS mine FROM qs q JOIN l h ON h.gameid = q.game AND h.step < q.step AND h.action = 'pick' AND h.champion_id >= 7",
     qc="SELECT qs.gameid, b.* FROM qs, b",
 )
 
@@ -581,7 +581,7 @@ def static_mastery(spark, sf):
 
 
 def rule_inputs(spark, sf):
-    d = draft_queries(spark, sf).withColumn("position", (F.col("gameid") % 5 + 1).cast("int"))
+    d = draft_queries(spark, sf).withColumn("position", (F.col("query_id") % 5 + 1).cast("int"))
     meta = dimension(spark, sf).select("candidate_id", "pos").withColumns(
         {"presence": (F.col("candidate_id") * 7 % 23) / 40.0, "meta_wr": (F.col("candidate_id") * 5 % 19) / 19.0}
     )
@@ -593,16 +593,26 @@ def rule_inputs(spark, sf):
 _RULE = dict(
     d0=RS.DRAFT_SQL,
     l=RS.LONG_SQL.replace("FROM d LEFT", "FROM d0 d LEFT"),
-    qs="SELECT gameid, step, side FROM l WHERE step = gameid % 20",
+    qs="SELECT gameid * 20 + step AS gameid, gameid AS game, step, side FROM l",
     pid=PRIOR_ID,
     mt="SELECT cid, (cid * 7 % 23) / 40e0 AS presence, (cid * 5 % 19) / 19e0 AS wr, p0, p1, p2, p3, p4 FROM pid",
-    un="SELECT DISTINCT q.gameid, h.champion_id AS cid FROM qs q JOIN l h ON h.gameid = q.gameid AND h.step < q.step WHERE h.champion_id >= 7",
+    un="SELECT DISTINCT q.gameid, h.champion_id AS cid FROM qs q JOIN l h ON h.gameid = q.game AND h.step < q.step WHERE h.champion_id >= 7",
     ms=f"SELECT c.player_id, v.idx AS cid, round({_MAST}, 6) AS m FROM career c JOIN vocab v USING (champion)",
     qc="SELECT qs.*, mt.* FROM qs, mt WHERE NOT EXISTS (SELECT 1 FROM un WHERE un.gameid = qs.gameid AND un.cid = mt.cid)",
 )
 _POSOK = "CASE gameid % 5 " + " ".join(f"WHEN {i} THEN p{i}" for i in range(5)) + " END >= 0.05"
 
 
+def _lists(rows):
+    """One row per query: the candidates in order of rank, and the best score."""
+    return f"SELECT query_id, string_agg(candidate_id, ',' ORDER BY rank) AS candidates, max(score) AS best FROM ({rows}) GROUP BY 1"
+
+
+def in_order(top):
+    ranked = F.transform(F.array_sort(F.collect_list(F.struct("rank", "candidate_id"))), lambda x: x["candidate_id"].cast("string"))
+    return top.groupBy("query_id").agg(F.array_join(ranked, ",").alias("candidates"), F.max("score").alias("best"))
+
+
 def _top(score, k, frm, extra=""):
     return (
         f"SELECT query_id, candidate_id, score, rank FROM (SELECT gameid AS query_id, cid AS candidate_id, score, row_number() OVER (PARTITION BY gameid ORDER BY score DESC, cid) AS rank FROM (SELECT gameid, cid, {score} AS score {frm}) {extra}) WHERE rank <= {k}"
@@ -612,47 +622,47 @@ def _top(score, k, frm, extra=""):
 @query(
     "rule_pick",
     with_inputs(
-        _top(
+        _lists(_top(
             "round(0.6 * presence + 0.4 * CASE WHEN coalesce(m, 0) > 0 THEN m ELSE least(presence * 20, 5.0) END / 10, 4)",
             50,
             f"FROM qc LEFT JOIN bm USING (gameid, cid) WHERE presence >= 0.05 AND {_POSOK}",
-        ),
+        )),
         "player_rows",
         "vocab",
         "prior",
         "career",
         **_RULE,
-        bm="SELECT qs.gameid, ms.cid, max(ms.m) AS m FROM qs JOIN player_rows p ON p.gameid = qs.gameid AND p.side = qs.side JOIN ms ON ms.player_id = p.player_id GROUP BY 1, 2",
+        bm="SELECT qs.gameid, ms.cid, max(ms.m) AS m FROM qs JOIN player_rows p ON p.gameid = qs.game AND p.side = qs.side JOIN ms ON ms.player_id = p.player_id GROUP BY 1, 2",
     ),
 )
 def rule_pick(spark, sf):
     q, meta, m = rule_inputs(spark, sf)
-    return rules.rule_pick(q.select("query_id", "position", "ally_pids", "unavailable"), meta, m).select("query_id", "candidate_id", "score", "rank")
+    return in_order(rules.rule_pick(q.select("query_id", "position", "ally_pids", "unavailable"), meta, m))
 
 
 @query(
     "rule_pick_general",
-    with_inputs(_top("round(presence, 4)", 50, f"FROM qc WHERE presence >= 0.05 AND {_POSOK}"), "games", "vocab", "prior", "career", **_RULE),
+    with_inputs(_lists(_top("round(presence, 4)", 50, f"FROM qc WHERE presence >= 0.05 AND {_POSOK}")), "games", "vocab", "prior", "career", **_RULE),
 )
 def rule_pick_general(spark, sf):
     q, meta, _ = rule_inputs(spark, sf)
-    return rules.rule_pick_general(q.select("query_id", "position", "unavailable"), meta).select("query_id", "candidate_id", "score", "rank")
+    return in_order(rules.rule_pick_general(q.select("query_id", "position", "unavailable"), meta))
 
 
 @query(
     "rule_ban",
     with_inputs(
-        "SELECT query_id, candidate_id, score, rank FROM (SELECT gameid AS query_id, cid AS candidate_id, score, row_number() OVER (PARTITION BY gameid ORDER BY score DESC, cid) AS rank FROM ("
+        _lists("SELECT query_id, candidate_id, score, rank FROM (SELECT gameid AS query_id, cid AS candidate_id, score, row_number() OVER (PARTITION BY gameid ORDER BY score DESC, cid) AS rank FROM ("
         "SELECT q.gameid, q.cid, round(0.5 * ms.m / 10 + 0.5 * q.wr, 4) AS score, q.wr >= 0.5 AS good, bool_or(q.wr >= 0.5) OVER (PARTITION BY q.gameid) AS any_good "
         "FROM qc q JOIN tp ON tp.gameid = q.gameid JOIN ms ON ms.player_id = tp.player_id AND ms.cid = q.cid) WHERE good OR NOT any_good) WHERE rank <= 3 UNION ALL "
-        + _top("round(0.6 * presence + 0.4 * wr, 4)", 50, "FROM qc WHERE gameid NOT IN (SELECT tp.gameid FROM tp JOIN ms ON ms.player_id = tp.player_id)"),
+        + _top("round(0.6 * presence + 0.4 * wr, 4)", 50, "FROM qc WHERE gameid NOT IN (SELECT tp.gameid FROM tp JOIN ms ON ms.player_id = tp.player_id)")),
         "player_rows",
         "vocab",
         "prior",
         "career",
         **_RULE,
         tp=(
-            "SELECT qs.gameid, p.player_id FROM qs JOIN player_rows p ON p.gameid = qs.gameid AND p.side <> qs.side AND p.position = "
+            "SELECT qs.gameid, p.player_id FROM qs JOIN player_rows p ON p.gameid = qs.game AND p.side <> qs.side AND p.position = "
             "CASE qs.gameid % 5 WHEN 0 THEN 'top' WHEN 1 THEN 'jng' WHEN 2 THEN 'mid' WHEN 3 THEN 'bot' ELSE 'sup' END"
         ),
     ),
@@ -660,16 +670,16 @@ def rule_pick_general(spark, sf):
 def rule_ban(spark, sf):
     q, meta, m = rule_inputs(spark, sf)
     q = q.select("query_id", F.element_at("enemy_pids", F.col("position")).alias("player_id"), "unavailable")
-    return rules.rule_ban(q, meta, m).select("query_id", "candidate_id", "score", "rank")
+    return in_order(rules.rule_ban(q, meta, m))
 
 
 @query(
     "rule_ban_global",
-    with_inputs(_top("round(0.6 * presence + 0.4 * wr, 4)", 50, "FROM qc"), "games", "vocab", "prior", "career", **_RULE),
+    with_inputs(_lists(_top("round(0.6 * presence + 0.4 * wr, 4)", 50, "FROM qc")), "games", "vocab", "prior", "career", **_RULE),
 )
 def rule_ban_global(spark, sf):
     q, meta, _ = rule_inputs(spark, sf)
-    return rules.rule_ban_global(q.select("query_id", "unavailable"), meta).select("query_id", "candidate_id", "score", "rank")
+    return in_order(rules.rule_ban_global(q.select("query_id", "unavailable"), meta))
 
 
 @query(
