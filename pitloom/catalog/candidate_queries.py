@@ -564,10 +564,10 @@ def catalogue(spark, sf):
 
 @query(
     "renumber_top",
-    with_inputs(f"SELECT * FROM (SELECT query_id, candidate_id, {_RANK.format(s='nocs_logit')} AS rank FROM scores WHERE candidate_id % 4 <> 0) WHERE rank <= 5", "scores"),
+    with_inputs(f"SELECT * FROM (SELECT query_id, candidate_id, {_RANK.format(s='nocs_logit')} AS rank FROM scores WHERE mask = 1) WHERE rank <= 5", "scores"),
 )
 def renumber_top(spark, sf):
-    return R.renumber(I.scores(spark, sf).filter("candidate_id % 4 <> 0"), "query_id", "nocs_logit", 5).select("query_id", "candidate_id", "rank")
+    return R.renumber(I.scores(spark, sf).filter("mask = 1"), "query_id", "nocs_logit", 5).select("query_id", "candidate_id", "rank")
 
 
 # ---- rules ----

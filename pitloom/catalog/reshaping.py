@@ -364,11 +364,11 @@ def attach_player_features(spark, sf):
         + " FROM games g "
         + " ".join(f"LEFT JOIN p j{i} ON j{i}.day = g.day AND j{i}.champion = g.{s}_{x}_champion" for i, (s, x) in enumerate(_SLOTS)),
         "player_rows",
-        p="SELECT day, champion, count(*) AS m FROM player_rows WHERE gameid % 3 = 0 GROUP BY 1, 2",
+        p="SELECT day, champion, count(*) AS m FROM player_rows WHERE side = 'red' GROUP BY 1, 2",
     ),
 )
 def attach_meta_features(spark, sf):
-    p = I.player_rows(spark, sf).filter("gameid % 3 = 0")
+    p = I.player_rows(spark, sf).filter("side = 'red'")  # so that some slots have no store row
     store = p.groupBy("day", "champion").agg(F.count("*").alias("m"))
     out = lookups.attach_slots(I.games(spark, sf), store, ["day", "champion"], {"m": 0})
     return out.select("gameid", *[f"{s}_{x}_m" for s, x in _SLOTS])
@@ -479,16 +479,16 @@ def lookup_synergy(spark, sf):
         "games",
         "pairs",
         l=LANES_SQL,
-        a="SELECT champion, position, sum(CASE WHEN src % 4 = 0 THEN games ELSE 0 END)::BIGINT AS p FROM pairs WHERE src % 3 = 0 GROUP BY 1, 2",
-        b="SELECT champion, sum(CASE WHEN src % 50 = 0 THEN games ELSE 0 END)::BIGINT AS p FROM pairs GROUP BY 1",
+        a="SELECT champion, position, sum(CASE WHEN matchup_type = 'easy' THEN games ELSE 0 END)::BIGINT AS p FROM pairs WHERE games >= 8 GROUP BY 1, 2",
+        b="SELECT champion, sum(CASE WHEN matchup_type = 'hard' AND games >= 12 THEN games ELSE 0 END)::BIGINT AS p FROM pairs GROUP BY 1",
         c="SELECT champion, count(*) AS p FROM pairs GROUP BY 1",
     ),
 )
 def champion_stats_tiers(spark, sf):
     p = I.pairs(spark, sf)
-    part = lambda n: F.sum(F.when(F.col("src") % n == 0, F.col("games")).otherwise(0)).alias("presence")
-    ranks = p.filter("src % 3 = 0").groupBy("champion", "position").agg(part(4))
-    merged = p.groupBy("champion").agg(part(50))
+    part = lambda test: F.sum(F.when(F.expr(test), F.col("games")).otherwise(0)).alias("presence")
+    ranks = p.filter("games >= 8").groupBy("champion", "position").agg(part("matchup_type = 'easy'"))
+    merged = p.groupBy("champion").agg(part("matchup_type = 'hard' AND games >= 12"))
     base = p.groupBy("champion").agg(F.count("*").alias("presence"))
     lineup = lanes(spark, sf).select("gameid", "position", F.col("a").alias("champion"))
     out = lookups.tiered(
