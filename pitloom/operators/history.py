@@ -183,8 +183,13 @@ def trailing_sums(
         v = x.expr.cast("double")
         return v if seq_mode or not x.half_life else v * F.exp(age * rate(x))
 
-    src = src.select(*df.columns, "_b", "_t", *[value(x).alias(f"_x_{n}") for n, x in m.items()])
     agg = {"sum": F.sum, "min": F.min}
+    whole = src
+    if seq_mode:
+        src = src.select(*df.columns, "_b", "_t", *[value(x).alias(f"_x_{n}") for n, x in m.items()])
+    else:
+        # rows of one time have one answer, so the scans see one narrow row per (key, time)
+        src = src.groupBy(*keys, "_b", "_t").agg(*[F.sum(value(x)).alias(f"_x_{n}") for n, x in m.items()])
 
     # between the cells: one row per (key, bucket)
     totals = src.groupBy(*keys, "_b").agg(*[agg[x.fn](f"_x_{n}").alias(f"_t_{n}") for n, x in m.items()])
@@ -227,7 +232,7 @@ def trailing_sums(
             leaving = leaving * math.exp(-rate(m[n]) / per_day * nb[n])
             return F.coalesce(live + leaving, live, leaving)
 
-        local = rows.select(*df.columns, "_b", "_t", "_e", *[both(n).alias(f"_l_{n}") for n in m]).filter("_e = 0")
+        local = rows.select(*keys, "_b", "_t", "_e", *[both(n).alias(f"_l_{n}") for n in m]).filter("_e = 0")
 
     cond = [F.col(f"l.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys] + [F.col("l._b") == F.col("h._b")]
     joined = local.alias("l").join(hist.alias("h"), cond, "left")
@@ -238,7 +243,12 @@ def trailing_sums(
         if x.half_life and not seq_mode:
             s = s * F.exp(F.col("l._t") / F.lit(float(DAY_US)) * (-rate(x)))
         out.append(s.alias(n))
-    return joined.select(*[F.col(f"l.{c}") for c in df.columns], *out)
+    if seq_mode:
+        return joined.select(*[F.col(f"l.{c}") for c in df.columns], *out)
+    at = joined.select(*[F.col(f"l.{k}") for k in keys], F.col("l._b"), F.col("l._t"), *[x.alias(f"_s_{n}") for n, x in zip(m, out)])
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys] + [F.col("r._b").eqNullSafe(F.col("p._b")), F.col("r._t").eqNullSafe(F.col("p._t"))]
+    found = whole.select(*df.columns, "_b", "_t").alias("r").join(at.alias("p"), same, "left")
+    return found.select(*[F.col(f"r.{c}") for c in df.columns], *[F.col(f"p._s_{n}").alias(n) for n in m])
 
 
 def decayed_mean(df, keys, ts, x, half_life, window, isolation="strict_time", seq=None, skip_null=True, name="mean"):
