@@ -1,11 +1,10 @@
-"""Helpers shared by the corpus operators: text normal form, row keys, tables in the shared folder, Arrow batches."""
+"""Helpers shared by the corpus operators: text normal form, row keys, tables in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,10 +50,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def record_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-
 def keep_rows(docs: DataFrame, keys: DataFrame, key: str = "row_key", once: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` whose row key stands in `keys[key]`, with the columns of `docs`; `once`: one of the rows that share a key."""
     own, other = fresh(docs, "row_key"), fresh(docs, "kept_row_key")

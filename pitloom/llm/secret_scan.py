@@ -39,7 +39,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, place of the kind, end) of the pattern spans, in order."""
     low = text.lower()
     found = []
-    if any(h in low for h in ASSIGN_HINTS) or "ſ" in text or "K" in text:
+    if any(h in low for h in ASSIGN_HINTS):
         found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitloom.llm.common import row_key, stored
-from pitloom.llm.words import U, mix, seeded, word_hashes, words_of
+from pitloom.llm.words import mix, seeded, word_hashes, words_of
 
 LENGTH, GRAM = 50, 10
 #: Windows in a run at most; longer runs (one word again and again) are cut.
