@@ -149,12 +149,12 @@ def psi_by_segment(spark, sf):
 
 @query(
     "drift_report",
-    f"SELECT event_type, count(*) AS compared, count(CASE WHEN psi >= 0.005 THEN 1 END) AS n_drifted, max(psi) AS max_psi, CASE WHEN max(psi) < 0.1 THEN 'stable' WHEN max(psi) < 0.25 THEN 'moderate' ELSE 'significant' END AS band FROM ({_psi_sql(by=True)}) GROUP BY 1",
+    f"SELECT event_type, count(*) AS compared, count(CASE WHEN psi >= 0.005 THEN 1 END) AS n_drifted, max(psi) AS max_psi, coalesce(string_agg(feature, ',' ORDER BY psi DESC, feature) FILTER (WHERE psi >= 0.005), '') AS drifted, CASE WHEN max(psi) < 0.1 THEN 'stable' WHEN max(psi) < 0.25 THEN 'moderate' ELSE 'significant' END AS band FROM ({_psi_sql(by=True)}) GROUP BY 1",
 )
 def drift_report(spark, sf):
     old, new = halves(spark, sf)
     p = Q.psi(Q.psi_baseline(old, ["value", "half"]), new, ["event_type"]).withColumn("psi", r("psi"))
-    return Q.drift_report(p, ["event_type"], 0.005).drop("drifted")
+    return Q.drift_report(p, ["event_type"], 0.005).withColumn("drifted", F.array_join("drifted", ","))
 
 
 @query("sample_cap", "SELECT least(count(*), 500) AS n FROM events")

@@ -20,18 +20,19 @@ PLAYER_COLS = (
     "player_overall_recent_games",
 )
 META_COLS = ("meta_win_rate_pit", "meta_patch_drift_index", "meta_pick_drift_index")
+# Team columns, in the order of the studied feature list.
 TEAM_COLS = (
     "team_avg_gamelength",
     "team_avg_ckpm",
     "team_avg_golddiffat15",
     "team_firstdragon_rate",
     "team_firsttower_rate",
-    "team_profile_games",
     "team_recent_wr",
     "team_recent_wr_5",
     "team_recent_wr_10",
     "team_side_wr",
     "team_streak",
+    "team_profile_games",
     "team_avg_kills",
     "team_avg_deaths",
     "team_avg_assists",
