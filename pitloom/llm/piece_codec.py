@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Chunks that a worker keeps; the table is emptied when full.
-CHUNKS = 400_000
+CHUNKS = 200_000
 
 
 def default_model() -> str:
@@ -186,7 +186,7 @@ class PieceCodec:
 
     def chunk(self, text: str) -> tuple[int, ...]:
         """Ids of a chunk; characters that are no piece part it and become their bytes."""
-        if len(self.fits) > 2_000_000:
+        if len(self.fits) > 500_000:
             self.fits.clear()
         if self.known.issuperset(text):
             return tuple(self.segment(text)) if text else ()

@@ -7,7 +7,7 @@ import xxhash
 
 U = np.uint64
 #: Words that a worker keeps with their hash; the table is emptied when full.
-WORDS = 1_000_000
+WORDS = 250_000
 
 
 class _Hashes(dict):
