@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pitloom.llm.common import stored
 from pitloom.llm.piece_codec import SPACE, codec, default_model
 
-#: Words held by every task; the others are joined.
+#: Words held by every task at most (whole levels of frequency, from the top); the others are joined.
 HEAD = 200_000
 #: Words that a counting task holds before it passes them on.
 HELD = 300_000
@@ -226,7 +226,14 @@ def score_documents(docs: DataFrame, model: str | None = None, doc_id: str = "do
     scored = words.mapInArrow(partial(_score_words, model=model, log_p=log_p), "word binary, train long, held long, score double")
     below = F.lit(float(n) + ADDED * (v + 1))
     scored = stored(scored.withColumn("base", F.log10((F.col("train") + F.lit(ADDED)) / below)), "scored-words")
-    top = scored.withColumn("n", F.col("train") + F.col("held")).orderBy(F.desc("n"), "word").limit(head).select("word", "train", "base", "score").toArrow()
+    level = F.floor(F.ln(F.col("train") + F.col("held")) * 16)
+    left, cut = head, None
+    for at, size in sorted(scored.groupBy(level).count().collect(), reverse=True):  # a row for each sixteenth of a power of e
+        left -= size
+        if left < 0:
+            break
+        cut = at
+    top = scored.filter(level >= cut if cut is not None else F.lit(False)).select("word", "train", "base", "score").toArrow()
     table = (
         top.column("word").to_pylist(),
         (top.column("train").to_numpy() > 0).astype(np.int64),
