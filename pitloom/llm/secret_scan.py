@@ -26,7 +26,13 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # a run of 16 or more is found whole, so thi
 ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Words that make what follows sensitive, besides those of the patterns.
 SENSITIVE = ("credential", "authorization", "bearer", "private", "passphrase", "signature", "access", "secret", "token", "password", "passwd", "apikey", "api_key", "pwd")
-CONTEXT = re.compile("(?ia:" + "|".join(SENSITIVE) + r")[A-Za-z0-9_]*[^A-Za-z0-9+/_.=-]{1,8}(?:[A-Za-z]{1,8}[^A-Za-z0-9+/_.=-]{1,8}){0,2}([A-Za-z0-9+/_=-]{16,256})(?![A-Za-z0-9+/_=-])")
+#: A name with a sensitive word; what may stand between it and a string (any separators, up to two short words); the string.
+NAME = re.compile("(?ia:" + "|".join(SENSITIVE) + r")[A-Za-z0-9_]*+")
+BETWEEN = tuple(re.compile(r"[^A-Za-z0-9]{1,8}" + r"[A-Za-z]{1,8}[^A-Za-z0-9]{1,8}" * n + r"(?=[A-Za-z0-9])") for n in range(3))
+RUN = re.compile(r"[A-Za-z0-9+/_=-]*+")
+#: A string that is itself an assignment to a sensitive name: only its value counts, which that name finds.
+ASSIGNED = re.compile(r"[A-Za-z0-9_-]*?" + NAME.pattern.removesuffix("*+") + "*=")
+LEAST_LENGTH, MOST_LENGTH, LONGEST_NAME = 16, 256, 256
 #: Characters taken on either side of a candidate, bytes of the identifier dictionary, identifiers in it.
 AROUND, DICTIONARY_BYTES, IDENTIFIERS = 256, 32768, 4096
 #: Added bytes for each character from which a string counts as incompressible.
@@ -47,21 +53,48 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def runs(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the strings next to a sensitive name: of those that end alike the longest, and the one that the last name tells."""
+    found: dict[int, list[int]] = {}
+    known = (0, 0)  # the last run, so that names inside it do not read it again
+    for name in NAME.finditer(text):
+        own = set()
+        for between in BETWEEN:
+            if not (m := between.match(text, name.end())):
+                continue
+            start = m.end()
+            if not known[0] <= start < known[1]:
+                known = RUN.match(text, start).span()
+            end = known[1]
+            if text[start - 1] in "+/_-" and start - 2 >= name.end() and not text[start - 2].isalnum() and text[start - 2] not in "+/_-":
+                start -= 1  # one such sign behind another separator is the first of the string
+            if end - start < LEAST_LENGTH or end in own or (-1 < text.find("=", start, min(end, start + LONGEST_NAME)) and ASSIGNED.match(text, start, min(end, start + LONGEST_NAME))):
+                continue
+            own.add(end)
+            found.setdefault(end, []).append(start)
+            found[end][1:] = [start] if start != found[end][0] else []
+    return sorted((s, e) for e, starts in found.items() for s in starts)
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """(start, end) of strings near a sensitive word that mix letters and digits and touch no base span."""
     low = text.lower()
     if not any(w in low for w in SENSITIVE):
         return []
     out = []
-    for m in CONTEXT.finditer(text):
-        s, e = m.span(1)
-        word = m[1]
+    for s, e in runs(text):
+        word = text[s:e]
         mixed = any(c.isdigit() for c in word) and any(c.islower() for c in word) and any(c.isupper() for c in word)
-        if mixed and not any(b < e and s < f for b, _, f in base):
+        if mixed and e - s <= MOST_LENGTH and not any(b < e and s < f for b, _, f in base):
             out.append((s, e))
     return out
 
 
+def outermost(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of spans that end alike, the longest."""
+    return list({x[2]: x for x in sorted(spans, reverse=True)}.values())
+
+
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
@@ -108,7 +141,7 @@ def _report(batches: Iterator[pa.RecordBatch], dictionary: bytes) -> Iterator[pa
         out = []
         for base, found in zip(b.column("base").to_pylist(), b.column("candidates").to_pylist(), strict=True):
             spans = [(x["start"], x["kind"], x["end"]) for x in base]
-            novel = [(c["start"], 3, c["end"]) for c in found if novelty(c["before"], c["word"], c["after"], dictionary) >= NOVELTY]
+            novel = outermost([(c["start"], 3, c["end"]) for c in found if novelty(c["before"], c["word"], c["after"], dictionary) >= NOVELTY])
             counts = [sum(1 for s in spans if s[1] == k) for k in range(3)]
             out.append((*counts, len(novel), hashlib.sha256(joined(spans).encode()).hexdigest(), joined(spans + novel)))
         cols = list(zip(*out, strict=True)) if out else [[]] * 6

@@ -109,6 +109,18 @@ def test_secret_novelty(spark):
     assert got == {1: "novel:26:46", 2: "", 3: ""}
 
 
+def test_secret_separators(spark):
+    key = "x9Qz7Lk2Vb8TnR4wYp3Ms6HdJ1"
+    forms = ["credential={}", 'credential = "{}"', "aws_secret_access_key = {}", "client_secret_value = {}", "db_pwd={}", "credential => {}", "credential := {}"]
+    forms += ["private-key: {}", "access.key: {}", "credential: sk.{}", "credential: {}", "passphrase: my_credential={}", "private aws_secret_access_key={}", "Bearer -> '{}'"]
+    texts = ["set " + f.format(k) + " before start" for f in forms for k in (key, "/" + key + "==")]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.scan(rows).collect()}
+    keys = [(key, "/" + key + "==")[i % 2] for i in range(len(texts))]
+    assert got == {i: f"novel:{t.index(k)}:{t.index(k) + len(k)}" for i, (t, k) in enumerate(zip(texts, keys, strict=True))}
+    assert secret_scan.runs("token=" * 50000) == [] and len(secret_scan.runs("token-" * 50000)) == 2
+
+
 def test_language_held_out_accuracy(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     hidden = F.when(F.col("doc_id") % 5 != 0, F.col("lang"))
