@@ -9,6 +9,7 @@ reported as kind "novel". The text is read once; what is kept of a document is i
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -32,11 +33,13 @@ BETWEEN = tuple(re.compile(r"[^A-Za-z0-9]{1,8}" + r"[A-Za-z]{1,8}[^A-Za-z0-9]{1,
 RUN = re.compile(r"[A-Za-z0-9+/_=-]*+")
 #: A string that is itself an assignment to a sensitive name: only its value counts, which that name finds.
 ASSIGNED = re.compile(r"[A-Za-z0-9_-]*?" + NAME.pattern.removesuffix("*+") + "*=")
-LEAST_LENGTH, MOST_LENGTH, LONGEST_NAME = 16, 256, 256
+LEAST_LENGTH, LONGEST_NAME = 16, 256
 #: Characters taken on either side of a candidate, bytes of the identifier dictionary, identifiers in it.
 AROUND, DICTIONARY_BYTES, IDENTIFIERS = 256, 32768, 4096
 #: Added bytes for each character from which a string counts as incompressible.
 NOVELTY = 0.85
+#: From this length on the entropy stage of the compressor pays: random characters take no more than the bits that their alphabet needs.
+LONG = 128
 
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{2,39}")
 
@@ -77,17 +80,11 @@ def runs(text: str) -> list[tuple[int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """(start, end) of strings near a sensitive word that mix letters and digits and touch no base span."""
+    """(start, end) of strings near a sensitive word that touch no base span."""
     low = text.lower()
     if not any(w in low for w in SENSITIVE):
         return []
-    out = []
-    for s, e in runs(text):
-        word = text[s:e]
-        mixed = any(c.isdigit() for c in word) and any(c.islower() for c in word) and any(c.isupper() for c in word)
-        if mixed and e - s <= MOST_LENGTH and not any(b < e and s < f for b, _, f in base):
-            out.append((s, e))
-    return out
+    return [(s, e) for s, e in runs(text) if not any(b < e and s < f for b, _, f in base)]
 
 
 def outermost(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -136,12 +133,17 @@ def novelty(before: str, word: str, after: str, dictionary: bytes) -> float:
     return (with_word - without) / max(1, len(word.encode()))
 
 
+def limit(word: str) -> float:
+    """Added bytes for each character from which `word` hardly compresses: NOVELTY, or what random characters of its alphabet take if that is less."""
+    return min(NOVELTY, math.log2(len(set(word))) / 8) if len(word) >= LONG and len(set(word)) > 1 else NOVELTY
+
+
 def _report(batches: Iterator[pa.RecordBatch], dictionary: bytes) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
         for base, found in zip(b.column("base").to_pylist(), b.column("candidates").to_pylist(), strict=True):
             spans = [(x["start"], x["kind"], x["end"]) for x in base]
-            novel = outermost([(c["start"], 3, c["end"]) for c in found if novelty(c["before"], c["word"], c["after"], dictionary) >= NOVELTY])
+            novel = outermost([(c["start"], 3, c["end"]) for c in found if novelty(c["before"], c["word"], c["after"], dictionary) >= limit(c["word"])])
             counts = [sum(1 for s in spans if s[1] == k) for k in range(3)]
             out.append((*counts, len(novel), hashlib.sha256(joined(spans).encode()).hexdigest(), joined(spans + novel)))
         cols = list(zip(*out, strict=True)) if out else [[]] * 6

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import string
 
 from pitloom.llm import language_id, pii, secret_scan
 from pyspark.sql import functions as F
@@ -121,6 +122,18 @@ def test_secret_separators(spark):
     assert secret_scan.runs("token=" * 50000) == [] and len(secret_scan.runs("token-" * 50000)) == 2
 
 
+def test_secret_any_alphabet_and_length(spark):
+    r = random.Random(3)
+    some = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    low, up, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    keys = ["q8w7e6r5t4y3u2i1o0p9", some(low + digits, 32), some(up + digits, 20), some(up + digits, 32), some(low + up, 40)]
+    keys += [some(low + digits, n) for n in (200, 300, 3000)] + [some(low + up + digits, n) for n in (257, 300, 1000, 20000)]
+    plain = ["settings/of/the/river/market/engine/" * 20, "x" * 5000, "ghijklmnop0123456789" * 40]
+    texts = [f"the credential: {k} is there" for k in keys + plain]
+    got = {x.doc_id: x.spans for x in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: f"novel:16:{16 + len(k)}" if i < len(keys) else "" for i, k in enumerate(keys + plain)}
+
+
 def test_language_held_out_accuracy(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     hidden = F.when(F.col("doc_id") % 5 != 0, F.col("lang"))
