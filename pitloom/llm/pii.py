@@ -4,12 +4,13 @@
 2. Every token that could be an identifier of a kind but is none of its base matches is an instance; the words next
    to seeds and instances are lexical patterns (kind, side, word). Edges tie patterns to instances, each counted once
    for a different identifier, so copies of a document prove nothing.
-3. Scores are iterated on the graph: a pattern's confidence is the sum of its identifiers' scores over all
-   occurrences of its word in the corpus; an instance's score is the noisy-or of the patterns that it occurs with.
+3. Scores are iterated on the graph: a pattern's confidence is the sum of its identifiers' scores over the different
+   tokens next to its word on that side in the corpus, an identifier of several tokens counted once; copies and
+   repeated identifiers change neither. An instance's score is the noisy-or of the patterns that it occurs with.
    Seeds keep score 1.
 4. Instances whose score reaches the threshold are reported as further spans of their kind.
 
-Texts are read twice: for matches with their surroundings, which are stored, and for the word counts. Matches are
+Texts are read twice: for matches with their surroundings, which are stored, and for the neighbours of words. Matches are
 located by splitting the text at them; possessive quantifiers and look-behinds make the expressions linear.
 """
 
@@ -139,11 +140,32 @@ def _edges(matches: DataFrame) -> DataFrame:
     return rows.groupBy("kind", "value", "side", "word").agg(F.max("seed").alias("seed"))
 
 
-def instance_scores(matches: DataFrame, words: DataFrame) -> DataFrame:
-    """kind, value, score of the instances that are no seeds, after ROUNDS rounds on the graph. `words` has word, n."""
-    edges = _edges(matches)
-    used = edges.filter("seed").select("kind", "side", "word").distinct()
-    edges = edges.join(used, ["kind", "side", "word"]).join(words, "word")
+def neighbour_counts(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """side, word, n: how many different tokens stand behind a word (side "before") and in front of it ("after"), for the (side, word) of `asked`. `texts` has text."""
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    token = lambda w: F.xxhash64(F.regexp_replace(w, r"[,;.!?]+$", ""))
+    side = lambda name, word, other: F.struct(F.lit(name).alias("side"), word.alias("word"), token(other).alias("token"))
+    both = lambda a, b: F.array(side("before", a, b), side("after", b, a))
+    pairs = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.size(w)), both)
+    near = texts.select(F.inline(F.flatten(_let(words, pairs)))).join(asked, ["side", "word"], "left_semi").distinct()
+    return near.groupBy("side", "word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def instance_scores(matches: DataFrame, texts: DataFrame) -> DataFrame:
+    """kind, value, score of the instances that are no seeds, after ROUNDS rounds on the graph. `texts` has text.
+
+    No score is above 1, so patterns of fewer identifiers than LEAST_SUPPORT are never trusted and their words are not counted.
+    """
+    edges = stored(_edges(matches), "pii-found")
+    used = edges.groupBy("kind", "side", "word").agg(F.count(F.lit(1)).alias("met"), F.max("seed").alias("seeded"))
+    used = stored(used.filter(F.col("seeded") & (F.col("met") >= LEAST_SUPPORT)).select("kind", "side", "word"), "pii-patterns")
+    parts = F.split("value", r"[\x20\x09-\x0D]+")
+    token = F.when(F.col("side") == "before", F.get(parts, F.lit(0))).otherwise(F.element_at(parts, -1))
+    asked = used.select("side", "word").distinct()
+    own = edges.join(asked, ["side", "word"], "left_semi").groupBy("side", "word").agg(F.count_distinct("value").alias("values"), F.count_distinct(token).alias("tokens"))
+    n = F.greatest(F.col("n") - F.col("tokens"), F.lit(0)) + F.col("values")
+    neighbours = neighbour_counts(texts, stored(asked, "pii-asked")).join(own, ["side", "word"]).select("side", "word", n.alias("n"))
+    edges = edges.join(used, ["kind", "side", "word"]).join(neighbours, ["side", "word"])
     edges = stored(edges.withColumn("score", F.col("seed").cast("double")), "pii-edges")
     scores = None
     for _ in range(ROUNDS):
@@ -164,9 +186,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     repeated rows are answered each; an empty table gives no rows; other columns are neither read nor returned.
     """
     matches = stored(base_matches(docs, doc_id, text), "pii-matches")
-    split = F.explode(F.split(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), r"[\x20\x09-\x0D]+"))
-    words = docs.select(split.alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    scores = instance_scores(matches, words).filter(F.col("score") >= LEAST_SCORE)
+    scores = instance_scores(matches, docs.select(F.col(text).cast("string").alias("text"))).filter(F.col("score") >= LEAST_SCORE)
     clean = lambda x: F.regexp_replace(x["value"], r"[,;.!?]+$", "")
     token = matches.filter(F.size("tokens") > 0).select("row", F.explode("tokens").alias("t"))
     token = token.select("row", F.lower(clean(F.col("t"))).alias("value"), F.col("t.start").alias("start"), (F.col("t.start") + F.length(clean(F.col("t")))).alias("end"))

@@ -70,6 +70,16 @@ def test_pii_learns_contexts(spark, odd, nothing):
     assert pii.find(nothing).count() == 0 and pii.find(odd).count() == 8
 
 
+def test_pii_copies_and_repeats_leave_confidence(spark):
+    texts = [f"please write ticketmail: user{i}@mail{i}.example.com soon" for i in range(8)] + ["please write ticketmail: user3@mail3.example.com soon"] * 20
+    texts += [f"for help supportbox= help@desk.example.com number {i}" for i in range(30)] + [f"for help supportbox= help{i}@desk{i}.example.com" for i in range(4)]
+    texts += [f"member no paycard 4111 1111 1111 1111 and paycard word{i} here" for i in range(9)] + ["a paycard 4012888888881881 b", "a paycard 5500005555555559 b"]
+    texts += ["so ticketmail: someone[at]hidden.example now", "so supportbox= other[at]hidden.example now", "so paycard 1234-1234-1234-12 now"]
+    n = len(texts)
+    got = {x.doc_id: x.spans for x in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[n - 3] == "email:15:40" and got[n - 2] == "email:15:38" and got[n - 1] == ""
+
+
 def test_pii_plan_is_native(spark, docs):
     plan = pii.base_matches(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
