@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitloom.llm import exact_dedup as dedup
-from pitloom.llm import language_id, lattice_lm, mixing, near_dedup, pii, piece_codec, secret_scan, substring_dedup, token_alignment, topk_index
+from pitloom.llm import language_id, lattice_lm, mixing, near_dedup, pii, piece_codec, secret_scan, spelling_variants, substring_dedup, suffix_dedup, token_alignment, topk_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -156,6 +156,16 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("row_key")
 
 
+@_query("op11_suffix_array_dedup")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents"))
+
+
+@_query("op12_spelling_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.group_variants(_table(spark, sf_dir, "documents"))
+
+
 @_query("op13_tokenizer_alignment")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align_tokenizers(_table(spark, sf_dir, "documents"))
