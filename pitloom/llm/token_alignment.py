@@ -48,6 +48,9 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+_NONE = np.zeros(0, dtype=np.int64)
+
+
 class Pair:
     """Both tokenizers with the bytes of their tokens. `ranks`, if given, is A's vocabulary for a faster library, used on common letters."""
 
@@ -80,41 +83,44 @@ class Pair:
             if all(self.bytes_a[i] == x for x, i in table.items()):
                 self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
         # what is written for a token of A inside and at the end of its group, and for one of B
-        self.shown = [f"{i}{end}" for size, last in ((self.size_a, "|"), (self.size_b, ";")) for end in (",", last) for i in range(size)]
+        self.shown = np.array([f"{i}{end}" for size, last in ((self.size_a, "|"), (self.size_b, ";")) for end in (",", last) for i in range(size)], dtype=object)
+        self.bytes_a, self.bytes_b = np.array(self.bytes_a, dtype=object), np.array(self.bytes_b, dtype=object)
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """The ids of both sides; empty lists for a text that either does not keep whole."""
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The ids of both sides; no ids for a text that either does not keep whole."""
         led = [" " + t for t in texts]
         other = [t for t in led if not self.fast or NOT_COMMON.search(t)]
         slow = dict(zip(other, (e.ids for e in self.a.encode_batch_fast(other, add_special_tokens=False)), strict=True)) if other else {}
-        in_a = (slow[t] if t in slow else self.fast.encode_ordinary(t) for t in led)
-        for text, a, b in zip(led, in_a, self.b.encode(texts, num_threads=1), strict=True):
+        for text, b in zip(led, self.b.encode(texts, num_threads=1), strict=True):
             want = text.encode("utf-8", "surrogatepass")
-            whole = len(text) > 1 and b"".join(map(self.bytes_a.__getitem__, a)) == want and b"".join(map(self.bytes_b.__getitem__, b)) == want
-            yield (a, b) if whole else ([], [])
+            a = np.array(slow[text], dtype=np.int64) if text in slow else self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+            b = np.array(b, dtype=np.int64)
+            whole = len(text) > 1 and all(b"".join(names[ids].tolist()) == want for ids, names in ((b, self.bytes_b), (a, self.bytes_a)))
+            yield (a, b) if whole else (_NONE, _NONE)
 
-    def align(self, a: list[int], b: list[int]) -> tuple[int, str, np.ndarray]:
+    def align(self, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[int, str, np.ndarray]:
         """Number of groups, the groups in writing, and the pair (A id * size of B + B id) of each link."""
-        if not a:
-            return 0, "", np.zeros(0, dtype=np.int64)
-        ids_a, ids_b = np.array(a), np.array(b)
+        if not len(ids_a):
+            return 0, "", _NONE
         ends_a, ends_b = np.cumsum(self.length_a[ids_a]), np.cumsum(self.length_b[ids_b])
-        at_a, at_b = dict(zip(ends_a.tolist(), range(len(a)), strict=True)), dict(zip(ends_b.tolist(), range(len(b)), strict=True))
+        at_a, at_b = (dict(zip(ends.tolist(), range(len(ends)), strict=True)) for ends in (ends_a, ends_b))
         common = sorted(at_a.keys() & at_b.keys())
         last_a, last_b = (np.fromiter(map(at.__getitem__, common), dtype=np.int64, count=len(common)) for at in (at_a, at_b))
         n_a, n_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
         # a group's tokens of A, then those of B
-        written = np.empty(len(a) + len(b), dtype=np.int64)
-        ids = ids_a.copy()
-        ids[last_a] += self.size_a
-        written[np.arange(len(a)) + np.repeat(last_b + 1 - n_b, n_a)] = ids
-        ids = ids_b + 2 * self.size_a
-        ids[last_b] += self.size_b
-        written[np.arange(len(b)) + np.repeat(last_a + 1, n_b)] = ids
+        written = np.empty(len(ids_a) + len(ids_b), dtype=np.int64)
+        codes = ids_a.copy()
+        codes[last_a] += self.size_a
+        written[np.arange(len(ids_a)) + np.repeat(last_b + 1 - n_b, n_a)] = codes
+        codes = ids_b + 2 * self.size_a
+        codes[last_b] += self.size_b
+        written[np.arange(len(ids_b)) + np.repeat(last_a + 1, n_b)] = codes
         # the links of a group: the tokens on both sides of each stretch between neighbouring ends
-        ends = np.union1d(ends_a, ends_b)
+        own = np.ones(len(ids_b), dtype=bool)
+        own[last_b] = False
+        ends = np.sort(np.concatenate((ends_a, ends_b[own])), kind="stable")
         pairs = ids_a[np.searchsorted(ends_a, ends)] * self.size_b + ids_b[np.searchsorted(ends_b, ends)]
-        return len(common), "".join(map(self.shown.__getitem__, written.tolist()))[:-1], pairs
+        return len(common), "".join(self.shown[written].tolist())[:-1], pairs
 
 
 @lru_cache(maxsize=2)
