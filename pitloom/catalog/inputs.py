@@ -103,10 +103,30 @@ _WHEN = (
 )
 
 
-def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A supplied table as a file stream."""
-    schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+def staged_stream(spark: SparkSession, df: DataFrame, when: str, parts: int = 4) -> tuple[DataFrame, str]:
+    """The rows of `df` as a file stream with late rows, and the delay within which they come.
+
+    The span of the column `when` is cut into `parts`, written one after the other; a fifth of the rows of a part come with the
+    next one. A last row far ahead lets the watermark pass all others; the stateful operators never emit it.
+    """
+    import uuid
+
+    from pitloom.streaming.jobs import checkpoint_root
+
+    us = F.unix_micros(F.col(when).cast("timestamp"))
+    low, high = df.agg(F.min(us), F.max(us)).first()
+    low, high = low or 0, high or 0
+    width = (high - low) // parts + 1
+    part = F.floor((us - low) / width) + (F.pmod(F.xxhash64(*df.columns), F.lit(5)) == 0).cast("int")
+    path = f"{checkpoint_root(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    for k in range(parts + 1):
+        df.filter(part == k).write.mode("append").parquet(path)
+    delay = 2 * width // 1_000_000 + 1
+    far = F.timestamp_seconds(F.lit((high + 4 * width) // 1_000_000 + 400 * 86_400))
+    blank = lambda f: F.lit(-1).cast(f.dataType) if f.dataType.typeName() not in ("string", "timestamp", "date", "boolean", "timestamp_ntz") else F.lit(None).cast(f.dataType)
+    end = spark.range(1).select(*(far.cast(f.dataType).alias(f.name) if f.name == when else blank(f).alias(f.name) for f in df.schema))
+    end.write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 8).parquet(path), f"{delay} seconds"
 
 
 def games(spark, sf_dir, orders: DataFrame | None = None) -> DataFrame:

@@ -2,18 +2,19 @@
 ones streaming DataFrames; all return DataFrames.
 
 Watermarks and late-data handling are additions of ours. Stateful operators
-keep a small state per key (sums, the last n values, a counter); the windowed
-decays of the batch side stay in batch, because they would have to keep every
-event of the window.
+fold a key's rows in the order of event time (`ordered`) and keep a small state
+per key (sums, the last n values, a counter) besides the rows that the watermark
+has not passed; the windowed decays of the batch side stay in batch, because
+they would have to keep every event of the window.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from pitloom.operators.quality import _bin, psi_value, unfold
+from pitloom.streaming.ordered import fold_in_order
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -44,12 +45,14 @@ def log_sink(df: DataFrame, path: str, checkpoint: str, model: str, ts: str = "t
 
 
 def rate_flag(df: DataFrame, key: str, ts: str = "ts", limit: int = 120, window: str = "60 seconds", slide: str = "1 second", late: str = "5 minutes") -> DataFrame:
-    """Requests per key and sliding window with a flag above the limit."""
-    if df.isStreaming:
-        n = df.withWatermark(ts, late).groupBy(F.window(ts, window, slide), key).agg(F.count("*").alias("n"))
-    else:  # counted once per slide, so only counts are copied into the windows
-        per = df.groupBy(F.window(ts, slide).alias("w"), key).agg(F.count("*").alias("n")).withColumn("at", F.col("w.start"))
-        n = per.groupBy(F.window("at", window, slide), key).agg(F.sum("n").alias("n"))
+    """Requests per key and sliding window with a flag above the limit.
+
+    Rows are counted once, in panes of one slide; only panes are copied into the windows that hold them. On a stream
+    these are two aggregations in a row, and the state has a row per pane and per open window.
+    """
+    rows = df.withWatermark(ts, late) if df.isStreaming else df
+    panes = rows.groupBy(F.window(ts, slide).alias("pane"), key).agg(F.count("*").alias("n"))
+    n = panes.groupBy(F.window(F.window_time("pane") if df.isStreaming else F.col("pane.start"), window, slide).alias("window"), key).agg(F.sum("n").alias("n"))
     return n.select(key, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n", (F.col("n") > limit).alias("limited"))
 
 
@@ -69,146 +72,143 @@ def drift_stream(df: DataFrame, baseline: DataFrame, cols: list[str], ts: str =
     )
 
 
-def drift_of(counts: DataFrame, baseline: DataFrame, bins: int = 10) -> DataFrame:
-    """Index per (period, feature) from the closed periods of `drift_stream`."""
+def drift_of(counts: DataFrame, baseline: DataFrame, bins: int = 10, by: list[str] = ("feature",)) -> DataFrame:
+    """Index per (period, feature) from the closed periods of `drift_stream`. `baseline` has counts for each `by`."""
     m = counts.groupBy("period", "feature").agg(F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("_m"))
     slots = F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))
     cur = m.withColumn("_cur", F.transform(slots, lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0)).cast("double")))
-    return cur.join(baseline.select("feature", "counts"), "feature").select("period", "feature", psi_value(F.col("counts"), F.col("_cur")).alias("psi"))
+    return cur.join(baseline.select(*by, "counts"), list(by)).select("period", "feature", psi_value(F.col("counts"), F.col("_cur")).alias("psi"))
 
 
-def _sorter():
-    """Function that puts one key's rows of a micro-batch in order.
+def valid_baseline(baselines: DataFrame, counts: DataFrame) -> DataFrame:
+    """period, feature, counts: of the versions of a baseline (valid_from, feature, counts) the newest that was valid when a period of `counts` began, or the first."""
+    met = counts.select("period", "feature").distinct().join(baselines.select("valid_from", "feature", "counts"), "feature")
+    at, in_time = F.unix_micros("valid_from"), F.col("valid_from") <= F.col("period")
+    return met.groupBy("period", "feature").agg(F.max_by("counts", F.struct(in_time.alias("in_time"), F.when(in_time, at).otherwise(-at))).alias("counts"))
 
-    It is made here as a closure, so that it travels to the workers by value
-    and they need no copy of this package. The trigger bounds a micro-batch
-    (maxFilesPerTrigger), and with it the rows sorted at once.
-    """
 
-    def in_order(batches, order):
-        import pandas as pd
+def drift_monitor(counts: DataFrame, baselines: str, path: str, checkpoint: str):
+    """Writes the index of each period that the watermark has closed: a stream of `drift_stream` against versions of a baseline.
 
-        parts = list(batches)
-        if not parts:
-            return []
-        return pd.concat(parts, ignore_index=True).sort_values(order, kind="stable").itertuples(index=False)
+    The folder `baselines` (valid_from, feature, counts, bin_edges) is read anew in every micro-batch, so a version that is added later
+    counts from then on; all versions are counted over the same edges. A batch writes its own partition, so one that is repeated after a loss replaces itself.
+    """
+
+    def update(batch: DataFrame, number: int) -> None:
+        base = valid_baseline(batch.sparkSession.read.parquet(baselines), batch)
+        drift_of(batch, base, by=["period", "feature"]).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return in_order
+    return counts.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).outputMode("append")
 
 
-def rolling_monitor(df: DataFrame, limits: dict, key: str = "metric", order: list[str] = ("seq",), value: str = "value", size: int = 30) -> DataFrame:
-    """Degrade and recover events of the mean over the last `size` values of each metric."""
-    import pandas as pd
+def rolling_monitor(
+    df: DataFrame, limits: dict, key: str = "metric", ts: str = "ts", seq: str = "seq", value: str = "value", reset: str | None = None, size: int = 30, late: str = "1 day"
+) -> DataFrame:
+    """Degrade, recover and reset events of the mean over the last `size` values of each metric: metric, at (the row's `seq`), event, mean.
 
-    need, order, in_order = max(5, size // 2), list(order), _sorter()
+    A row whose `reset` is true empties the window and ends a degraded state (as after a full retraining); its value is not read.
+    The state of a metric is its last values.
+    """
+    need = max(5, size // 2)
+    floor = {k: float(v) for k, v in limits.items()}
 
-    def step(k, batches, state):
-        values, bad = (list(state.get[0]), state.get[1]) if state.exists else ([], False)
+    def fold(k, state, rows):
+        values, bad = (list(state[0]), state[1]) if state else ([], False)
         out = []
-        for row in in_order(batches, order):
-            values = (values + [float(getattr(row, value))])[-size:]
+        for _, at, x, again in rows:
+            if again:
+                values, bad = [], False
+                out.append((k, at, "reset", None))
+                continue
+            values = [*values, x][-size:]
             mean = sum(values) / len(values)
-            now = len(values) >= need and mean < limits.get(k[0], float("-inf"))
+            now = len(values) >= need and mean < floor.get(k, float("-inf"))
             if now != bad:
-                out.append((k[0], int(getattr(row, order[-1])), "degraded" if now else "recovered", mean))
+                out.append((k, at, "degraded" if now else "recovered", mean))
             bad = now
-        state.update((values, bad))
-        yield pd.DataFrame(out, columns=["metric", "at", "event", "mean"])
+        return (values, bad), out
 
-    return df.groupBy(key).applyInPandasWithState(
-        step, "metric string, at long, event string, mean double", "values array<double>, bad boolean", "append", GroupStateTimeout.NoTimeout
+    columns = {"at": F.col(seq).cast("long"), "x": F.col(value).cast("double"), "again": F.col(reset) if reset else F.lit(False)}
+    return fold_in_order(
+        df, F.col(key), ts, columns, "at long, x double, again boolean", "values array<double>, bad boolean", fold, "metric string, at long, event string, mean double", late
     )
 
 
-def entity_decay(df: DataFrame, key: str, us: str, event: str, value: str, half_life: float) -> DataFrame:
+def entity_decay(df: DataFrame, key: str, ts: str, event: str, value: str, half_life: float, late: str = "1 day") -> DataFrame:
     """Decayed mean and count of a key's earlier events, kept as (sum, weight, n, time).
 
-    The state moves forward by 2^(-dt / half_life) per event; features are
-    emitted before the event is added. Events of one instant see each other.
+    The state moves forward by 2^(-dt / half_life) from one instant to the next; features are emitted before an
+    instant's events are added, so these do not see each other.
     """
-    import pandas as pd
-
-    in_order = _sorter()
     lam_us = 0.6931471805599453 / (half_life * 86_400_000_000.0)
 
-    def step(k, batches, state):
+    def fold(k, state, rows):
         import math
+        from itertools import groupby
 
-        s, w, n, last = state.get if state.exists else (0.0, 0.0, 0, 0)
+        s, w, n, last = state or (0.0, 0.0, 0, 0)
         out = []
-        for row in in_order(batches, [us, event]):
-            t, x = int(getattr(row, us)), float(getattr(row, value))
+        for t, same in groupby(rows, key=lambda r: r[0]):
             if n:
                 f = math.exp(-lam_us * (t - last))
                 s, w = s * f, w * f
-            out.append((int(getattr(row, event)), s / w if w > 0 else None, n))
-            s, w, n, last = s + x, w + 1.0, n + 1, t
-        state.update((s, w, n, last))
-        yield pd.DataFrame(out, columns=["event_id", "mean", "n"]).astype({"mean": "float64"})
+            same = list(same)
+            out += [(i, s / w if w > 0 else None, n) for _, i, _ in same]
+            for _, _, x in same:
+                if x is not None:
+                    s, w, n = s + x, w + 1.0, n + 1
+            last = t
+        return (s, w, n, last), out
 
-    return df.groupBy(key).applyInPandasWithState(
-        step, "event_id long, mean double, n long", "s double, w double, n long, last long", "append", GroupStateTimeout.NoTimeout
-    )
+    columns = {"event": F.col(event).cast("long"), "x": F.col(value).cast("double")}
+    return fold_in_order(df, F.col(key), ts, columns, "event long, x double", "s double, w double, n long, last long", fold, "event_id long, mean double, n long", late)
 
 
-def draft_stream(df: DataFrame, game: str = "gameid", idle: str | None = None) -> DataFrame:
-    """State of a draft after each step: picks of the acting and the other side, used champions.
+def draft_stream(df: DataFrame, game: str = "gameid", ts: str = "ts", first_id: int = 7, last_step: int = 19, late: str = "1 day") -> DataFrame:
+    """What a draft looks like before each step: gameid, step, ally, enemy (picks of the acting and of the other side, in order), unavailable (all champions picked or banned, in order).
 
-    df: gameid, step, action, side, champion_id. With `idle` the state of a
-    game is dropped after that much processing time without a step.
+    df: gameid, ts, step, action, side, champion_id. Ids below `first_id` are no champions. A game is forgotten after its last step.
     """
-    import pandas as pd
-
-    in_order = _sorter()
 
-    def step(k, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        blue, red, used = (list(x) for x in state.get) if state.exists else ([], [], [])
-        out = []
-        for row in in_order(batches, ["step"]):
-            cid = int(row.champion_id)
-            mine, other = (blue, red) if row.side == "blue" else (red, blue)
-            out.append((int(k[0]), int(row.step), len(mine), len(other), sum(mine), len(used)))
-            if cid >= 7:
-                used = used + [cid]
-                if row.action == "pick":
-                    mine.append(cid)
-        state.update((blue, red, used))
-        if idle:
-            state.setTimeoutDuration(idle)
-        yield pd.DataFrame(out, columns=["gameid", "step", "n_ally", "n_enemy", "ally_sum", "n_used"])
-
-    return df.groupBy(game).applyInPandasWithState(
-        step,
-        "gameid long, step long, n_ally long, n_enemy long, ally_sum long, n_used long",
+    def fold(k, state, rows):
+        sides = {"blue": list(state[0]), "red": list(state[1])} if state else {"blue": [], "red": []}
+        used, out, step = list(state[2]) if state else [], [], 0
+        for _, step, action, side, cid in rows:
+            out.append((k, step, list(sides[side]), list(sides["red" if side == "blue" else "blue"]), list(used)))
+            if cid is not None and cid >= first_id:
+                used.append(cid)
+                if action == "pick":
+                    sides[side].append(cid)
+        return (None if step >= last_step else (sides["blue"], sides["red"], used)), out
+
+    columns = {"step": F.col("step").cast("long"), "action": F.col("action"), "side": F.col("side"), "cid": F.col("champion_id").cast("long")}
+    return fold_in_order(
+        df,
+        F.col(game).cast("long"),
+        ts,
+        columns,
+        "step long, action string, side string, cid long",
         "blue array<long>, red array<long>, used array<long>",
-        "append",
-        GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout,
+        fold,
+        "gameid long, step long, ally array<long>, enemy array<long>, unavailable array<long>",
+        late,
     )
 
 
-def session_stream(df: DataFrame, key: str, order: list[str], step: str) -> DataFrame:
+def session_stream(df: DataFrame, key: str, ts: str, event: str, step: str, late: str = "1 day") -> DataFrame:
     """Match number per event: one more whenever the step does not grow."""
-    import pandas as pd
-
-    in_order = _sorter()
 
-    def run(k, batches, state):
-        no, prev = state.get if state.exists else (0, None)
+    def fold(k, state, rows):
+        no, prev = state or (0, None)
         out = []
-        for row in in_order(batches, order):
-            s = int(getattr(row, step))
+        for _, i, s in rows:
             no += 1 if prev is not None and s <= prev else 0
             prev = s
-            out.append((int(getattr(row, order[-1])), int(k[0]), no))
-        state.update((no, prev))
-        yield pd.DataFrame(out, columns=["event_id", "key", "match_no"])
+            out.append((i, k, no))
+        return (no, prev), out
 
-    return df.groupBy(key).applyInPandasWithState(
-        run, "event_id long, key long, match_no long", "no long, prev long", "append", GroupStateTimeout.NoTimeout
-    )
+    columns = {"event": F.col(event).cast("long"), "step": F.col(step).cast("long")}
+    return fold_in_order(df, F.col(key).cast("long"), ts, columns, "event long, step long", "no long, prev long", fold, "event_id long, key long, match_no long", late)
 
 
 def refresh(spark: SparkSession, source: str, schema: str, checkpoint: str, update) -> None:

@@ -1,31 +1,57 @@
-"""A stream cut into several files gives what the whole table gives."""
+"""Streams give what the whole table gives, whatever the files."""
 
 from pyspark.sql import functions as F
 
 from pitloom.streaming import jobs
 
 
-def test_split_stream_equals_one_run(spark, sf_dir, tmp_path):
+def _files(spark, df, folder, parts):
+    """The parts of `df` one after the other, then a row far ahead that lets the watermark pass the rest."""
+    for part in parts:
+        df.filter(part).coalesce(1).write.mode("append").parquet(folder)
+    end = df.limit(1).select(*(F.lit(-1).cast(f.dataType).alias(f.name) if f.name != "ts" else F.expr("timestamp'2100-01-01'").alias("ts") for f in df.schema))
+    end.write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def test_stream_in_any_file_order(spark, sf_dir, tmp_path):
+    """Rows in order, rows in three shuffled files, and late ones all give the same; those behind the watermark are dropped."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(
-        "event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "value", (F.floor("value") % 20).alias("s")
+        "event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "value", (F.floor("value") % 20).alias("s")
     )
-    cut = e.agg(F.percentile_approx("us", 0.5)).first()[0]
-    for i, part in enumerate((e.filter(F.col("us") <= cut), e.filter(F.col("us") > cut))):
-        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    e.coalesce(1).write.parquet(str(tmp_path / "all"))
+    orders = {"whole": [F.lit(True)], "mixed": [F.pmod(F.hash("event_id"), F.lit(3)) == k for k in range(3)], "back": [F.col("ts") >= "2024-01-15", F.col("ts") < "2024-01-15"]}
 
     def run(name, fn):
-        out = []
-        for kind, limit in (("in", 1), ("all", 100)):
-            s = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", limit).option("latestFirst", False).parquet(str(tmp_path / kind))
-            df = jobs.run_available(fn(s), str(tmp_path / f"{name}-{kind}"), str(tmp_path / f"{name}-{kind}-c"))
-            out.append(sorted(tuple(r) for r in df.collect()))
+        out = {}
+        for kind, parts in orders.items():
+            s = _files(spark, e, str(tmp_path / f"{name}-{kind}"), parts)
+            df = jobs.run_available(fn(s), str(tmp_path / f"{name}-{kind}-o"), str(tmp_path / f"{name}-{kind}-c"))
+            out[kind] = sorted(tuple(r) for r in df.collect())
         return out
 
-    a, b = run("decay", lambda s: jobs.entity_decay(s, "user_id", "us", "event_id", "value", 30.0))
-    assert len(a) == len(b) and all(x[0] == y[0] and x[2] == y[2] and (x[1] is None or abs(x[1] - y[1]) < 1e-9) for x, y in zip(a, b))
-    a, b = run("session", lambda s: jobs.session_stream(s, "user_id", ["us", "event_id"], "s"))
-    assert a == b
+    got = run("session", lambda s: jobs.session_stream(s, "user_id", "ts", "event_id", "s", late="60 days"))
+    assert len(got["whole"]) == e.count() and got["whole"] == got["mixed"] == got["back"]
+    thirds = [F.col("ts") >= "2024-01-20", F.col("ts").between("2024-01-15", "2024-01-20"), F.col("ts") < "2024-01-15"]
+    decay = jobs.entity_decay(_files(spark, e, str(tmp_path / "late"), thirds), "user_id", "ts", "event_id", "value", 30.0, late="1 day")
+    kept = jobs.run_available(decay, str(tmp_path / "late-o"), str(tmp_path / "late-c"))
+    assert kept.count() == e.filter("ts >= '2024-01-15'").count()  # the earlier half came when the watermark had long passed it
+
+
+def test_entity_decay_of_one_instant(spark, tmp_path):
+    rows = [(1, 7, 9, 1.0), (2, 7, 9, 3.0), (3, 7, 86409, 5.0), (4, 7, 86409, None), (5, 8, 9, None), (6, 8, 10, 2.0)]
+    e = spark.createDataFrame(rows, "event_id long, user_id long, s long, value double").withColumn("ts", F.timestamp_seconds("s"))
+    s = _files(spark, e, str(tmp_path / "in"), [F.lit(True)])
+    got = jobs.run_available(jobs.entity_decay(s, "user_id", "ts", "event_id", "value", 1.0), str(tmp_path / "o"), str(tmp_path / "c"))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, None, 0), (2, None, 0), (3, 2.0, 2), (4, 2.0, 2), (5, None, 0), (6, None, 0)]
+
+
+def test_drift_against_versions(spark, tmp_path):
+    base = [("2024-01-01", "a", [4.0, 4.0]), ("2024-01-10", "a", [1.0, 7.0]), ("2024-01-01", "b", [1.0, 1.0])]
+    versions = spark.createDataFrame(base, "v string, feature string, counts array<double>").select(F.to_timestamp("v").alias("valid_from"), "feature", "counts")
+    counts = spark.createDataFrame([("2023-12-25", "a", 0, 3), ("2024-01-08", "a", 0, 3), ("2024-01-15", "a", 0, 3), ("2024-01-15", "c", 0, 3)], "p string, feature string, bin long, c long")
+    counts = counts.select(F.to_timestamp("p").alias("period"), "feature", "bin", "c")
+    got = {str(r.period)[:10]: r.counts for r in jobs.valid_baseline(versions, counts).collect()}
+    assert got == {"2023-12-25": [4.0, 4.0], "2024-01-08": [4.0, 4.0], "2024-01-15": [1.0, 7.0]}
 
 
 def test_refresh_sees_only_new_files(spark, tmp_path):
