@@ -294,7 +294,7 @@ def noise_copies(spark, sf):
     with_inputs(
         "SELECT gameid, coalesce(f, (SELECT median(f) FROM j)) AS f FROM j",
         "games",
-        x="SELECT gameid, CAST(gameid % 4 AS INT) AS fold, CASE WHEN gameid % 3 = 0 THEN 'train' ELSE 'test' END AS split, CAST(blue_top_kills AS DOUBLE) AS f FROM games WHERE gameid % 5 <> 0",
+        x="SELECT gameid, CAST(gameid % 4 AS INT) AS fold, CASE WHEN gameid % 3 = 0 THEN 'train' ELSE 'test' END AS split, CASE WHEN gameid % 5 <> 0 THEN CAST(blue_top_kills AS DOUBLE) END AS f FROM games",
         u="SELECT * FROM x UNION ALL SELECT gameid, fold + 1, 'test', f + 100 FROM x WHERE gameid % 8 = 1",
         j=(
             "SELECT g.gameid, o.f FROM games g LEFT JOIN (SELECT gameid, arg_max(f, fold * 2 + CASE WHEN split = 'train' THEN 1 ELSE 0 END) AS f FROM u "
@@ -304,8 +304,8 @@ def noise_copies(spark, sf):
 )
 def oof_stitch(spark, sf):
     g = I.games(spark, sf)
-    x = g.filter("gameid % 5 <> 0").selectExpr(
-        "gameid", "CAST(gameid % 4 AS INT) fold", "CASE WHEN gameid % 3 = 0 THEN 'train' ELSE 'test' END split", "CAST(blue_top_kills AS DOUBLE) f"
+    x = g.selectExpr(
+        "gameid", "CAST(gameid % 4 AS INT) fold", "CASE WHEN gameid % 3 = 0 THEN 'train' ELSE 'test' END split", "CASE WHEN gameid % 5 <> 0 THEN CAST(blue_top_kills AS DOUBLE) END f"
     )
     u = x.union(x.filter("gameid % 8 = 1").selectExpr("gameid", "fold + 1", "'test'", "f + 100"))
     return prep.oof_stitch(g.select("gameid"), u, "gameid", ["f"])

@@ -152,7 +152,7 @@ _TPL = with_inputs(
     "JOIN oc ON oc.core = o.core LEFT JOIN y ON y.a = s.champion AND y.b = oc.c LEFT JOIN e ON e.champion = s.champion AND e.opponent_name = oc.c GROUP BY 1, 2, 3))) WHERE rank <= 5",
     "player_rows",
     "pairs",
-    c0="SELECT array_to_string(list_sort([blue_pick1, blue_pick2, blue_pick3]), '+') AS core, count(*) AS n FROM games GROUP BY 1 HAVING count(*) >= 20 ORDER BY n DESC, core LIMIT 5",
+    c0="SELECT array_to_string(list_sort([blue_pick1, blue_pick2, blue_pick3]), '+') AS core, count(*) AS n FROM games GROUP BY 1 HAVING count(*) >= 2",
     oc="SELECT core, unnest(string_split(core, '+')) AS c FROM c0",
     p="SELECT champion, position, count(*) AS picks, avg(result) AS wr, avg((kills + assists) / greatest(deaths, 1)) AS kda FROM player_rows GROUP BY 1, 2",
     s=(
@@ -172,8 +172,8 @@ _TPL = with_inputs(
 
 @query("template_fill", _TPL)
 def template_fill(spark, sf):
-    cores = E.core3(I.games(spark, sf), [f"blue_pick{i}" for i in range(1, 6)], "result", 20)
-    cores = cores.orderBy(F.col("n").desc(), "core").limit(5).select(F.split("core", r"\+").alias("core"))
+    cores = E.core3(I.games(spark, sf), [f"blue_pick{i}" for i in range(1, 6)], "result")
+    cores = cores.select(F.split("core", r"\+").alias("core"))
     p = I.player_rows(spark, sf).groupBy("champion", "position").agg(
         F.count("*").alias("picks"), F.avg("result").alias("win_rate"), F.avg((F.col("kills") + F.col("assists")) / F.greatest("deaths", F.lit(1))).alias("kda")
     )

@@ -257,17 +257,14 @@ DUCK_PCT = (
     "ELSE try_cast(replace(win_rate, '%', '') AS DOUBLE) END"
 )
 
-# vocabulary: the champions that appear as a player's champion or in a ban, except the newest two
-VOCAB_SQL = (
-    f"SELECT champion, CAST(substr(champion, 2) AS BIGINT) + 7 AS idx FROM "
-    f"(SELECT DISTINCT champion FROM pairs) WHERE CAST(substr(champion, 2) AS BIGINT) < {N_CHAMPS - 2}"
-)
+# vocabulary: all champions that appear in a pair
+VOCAB_SQL = "SELECT champion, CAST(substr(champion, 2) AS BIGINT) + 7 AS idx FROM (SELECT DISTINCT champion FROM pairs)"
 
 
 def vocab(spark, sf_dir) -> DataFrame:
     names = pairs(spark, sf_dir).select("champion").distinct()
     n = F.substring("champion", 2, 9).cast("long")
-    return names.filter(n < N_CHAMPS - 2).select("champion", (n + 7).alias("idx"))
+    return names.select("champion", (n + 7).alias("idx"))
 
 
 # share of a champion's parts per type bucket = position prior
@@ -299,15 +296,15 @@ def position_prior(spark, sf_dir) -> DataFrame:
 TAGS = ["engage", "poke", "peel", "burst", "tank", "hardcc", "linestrength"]
 TAGS_SQL = (
     "SELECT champion, "
-    + ", ".join(f"CAST(sum(src * {i + 3}) % 4 AS INT) AS {t}" for i, t in enumerate(TAGS))
-    + " FROM pairs WHERE CAST(substr(champion, 2) AS BIGINT) % 10 <> 3 GROUP BY champion"
+    + ", ".join(f"CASE WHEN CAST(substr(champion, 2) AS BIGINT) % 10 <> 3 THEN CAST(sum(src * {i + 3}) % 4 AS INT) END AS {t}" for i, t in enumerate(TAGS))
+    + " FROM pairs GROUP BY champion"
 )
 
 
 def tags(spark, sf_dir) -> DataFrame:
-    p = pairs(spark, sf_dir).filter(F.substring("champion", 2, 9).cast("long") % 10 != 3)
-    return p.groupBy("champion").agg(
-        *[(F.sum(F.col("src") * (i + 3)) % 4).cast("int").alias(t) for i, t in enumerate(TAGS)]
+    known = F.substring("champion", 2, 9).cast("long") % 10 != 3  # the others have no tags
+    return pairs(spark, sf_dir).groupBy("champion").agg(
+        *[F.when(known, (F.sum(F.col("src") * (i + 3)) % 4).cast("int")).alias(t) for i, t in enumerate(TAGS)]
     )
 
 

@@ -157,10 +157,12 @@ def drift_report(spark, sf):
     return Q.drift_report(p, ["event_type"], 0.005).withColumn("drifted", F.array_join("drifted", ","))
 
 
-@query("sample_cap", "SELECT least(count(*), 500) AS n FROM events")
+@query(
+    "sample_cap",
+    "SELECT event_id, event_type, value FROM (SELECT *, row_number() OVER (ORDER BY ('0x' || substr(md5('42:' || event_id::VARCHAR), 1, 15))::BIGINT, event_id) AS rn FROM events) WHERE rn <= 500",
+)
 def sample_cap(spark, sf):
-    e = I.table(spark, sf, "events").select("event_id")
-    return Q.sample_cap(e, 500, ["event_id"]).agg(F.count("*").alias("n"))
+    return Q.sample_cap(I.table(spark, sf, "events").select("event_id", "event_type", "value"), 500, ["event_id"])
 
 
 @query(

@@ -322,12 +322,13 @@ def validate_requests(spark, sf):
         "SELECT g.gameid, round(coalesce(b.x, 0.5), 6) AS blue_team_wr, round(coalesce(r.x, 0.5), 6) AS red_team_wr FROM games g "
         "LEFT JOIN p b ON b.gameid = g.gameid AND b.team = g.blue_team LEFT JOIN p r ON r.gameid = g.gameid AND r.team = g.red_team",
         "team_rows",
-        p="SELECT gameid, team, total_kills / 60.0 AS x FROM team_rows WHERE gameid % 7 <> 0",
+        p="SELECT gameid, team, CASE WHEN gameid % 7 <> 0 THEN total_kills / 60.0 END AS x FROM team_rows",
     ),
 )
 def attach_team_profile(spark, sf):
     g = I.games(spark, sf)
-    store = rs.melt_teams(g).filter("gameid % 7 <> 0").select("gameid", "team", (F.col("total_kills") / 60).alias("team_wr"))
+    wr = F.when(F.col("gameid") % 7 != 0, F.col("total_kills") / 60)  # so that some values are missing
+    store = rs.melt_teams(g).select("gameid", "team", wr.alias("team_wr"))
     out = lookups.attach_team_profile(g.select("gameid", "blue_team", "red_team"), store, {"team_wr": 0.5}, order=["team_wr"])
     return out.select("gameid", r("blue_team_wr").alias("blue_team_wr"), r("red_team_wr").alias("red_team_wr"))
 
@@ -335,23 +336,31 @@ def attach_team_profile(spark, sf):
 _SLOTS = [(s, x) for s in rs.SIDES for x in rs.ROLES]
 
 
+def _slot_sql(col: str, keys: str, default: str) -> dict[str, str]:
+    """SQL parts of a slot lookup: every slot of every game (`seat`), and the joined values (`met`)."""
+    slots = ", ".join(f"{{'slot': '{s}_{x}', 'player_id': {s}_{x}_player_id, 'champion': {s}_{x}_champion}}" for s, x in _SLOTS)
+    return {
+        "seat": f"SELECT gameid, day, u.slot AS slot, u.player_id AS player_id, u.champion AS champion FROM (SELECT gameid, day, unnest([{slots}]) AS u FROM games)",
+        "met": f"SELECT seat.gameid, seat.slot, coalesce(p.{col}, {default}) AS v FROM seat LEFT JOIN p USING ({keys})",
+    }
+
+
+def _folded(col: str, value: str) -> str:
+    return "SELECT gameid, " + ", ".join(f"{value.format(f"max(CASE WHEN slot = '{s}_{x}' THEN v END)")} AS {s}_{x}_{col}" for s, x in _SLOTS) + " FROM met GROUP BY gameid"
+
+
 @query(
     "attach_player_features",
     with_inputs(
-        "SELECT g.gameid, "
-        + ", ".join(f"round(coalesce(j{i}.f, 0.0), 6) AS {s}_{x}_f" for i, (s, x) in enumerate(_SLOTS))
-        + " FROM games g "
-        + " ".join(
-            f"LEFT JOIN p j{i} ON j{i}.gameid = g.gameid AND j{i}.player_id = g.{s}_{x}_player_id AND j{i}.champion = g.{s}_{x}_champion"
-            for i, (s, x) in enumerate(_SLOTS)
-        ),
+        _folded("f", "round({}, 6)"),
         "player_rows",
-        p="SELECT gameid, player_id, champion, (kills + 1.0) / (deaths + 1.0) AS f FROM player_rows WHERE (gameid + kills) % 5 <> 0",
+        p="SELECT gameid, player_id, champion, CASE WHEN (gameid + kills) % 5 <> 0 THEN (kills + 1.0) / (deaths + 1.0) END AS f FROM player_rows",
+        **_slot_sql("f", "gameid, player_id, champion", "0.0"),
     ),
 )
 def attach_player_features(spark, sf):
-    p = I.player_rows(spark, sf).filter("(gameid + kills) % 5 <> 0")
-    store = p.select("gameid", "player_id", "champion", ((F.col("kills") + 1) / (F.col("deaths") + 1)).alias("f"))
+    f = F.when((F.col("gameid") + F.col("kills")) % 5 != 0, (F.col("kills") + 1) / (F.col("deaths") + 1))  # some values are missing
+    store = I.player_rows(spark, sf).select("gameid", "player_id", "champion", f.alias("f"))
     out = lookups.attach_slots(I.games(spark, sf), store, ["gameid", "player_id", "champion"], {"f": 0.0})
     return out.select("gameid", *[r(f"{s}_{x}_f").alias(f"{s}_{x}_f") for s, x in _SLOTS])
 
@@ -359,17 +368,15 @@ def attach_player_features(spark, sf):
 @query(
     "attach_meta_features",
     with_inputs(
-        "SELECT g.gameid, "
-        + ", ".join(f"coalesce(j{i}.m, 0) AS {s}_{x}_m" for i, (s, x) in enumerate(_SLOTS))
-        + " FROM games g "
-        + " ".join(f"LEFT JOIN p j{i} ON j{i}.day = g.day AND j{i}.champion = g.{s}_{x}_champion" for i, (s, x) in enumerate(_SLOTS)),
+        _folded("m", "{}"),
         "player_rows",
-        p="SELECT day, champion, count(*) AS m FROM player_rows WHERE side = 'red' GROUP BY 1, 2",
+        p="SELECT day, champion, CASE WHEN count(*) % 3 <> 0 THEN count(*) END AS m FROM player_rows GROUP BY 1, 2",
+        **_slot_sql("m", "day, champion", "0"),
     ),
 )
 def attach_meta_features(spark, sf):
-    p = I.player_rows(spark, sf).filter("side = 'red'")  # so that some slots have no store row
-    store = p.groupBy("day", "champion").agg(F.count("*").alias("m"))
+    n = F.count("*")
+    store = I.player_rows(spark, sf).groupBy("day", "champion").agg(F.when(n % 3 != 0, n).alias("m"))  # some values are missing
     out = lookups.attach_slots(I.games(spark, sf), store, ["day", "champion"], {"m": 0})
     return out.select("gameid", *[f"{s}_{x}_m" for s, x in _SLOTS])
 
@@ -479,7 +486,7 @@ def lookup_synergy(spark, sf):
         "games",
         "pairs",
         l=LANES_SQL,
-        a="SELECT champion, position, sum(CASE WHEN matchup_type = 'easy' THEN games ELSE 0 END)::BIGINT AS p FROM pairs WHERE games >= 8 GROUP BY 1, 2",
+        a="SELECT champion, position, sum(CASE WHEN matchup_type = 'easy' AND games >= 8 THEN games ELSE 0 END)::BIGINT AS p FROM pairs GROUP BY 1, 2",
         b="SELECT champion, sum(CASE WHEN matchup_type = 'hard' AND games >= 12 THEN games ELSE 0 END)::BIGINT AS p FROM pairs GROUP BY 1",
         c="SELECT champion, count(*) AS p FROM pairs GROUP BY 1",
     ),
@@ -487,7 +494,7 @@ def lookup_synergy(spark, sf):
 def champion_stats_tiers(spark, sf):
     p = I.pairs(spark, sf)
     part = lambda test: F.sum(F.when(F.expr(test), F.col("games")).otherwise(0)).alias("presence")
-    ranks = p.filter("games >= 8").groupBy("champion", "position").agg(part("matchup_type = 'easy'"))
+    ranks = p.groupBy("champion", "position").agg(part("matchup_type = 'easy' AND games >= 8"))
     merged = p.groupBy("champion").agg(part("matchup_type = 'hard' AND games >= 12"))
     base = p.groupBy("champion").agg(F.count("*").alias("presence"))
     lineup = lanes(spark, sf).select("gameid", "position", F.col("a").alias("champion"))

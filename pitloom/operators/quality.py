@@ -352,9 +352,28 @@ def drift_report(psi_rows: DataFrame, by: list[str], threshold: float = 0.25) ->
     ).withColumn("band", F.when(m < 0.1, "stable").when(m < 0.25, "moderate").otherwise("significant"))
 
 
+#: Buckets of the hash range whose sizes are counted before a sample is cut.
+_SAMPLE_BUCKETS = 1 << 16
+
+
 def sample_cap(df: DataFrame, n: int, key: list[str], seed: int = 42) -> DataFrame:
-    """At most n rows, the same ones in any partitioning (smallest hashes; each task cuts to n first)."""
-    return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n)
+    """At most n rows, those of smallest MD5 of seed and key: the same rows in any partitioning and engine.
+
+    Sizes of hash buckets are counted first (a sum that merges map-side, _SAMPLE_BUCKETS numbers in all); whole buckets below the
+    cut are taken by a filter, and only the bucket at the cut is ordered. Rows with equal keys are cut in no given order.
+    """
+    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in key))), 1, 15), 16, 10).cast("long")
+    own = "_place"
+    rows = df.withColumn(own, place)
+    bucket = F.floor(F.col(own) / ((1 << 60) // _SAMPLE_BUCKETS))
+    left, cut = n, _SAMPLE_BUCKETS
+    for at, size in sorted(rows.groupBy(bucket).count().collect()):
+        if size > left:
+            cut = at
+            break
+        left -= size
+    edge = rows.filter(bucket == cut).orderBy(own, *key).limit(left)
+    return rows.filter(bucket < cut).union(edge).drop(own)
 
 
 # ---- alignment ----
