@@ -94,6 +94,14 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "declared", "lang", "text_lang", F.round("posterior", 6).alias("posterior"), "accepted")
 
 
+@_query("language_of_pages")
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page: its text with markup taken out, its html element's language, its address."""
+    pages = _table(spark, sf_dir, "pages").withColumn("text", F.regexp_replace("html", "(?s)<[^>]*>", " "))
+    found = language_id.identify(pages, doc_id="page_id", declared=language_id.markup_language(F.col("html")), address=F.col("url"))
+    return found.select(F.col("doc_id").alias("page_id"), "declared", "lang", "text_lang", F.round("posterior", 6).alias("posterior"), "accepted")
+
+
 #: Bisection by recursion on the table of sources: 30 halvings for either bound.
 OP7_SQL = r"""
 WITH RECURSIVE r AS (

@@ -1,4 +1,6 @@
+import collections
 import hashlib
+import math
 import random
 import re
 import string
@@ -80,8 +82,117 @@ def test_pii_copies_and_repeats_leave_confidence(spark):
     assert got[n - 3] == "email:15:40" and got[n - 2] == "email:15:38" and got[n - 1] == ""
 
 
+def brute_graph(rows):
+    """The spans of each row, with all sets held in memory."""
+    ws = "[^\x20\x09-\x0D]"
+    clean = lambda v: v.rstrip(",;.!?")
+    token = re.compile(rf"(?<!{ws})(?={ws}*?(?:[0-9@]|[\[(]at[\])])){ws}{{6,}}")
+    edges, held = {}, []
+
+    def meet(matches, at, text, kind, seed):
+        m = matches[at]
+        before = re.findall(ws + "+", text[matches[at - 1].end() if at else 0 : m.start()])[-1:]
+        after = re.findall(ws + "+", text[m.end() : matches[at + 1].start() if at + 1 < len(matches) else len(text)])[:1]
+        for side, word in [("before", w) for w in before] + [("after", w) for w in after]:
+            key = (kind, clean(m[0]).lower(), side, word.lower())
+            edges[key] = edges.get(key, False) or seed
+
+    near = collections.defaultdict(set)
+    for _, text in rows:
+        text = text or ""
+        spans, found = [], []
+        for k, p in PII.items():
+            matches = list(re.finditer(p, text))
+            for i, m in enumerate(matches):
+                if pii_fits(k, m[0]):
+                    spans.append((list(PII).index(k), m.start(), m.end()))
+                    meet(matches, i, text, k, True)
+        matches = list(token.finditer(text))
+        for i, m in enumerate(matches):
+            kinds = [k for k, p in pii.TYPES.items() if re.fullmatch(p, clean(m[0]), re.A)]
+            if kinds and not any(s < m.end() and m.start() < e for _, s, e in spans):
+                found.append((m.start(), m.start() + len(clean(m[0])), clean(m[0]).lower()))
+                for k in kinds:
+                    meet(matches, i, text, k, False)
+        held.append((spans, found))
+        words = re.findall(ws + "+", text.lower())
+        for a, b in zip(words, words[1:]):
+            near["before", a].add(clean(b))
+            near["after", b].add(clean(a))
+    values, ends, own = (collections.defaultdict(set) for _ in range(3))
+    for k, v, side, word in edges:
+        parts = re.split(r"[\x20\x09-\x0D]+", v)
+        values[side, word].add(v)
+        ends[side, word].add(parts[0] if side == "before" else parts[-1])
+        own[k, side, word].add(v)
+    score, n = {}, -1
+    while True:
+        trusted = {}
+        for (k, side, word), vs in own.items():
+            others = max(len(near[side, word]) - len(ends[side, word]), 0) + len(values[side, word]) - len(vs)
+            scores = [1.0 if edges[k, v, side, word] else score.get((k, v), 0.0) for v in vs]
+            if len(vs) >= 3 and others <= len(vs) and sum(scores) >= 3:
+                confidence = min(0.999, sum(scores) / (others + sum(x > 0 for x in scores)))
+                if confidence >= 0.5:
+                    trusted[k, side, word] = confidence
+        less = collections.defaultdict(float)
+        for (k, v, side, word), seed in edges.items():
+            if not seed and (k, side, word) in trusted:
+                less[k, v] += math.log1p(-trusted[k, side, word])
+        score = {key: 1 - math.exp(x) for key, x in less.items()}
+        if len(trusted) == n:
+            break
+        n = len(trusted)
+    out = []
+    for spans, found in held:
+        spans = sorted({*spans, *((i, s, e) for s, e, v in found for i, k in enumerate(PII) if score.get((k, v), 0) >= 0.6)})
+        out.append(",".join(f"{list(PII)[i]}:{s}:{e}" for i, s, e in spans))
+    return out, n
+
+
+def spans_of(spark, texts):
+    table = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in enumerate(texts)], "doc_id long, text string, kind string, row int, spans string")
+    return [r.spans for r in sorted(pii.find(table).collect(), key=lambda r: r.doc_id)]
+
+
+def test_pii_graph_matches_brute_force(spark, sf_dir):
+    r = random.Random(4)
+    kinds = [lambda: f"u{r.randrange(40)}@m{r.randrange(9)}.example", lambda: f"someone{r.randrange(30)}[at]h.example", lambda: f"{r.randrange(300)}.{r.randrange(300)}.1.{r.randrange(9)}"]
+    kinds += [lambda: f"555-{r.randrange(10**7):07d}", lambda: f"+1 555 {r.randrange(10**7):07d},", lambda: f"1234-{r.randrange(10**8):08d}", lambda: "4111 1111 1111 1111", lambda: r.choice(["plain", "other", "x1y2z3w4"])]
+    texts = []
+    for _ in range(250):
+        words = []
+        for _ in range(r.randint(0, 12)):
+            k = min(int(r.expovariate(0.4)), len(kinds) - 1)
+            words += [f"cue{(k * 5 + int(r.expovariate(1.2))) % 16}", kinds[k if r.random() < 0.9 else r.randrange(len(kinds))](), r.choice(["and", "tail1", "the"])]
+        texts.append(r.choice([" ", "\n", "  "]).join(words))
+    want, n = brute_graph(list(enumerate(texts)))
+    assert n > 5 and spans_of(spark, texts) == want
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()
+    assert spans_of(spark, [d.text for d in docs]) == brute_graph([(d.doc_id, d.text) for d in docs])[0]
+
+
+def test_pii_bootstraps_beyond_one_hop(spark):
+    """Seeds behind one word, unseen ones behind it too, and others that only those meet; tokens and words of any length; unseen ones in the majority."""
+    texts = [f"mailbox: u{i}@h{i}.example" for i in range(10)] + [f"mailbox: v{i}[at]h.example" for i in range(12)]
+    texts += [f"alias= v{i}[at]h.example" for i in range(6)] + [f"alias= w{i}[at]h.example" for i in range(4)] + [f"nick= w{i}[at]h.example" for i in range(4)] + ["nick= last[at]h.example"]
+    far = "w" * 300
+    texts += [f"{far} {'n' * 80}{i}@h{i}.example" for i in range(4)] + [f"{far} {'n' * 80}{i}[at]h.example" for i in range(3)]
+    want, _ = brute_graph(list(enumerate(texts)))
+    assert want == [f"email:{t.index(' ') + 1}:{len(t)}" for t in texts]
+    assert spans_of(spark, texts) == want
+
+
+def test_pii_many_matches_in_one_text(spark):
+    text = " ".join(f"+49 30 {i:07d}" if i % 2 else f"call 555-0{i:05d}-11" for i in range(20000))
+    (row,) = pii.base_matches(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert len(row.phone) == len(row.tokens) == 10000
+    assert all(text[x.start : x.end] == x.value for x in row.phone + row.tokens)
+
+
 def test_pii_plan_is_native(spark, docs):
-    plan = pii.base_matches(docs)._jdf.queryExecution().toString()
+    plan = pii.find(docs)._jdf.queryExecution().toString()
+    plan += pii.neighbours(docs, [1] * pii.SLOTS).distinct()._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
@@ -194,11 +305,30 @@ def test_language_keeps_short_texts_with_keys(spark, sf_dir):
     assert got == {0: True, 1: True, 2: True, 3: False, 4: False}
 
 
+def test_language_of_many_languages(spark):
+    """200 languages, some declared with regions, in one block and in several."""
+    r = random.Random(8)
+    letters = [chr(c) for c in range(0x61, 0x7B)] + [chr(c) for c in range(0x430, 0x450)] + [chr(c) for c in range(0x3B1, 0x3CA)]
+    codes = [a + b for a in string.ascii_lowercase for b in string.ascii_lowercase][:200]
+    rows, truth = [], {}
+    for k, code in enumerate(codes):
+        own = ["".join(r.choices(r.sample(letters, 9), k=r.randint(2, 6))) for _ in range(40)]
+        for i in range(6):
+            truth[len(rows)] = code
+            rows.append((len(rows), " ".join(r.choices(own, k=30)), (code, code.upper() + "-XX", code + "_yy")[i % 3] if i < 5 else None, f"h{k}.{code}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for block in (language_id.BLOCK, 64):
+        got = {x.doc_id: x for x in language_id.identify(docs, declared=F.col("lang"), address=F.col("source"), block=block).collect()}
+        assert all(got[i].accepted and got[i].lang == code for i, code in truth.items())
+
+
 def test_language_reads_markup_and_addresses(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     body = F.regexp_replace("html", "(?s)<[^>]*>", " ")
     table = pages.withColumn("text", body)
     got = language_id.identify(table, doc_id="page_id", declared=language_id.markup_language(F.col("html")), address=F.col("url"))
     assert got.count() == pages.count() and got.filter("accepted").count() > 0.9 * pages.count()
+    far = spark.createDataFrame([("<!-- " + "x " * 9000 + '--><HTML class=a\nlang = "De-AT">',), ("<html><p lang='fr'>",), ('<html data-lang="fr" lang=pt_BR>',), ("",), (None,)], "html string")
+    assert [r[0] for r in far.select(language_id.markup_language(F.col("html"))).collect()] == ["de", None, "pt", None, None]
     hosts = spark.createDataFrame([("https://u@A.b.Example.org:80/x?y", "a.b.example.org"), ("src1", "src1"), (None, "")], "url string, host string")
     assert all(r[0] == r[1] for r in hosts.select(language_id.host_of(F.col("url")), "host").collect())
