@@ -198,26 +198,50 @@ def valid_pairs(df: DataFrame, a="champion", b="opponent_name", games="games", r
     return df.filter(ok & (F.col(games) > 0) & F.col(rate).between(0, 1))
 
 
+#: Length of the letter groups by which names are found that contain each other.
+_GRAM = 3
+
+
+def _grams(c: Column, shortest: int = _GRAM) -> Column:
+    """All different groups of `shortest` to _GRAM letters, and the whole of a name that is shorter."""
+    size = F.length(c)
+    parts = lambda n: F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array(c))
+    return F.array_distinct(F.concat(*[parts(n) for n in range(shortest, _GRAM + 1)]))
+
+
+def _containing(open_: DataFrame, known: DataFrame) -> DataFrame:
+    """_n, best (length and name) for the open names (_n, _k) that contain a known one (_t, in lower case) or lie inside one.
+
+    Both ways go over an index of letter groups and an equi join. A name of up to three letters is a group itself, whose best name
+    is looked up; a longer one is sought by its rarest group, and so is every known name in the open ones.
+    """
+    best = F.min(F.struct(F.length("team").alias("l"), F.col("team").alias("t"))).alias("best")
+    index = known.select("team", "_t", F.explode(_grams(F.col("_t"), 1)).alias("_g"))
+    often = index.groupBy("_g").agg(F.count("*").alias("_often"), best)
+    short = open_.filter(F.length("_k") <= _GRAM).join(often, F.col("_k") == F.col("_g")).select("_n", "best")
+    rarest = F.min_by("_g", F.struct(F.coalesce("_often", F.lit(0)), "_g")).alias("_g")
+    long = open_.filter(F.length("_k") > _GRAM)
+    key = long.select("_n", "_k", F.explode(_grams(F.col("_k"))).alias("_g")).join(often.select("_g", "_often"), "_g", "left").groupBy("_n", "_k").agg(rarest)
+    inside = key.join(index, "_g").filter(F.contains("_t", "_k")).groupBy("_n").agg(best)
+    key = known.select("team", "_t", F.explode(_grams(F.col("_t"))).alias("_g")).join(often.select("_g", "_often"), "_g").groupBy("team", "_t").agg(rarest)
+    around = open_.select("_n", "_k", F.explode(_grams(F.col("_k"), 1)).alias("_g")).join(key, "_g").filter(F.contains("_k", "_t")).groupBy("_n").agg(best)
+    return short.union(inside).union(around).groupBy("_n").agg(F.min("best").alias("best"))
+
+
 def resolve_names(df: DataFrame, name: str, known: DataFrame, alias: DataFrame, out: str = "resolved") -> DataFrame:
     """Exact match, else alias table, else a known name that contains the name or lies inside it.
 
-    known: (team); alias: (alias, team). The containment test ignores case. It
-    runs once per distinct open name, against the known names held as one
-    array (a dimension of team names); the shortest, then first name wins.
+    known: (team); alias: (alias, team). The containment test ignores case; the
+    shortest, then first name wins; a known name without letters is in no name.
+    It runs once per distinct open name.
     """
     raw = df.select(F.col(name).alias("_n")).distinct()
-    exact = known.select(F.col("team").alias("_n"), F.col("team").alias("_exact")).distinct()
+    teams = known.filter(F.col("team") != "").select("team").distinct()
     named = alias.groupBy(F.lower(F.trim("alias")).alias("_k")).agg(F.min("team").alias("_alias"))
-    names = raw.join(exact, "_n", "left").withColumn("_k", F.lower(F.trim("_n"))).join(named, "_k", "left")
-    every = known.agg(F.array_sort(F.collect_set(F.struct(F.length("team").alias("l"), F.col("team").alias("t")))).alias("a"))
-    hits = F.filter(
-        F.col("_every"),
-        lambda e: F.contains(F.lower(e["t"]), F.col("_k")) | F.contains(F.col("_k"), F.lower(e["t"])),
-    )
-    open_ = F.col("_exact").isNull() & F.col("_alias").isNull() & (F.col("_k") != "")
-    found = names.withColumn("_every", every.scalar()).select(
-        "_n", F.coalesce("_exact", "_alias", F.when(open_, F.get(hits, F.lit(0))["t"])).alias(out)
-    )
+    names = raw.join(teams.select(F.col("team").alias("_n"), F.col("team").alias("_exact")), "_n", "left").withColumn("_k", F.lower(F.trim("_n"))).join(named, "_k", "left")
+    open_ = names.filter(F.col("_exact").isNull() & F.col("_alias").isNull() & (F.col("_k") != "")).select("_n", "_k")
+    hits = _containing(open_, teams.withColumn("_t", F.lower("team")))
+    found = names.join(hits, "_n", "left").select("_n", F.coalesce("_exact", "_alias", "best.t").alias(out))
     return df.join(found, F.col(name).eqNullSafe(F.col("_n")), "left").drop("_n")
 
 

@@ -204,3 +204,31 @@ def test_ranges_by_whole_name(spark):
     found = quality.validate_ranges(df, df.columns, quality.CANDIDATE_RANGES, whole_names=True)
     assert sorted(r.feature for r in found.collect()) == ["grudge", "other"]
     assert quality.feature_range("tf_win_logits") == (-100.0, 100.0) and quality.feature_range("diff_wr_x_aggression") == (-40.0, 40.0)
+
+
+def test_names_that_contain_each_other(spark):
+    import random
+
+    from pitloom.operators.reshape import resolve_names
+
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("abAB c") for _ in range(n))
+    known = sorted({word(r.randint(1, 8)) for _ in range(60)} | {"T1", "aa", "Team Alpha"})
+    names = [word(r.randint(1, 12)) for _ in range(150)] + ["t1", " the team alpha x", "", None, "q", "zzz", "TEAM"] + known[:5]
+    alias = {"q": "Quorum"}
+    got = resolve_names(
+        spark.createDataFrame([(n,) for n in names], "n string"),
+        "n",
+        spark.createDataFrame([(k,) for k in known], "team string"),
+        spark.createDataFrame(list(alias.items()), "alias string, team string"),
+    ).collect()
+
+    def want(n):
+        if n is None or n in known:
+            return n
+        k = n.strip(" ").lower()
+        if k in alias or not k:
+            return alias.get(k)
+        return min((t for t in known if k in t.lower() or t.lower() in k), key=lambda t: (len(t), t), default=None)
+
+    assert len(got) == len(names) and {x.n: x.resolved for x in got} == {n: want(n) for n in names}
