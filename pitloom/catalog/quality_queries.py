@@ -267,15 +267,36 @@ def segment_metrics(spark, sf):
     return out.select("segment", "n", r("log_loss", 5).alias("log_loss"), r("brier").alias("brier"), r("accuracy").alias("accuracy"), r("auc").alias("auc"))
 
 
+def _mix_sql(x: str) -> str:
+    """SQL of the number mixer of the bootstrap, on 64-bit numbers held as UBIGINT."""
+    times = lambda x, m: f"(({x})::UHUGEINT * {m}::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT"
+    for shift, m in ((30, M._MIX[0]), (27, M._MIX[1])):
+        x = times(f"xor({x}, ({x}) >> {shift})", m)
+    return f"xor({x}, ({x}) >> 31)"
+
+
+_STARTED = f"(((start_::UHUGEINT + r::UHUGEINT * {M._STEP}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT)"
+
+
 @query(
     "bootstrap_ci",
-    with_inputs(f"SELECT round(auc, 6) AS auc, true AS covered, CAST(200 AS BIGINT) AS resamples FROM ({_AUC.format(g='', x='', p='', q='')})", "preds"),
+    with_inputs(
+        "SELECT round(quantile_cont(a, 0.025), 6) AS lower, round(quantile_cont(a, 0.975), 6) AS upper, round(avg(a), 6) AS mean, count(a) AS resamples FROM ("
+        "SELECT r, sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS a FROM ("
+        "SELECT r, p, pos, neg, sum(neg) OVER (PARTITION BY r ORDER BY p) - neg AS below FROM b) GROUP BY r)",
+        "preds",
+        cells="SELECT y, p, count(*) AS c FROM preds GROUP BY 1, 2",
+        parts=f"SELECT y, p, j, least({M._MEAN}, c - {M._MEAN} * j) AS m, ('0x' || substr(md5('42:' || y || ':' || CAST(floor(p * 1099511627776) AS BIGINT) || ':' || j), 1, 16))::UBIGINT AS start_ "
+        f"FROM (SELECT y, p, c, unnest(range(CAST(ceil(c / {M._MEAN}.0) AS BIGINT))) AS j FROM cells)",
+        draws="SELECT y, p, r, m, (" + _mix_sql("key") + " >> 12)::DOUBLE * pow(2.0, -52) AS u FROM (SELECT y, p, m, r, " + _STARTED + " AS key FROM (SELECT *, unnest(range(200)) AS r FROM parts))",
+        terms=f"SELECT m, k, exp(-m) * pow(m, k) / gamma(k + 1) AS term FROM (SELECT unnest(range(1, {M._MEAN + 1})) AS m), (SELECT unnest(range(60)) AS k)",
+        levels="SELECT m, list(cdf ORDER BY k) AS cdfs FROM (SELECT m, k, sum(term) OVER (PARTITION BY m ORDER BY k) AS cdf FROM terms) GROUP BY m",
+        b="SELECT r, p, coalesce(sum(w) FILTER (y = 1), 0) AS pos, coalesce(sum(w) FILTER (y <> 1), 0) AS neg FROM (SELECT r, p, y, len(list_filter(cdfs, lambda x: x <= u)) AS w FROM draws JOIN levels USING (m)) GROUP BY 1, 2",
+    ),
 )
 def bootstrap_ci(spark, sf):
-    """The interval's ends are random; that it covers the statistic, and that all resamples count, is not."""
-    p = I.preds(spark, sf)
-    both = M.bootstrap_ci(p, "y", "p", n=200).join(M.auc(p, "y", "p"))
-    return both.select(r("auc").alias("auc"), F.col("auc").between(F.col("lower"), F.col("upper")).alias("covered"), "resamples")
+    out = M.bootstrap_ci(I.preds(spark, sf), "y", "p", n=200)
+    return out.select(r("lower").alias("lower"), r("upper").alias("upper"), r("mean").alias("mean"), "resamples")
 
 
 @query(

@@ -81,81 +81,107 @@ def segment_metrics(df: DataFrame, segment: str, y: str, p: str, min_n: int = 10
     return ok.filter((F.col("n") >= min_n) & (F.col("n_pos") > 0) & (F.col("n_neg") > 0)).drop("n_pos", "n_neg")
 
 
+#: The largest mean that is drawn at once; Poisson numbers of a larger mean are sums of several.
+_MEAN = 16
+#: The step and the two multipliers of splitmix64.
+_STEP, _MIX = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
 def _mixed(x):
     """Spreads 64-bit numbers over the whole range."""
     import numpy as np
 
     u = np.uint64
-    x = (x ^ (x >> u(30))) * u(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> u(27))) * u(0x94D049BB133111EB)
+    x = (x ^ (x >> u(30))) * u(_MIX[0])
+    x = (x ^ (x >> u(27))) * u(_MIX[1])
     return x ^ (x >> u(31))
 
 
-def poisson_weights(counts, hashes, n: int):
-    """(cells, n) Poisson draws with the counts as means; equal hashes give equal draws in any partitioning."""
+def _thresholds():
+    """For each mean from 0 to _MEAN the chances that a Poisson number is at most 0, 1, 2, ..."""
+    import numpy as np
+
+    term = np.exp(-np.arange(_MEAN + 1, dtype=float))
+    rows = [term]
+    for k in range(1, 90):
+        term = term * np.arange(_MEAN + 1) / k
+        rows.append(term)
+    return np.cumsum(np.array(rows), axis=0).T
+
+
+def poisson_weights(means, starts, n: int):
+    """(rows, n) Poisson numbers by inversion; `means` up to _MEAN. A row's n chances follow from its start, so they are the same in any partitioning and engine."""
     import numpy as np
 
-    out = np.zeros((len(counts), n))
-    small = counts <= 16
-    key = hashes.view(np.uint64)[:, None] + np.arange(n, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
-    chance = (_mixed(key) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-    term = np.exp(-np.minimum(counts, 16.0))[:, None]
-    total, k = term.copy(), 0
-    while k < 90 and (more := (chance >= total) & small[:, None]).any():
-        out += more
-        k += 1
-        term = term * (counts[:, None] / k)
-        total = total + term
-    for i in np.flatnonzero(~small):  # a cell of many rows has a generator of its own
-        out[i] = np.random.default_rng(int(hashes.view(np.uint64)[i])).poisson(counts[i], n)
+    key = starts[:, None] + np.arange(n, dtype=np.uint64)[None, :] * np.uint64(_STEP)
+    chance = (_mixed(key) >> np.uint64(12)).astype(np.float64) * 2.0**-52
+    table, out = _thresholds(), np.zeros((len(means), n))
+    for m in np.unique(means).tolist():
+        same = means == m
+        out[same] = np.searchsorted(table[m], chance[same], side="right")
     return out
 
 
 def bootstrap_ci(df: DataFrame, y: str, p: str, n: int = 1000, seed: int = 42) -> DataFrame:
-    """Percentile interval of the AUC over Poisson resamples.
+    """Percentile interval of the AUC over Poisson resamples: lower, upper, mean, resamples.
 
-    Rows with the same label and the same score are interchangeable, so a resample draws one Poisson(count) per cell.
-    Cells are dealt by ranges of the score; a range sums, for all resamples at once, the pairs won inside it and its
-    weights, and what ranges win against each other is added from one row per range.
+    Rows with the same label and the same score are interchangeable, so a resample draws one Poisson(count) for each of
+    these cells; MD5 of seed, label, score (times 2^40, floored) and part starts its draws. Cells are dealt by ranges of
+    the score and summed in blocks of a matrix (cells x resamples): cumulative sums give the pairs won inside a
+    range, and what ranges win against each other is added from one row per range.
     """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     cells = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
-    cells = cells.groupBy(F.col(y).cast("int").alias("y"), F.col(p).cast("double").alias("p")).agg(F.count("*").cast("double").alias("c"))
-    cells = cells.withColumn("h", F.xxhash64("y", "p", F.lit(seed))).repartitionByRange("p").sortWithinPartitions("p")
+    cells = cells.groupBy(F.col(p).cast("double").alias("p")).agg(*(F.count_if(F.col(y) == label).alias(name) for label, name in ((1, "pos"), (0, "neg"))))
+    cells = cells.repartitionByRange("p").sortWithinPartitions("p")
+    place = F.floor(F.col("p") * (1 << 40)).cast("long").cast("string")
+    cells = cells.select("p", "pos", "neg", *(F.concat_ws(":", F.lit(str(seed)), F.lit(str(label)), place).alias(f"key{label}") for label in (1, 0)))
+
+    def drawn(counts, keys):
+        """The numbers of one label in a block: the parts of each cell, summed."""
+        import hashlib
+
+        parts = np.maximum(-(-counts // _MEAN), 1)
+        cell = np.repeat(np.arange(len(counts)), parts)
+        part = np.arange(len(cell)) - np.repeat(np.cumsum(parts) - parts, parts)
+        starts = np.array([int(hashlib.md5(f"{keys[c]}:{k}".encode()).hexdigest()[:16], 16) for c, k in zip(cell.tolist(), part.tolist())], dtype=np.uint64)
+        out, first = np.zeros((len(counts), n)), np.cumsum(parts) - parts
+        for at in range(0, len(counts), 64):  # a few cells of a large count are a large matrix already
+            rows = slice(first[at], first[at] + parts[at : at + 64].sum())
+            w = poisson_weights(np.minimum(counts[cell[rows]] - part[rows] * _MEAN, _MEAN), starts[rows], n)
+            out[at : at + 64] = np.add.reduceat(w, first[at : at + 64] - first[at], axis=0)
+        return out
 
     def draw(batches):
-        won, pos, neg, tie, low, last = np.zeros(n), np.zeros(n), np.zeros(n), (np.zeros(n), np.zeros(n)), None, None
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
-                w = poisson_weights(part["c"].to_numpy(), part["h"].to_numpy(), n)
-                for score, label, x in zip(part["p"].to_numpy(), part["y"].to_numpy(), w):
-                    if score != last:  # the cells of one score are settled together
-                        won += tie[0] * (neg + tie[1] / 2)
-                        pos, neg, tie, last = pos + tie[0], neg + tie[1], (np.zeros(n), np.zeros(n)), score
-                        low = score if low is None else low
-                    tie[0 if label == 1 else 1][:] += x
+        won, pos, neg, low = np.zeros(n), np.zeros(n), np.zeros(n), None
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                low = part.column("p")[0].as_py() if low is None else low
+                up = drawn(part.column("pos").to_numpy(), part.column("key1").to_pylist())
+                down = drawn(part.column("neg").to_numpy(), part.column("key0").to_pylist())
+                below = np.cumsum(down, axis=0) - down
+                won += (up * (neg + below + down / 2)).sum(axis=0)
+                pos, neg = pos + up.sum(axis=0), neg + down.sum(axis=0)
         if low is not None:
-            won += tie[0] * (neg + tie[1] / 2)
-            yield pd.DataFrame({"low": [low], "won": [won], "pos": [pos + tie[0]], "neg": [neg + tie[1]]})
+            yield pa.RecordBatch.from_arrays([pa.array([low]), pa.array([won]), pa.array([pos]), pa.array([neg])], names=["low", "won", "pos", "neg"])
 
-    def combine(pdf):
+    def combine(table: pa.Table) -> pa.Table:
         won, pos, neg = np.zeros(n), np.zeros(n), np.zeros(n)
-        for r in pdf.sort_values("low").itertuples():
-            won += r.won + np.asarray(r.pos) * neg
-            pos, neg = pos + r.pos, neg + r.neg
+        for r in table.sort_by("low").to_pylist():
+            won += np.array(r["won"]) + np.array(r["pos"]) * neg
+            pos, neg = pos + r["pos"], neg + r["neg"]
         with np.errstate(invalid="ignore", divide="ignore"):
             auc_n = won / (pos * neg)
         auc_n = auc_n[np.isfinite(auc_n)]
-        if not len(auc_n):
-            return pd.DataFrame({"lower": [None], "upper": [None], "mean": [None], "resamples": [0]})
-        lower, upper = np.quantile(auc_n, [0.025, 0.975])
-        return pd.DataFrame({"lower": [lower], "upper": [upper], "mean": [auc_n.mean()], "resamples": [len(auc_n)]})
+        some = len(auc_n) > 0
+        ends = np.quantile(auc_n, [0.025, 0.975]).tolist() if some else [None, None]
+        return pa.table({"lower": pa.array(ends[:1], pa.float64()), "upper": pa.array(ends[1:], pa.float64()), "mean": pa.array([float(auc_n.mean()) if some else None], pa.float64()), "resamples": pa.array([len(auc_n)])})
 
-    per = cells.select("y", "p", "c", "h").mapInPandas(draw, "low double, won array<double>, pos array<double>, neg array<double>")
-    return per.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(combine, "lower double, upper double, mean double, resamples long")
+    per = cells.mapInArrow(draw, "low double, won array<double>, pos array<double>, neg array<double>")
+    return per.groupBy(F.lit(0).alias("all")).applyInArrow(combine, "lower double, upper double, mean double, resamples long")  # a row for each range
 
 
 def fold_summary(metrics: DataFrame, metric: str, fold: str, baseline: float, band: float = 0.005, by: list[str] = ()) -> DataFrame:
