@@ -27,13 +27,16 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # a run of 16 or more is found whole, so thi
 ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Words that make what follows sensitive, besides those of the patterns.
 SENSITIVE = ("credential", "authorization", "bearer", "private", "passphrase", "signature", "access", "secret", "token", "password", "passwd", "apikey", "api_key", "pwd")
-#: A name with a sensitive word; what may stand between it and a string (any separators, up to two short words); the string.
+#: A name with a sensitive word; what may stand between it and a string (any separators, up to two words); the string.
 NAME = re.compile("(?ia:" + "|".join(SENSITIVE) + r")[A-Za-z0-9_]*+")
-BETWEEN = tuple(re.compile(r"[^A-Za-z0-9]{1,8}" + r"[A-Za-z]{1,8}[^A-Za-z0-9]{1,8}" * n + r"(?=[A-Za-z0-9])") for n in range(3))
+BETWEEN = tuple(re.compile(r"[^A-Za-z0-9]++" + r"[A-Za-z]++[^A-Za-z0-9]++" * n + r"(?=[A-Za-z0-9])") for n in range(3))
 RUN = re.compile(r"[A-Za-z0-9+/_=-]*+")
 #: A string that is itself an assignment to a sensitive name: only its value counts, which that name finds.
 ASSIGNED = re.compile(r"[A-Za-z0-9_-]*?" + NAME.pattern.removesuffix("*+") + "*=")
-LEAST_LENGTH, LONGEST_NAME = 16, 256
+#: Length from which a string is measured, and from which one is that mixes letters and digits (shorter words that no dictionary
+#: holds would be as novel as keys); characters in which a name of its own is sought.
+LEAST_LENGTH, LEAST_MIXED, LONGEST_NAME = 16, 8, 256
+MIXED = re.compile(r"(?=[^0-9]*[0-9])[^A-Za-z]*[A-Za-z]")
 #: Characters taken on either side of a candidate, bytes of the identifier dictionary, identifiers in it.
 AROUND, DICTIONARY_BYTES, IDENTIFIERS = 256, 32768, 4096
 #: Added bytes for each character from which a string counts as incompressible.
@@ -71,7 +74,8 @@ def runs(text: str) -> list[tuple[int, int]]:
             end = known[1]
             if text[start - 1] in "+/_-" and start - 2 >= name.end() and not text[start - 2].isalnum() and text[start - 2] not in "+/_-":
                 start -= 1  # one such sign behind another separator is the first of the string
-            if end - start < LEAST_LENGTH or end in own or (-1 < text.find("=", start, min(end, start + LONGEST_NAME)) and ASSIGNED.match(text, start, min(end, start + LONGEST_NAME))):
+            least = LEAST_LENGTH if end - start >= LEAST_LENGTH or not MIXED.match(text[start:end]) else LEAST_MIXED
+            if end - start < least or end in own or (-1 < text.find("=", start, min(end, start + LONGEST_NAME)) and ASSIGNED.match(text, start, min(end, start + LONGEST_NAME))):
                 continue
             own.add(end)
             found.setdefault(end, []).append(start)
@@ -87,6 +91,16 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return [(s, e) for s, e in runs(text) if not any(b < e and s < f for b, _, f in base)]
 
 
+def masked(text: str, places: list[tuple[int, int]]) -> str:
+    """The text with its secrets and candidates blank, so that none is an identifier of another's surroundings."""
+    parts, at = [], 0
+    for s, e in sorted(places):
+        if e > at:
+            parts += [text[at:s], " " * (e - max(s, at))]
+            at = e
+    return "".join(parts) + text[at:]
+
+
 def outermost(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Of spans that end alike, the longest."""
     return list({x[2]: x for x in sorted(spans, reverse=True)}.values())
@@ -108,7 +122,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = candidates(text, base)
             base_rows.append([{"start": s, "kind": k, "end": e} for s, k, e in base])
             sets.append([{"start": s, "end": e, "before": text[max(0, s - AROUND) : s], "word": text[s:e], "after": text[e : e + AROUND]} for s, e in found])
-            near = [text[max(0, s - AROUND) : s] + " " + text[e : e + AROUND] for s, e in [*((s, e) for s, _, e in base), *found]]
+            places = [*((s, e) for s, _, e in base), *found]
+            free = masked(text, places)
+            near = [free[max(0, s - AROUND) : s] + " " + free[e : e + AROUND] for s, e in places]
             around.append(sorted({w for t in near for w in _IDENTIFIER.findall(t)}))
         span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
         yield pa.RecordBatch.from_arrays(

@@ -119,6 +119,24 @@ def test_lattice_scores(docs, corpus, head):
         assert abs(r.base_score - score) < 1e-6 and r.score < 0
 
 
+@pytest.mark.parametrize("head", [5, 200_000])
+def test_lattice_document_scores(docs, corpus, head):
+    """Whole documents from the definitions: one round of expectation over all training words, then each token's sum over its segmentations."""
+    got = {r.doc_id: r.score for r in lattice_lm.score_documents(docs, head=head).collect()}
+    lat = lattice_lm.lattice(piece_codec.default_model())
+    tokens = {i: (t or "").encode().lower().split() for i, t in corpus}
+    first, uses = np.log(np.maximum(lat.guess, 1e-300)).tolist(), np.zeros(lat.size)
+    for i, words in tokens.items():
+        if zlib.crc32(str(i).encode()) % 10:
+            uses[lat.end] += 1
+            for w in words:
+                lat.expect(w, 1, first, uses)
+    log_p = np.log(np.maximum((uses + lattice_lm.PRIOR * lat.guess) / (uses.sum() + lattice_lm.PRIOR), 1e-300)).tolist()
+    for i, words in tokens.items():
+        want = (sum(lat.log_probability(w, log_p) for w in words) + log_p[lat.end]) / math.log(10)
+        assert abs(got[i] - want) < 1e-6 * max(1, abs(want))
+
+
 def segmentations(text, pieces):
     if not text:
         yield ()

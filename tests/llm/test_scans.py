@@ -255,6 +255,52 @@ def test_secret_any_alphabet_and_length(spark):
     assert got == {i: f"novel:16:{16 + len(k)}" if i < len(keys) else "" for i, k in enumerate(keys + plain)}
 
 
+def test_secret_short_strings_and_long_ways(spark):
+    """Short keys that mix letters and digits, words of any length and any number of separators between; short plain words stay."""
+    keys = ["x9Qz7Lk2Vb8TnR4wYp3M", "Hd72kQp0ZmW5xTr8Lc3V", "q8w7e6r5", "zq81vbx7", "Nf4Jb6Ys1GtUo9EiKa2C"]
+    texts = [f"credential for administrators: {keys[0]}", f"credential {'.' * 300} {keys[1]}", f"credential: {keys[2]}", f"passphrase -> {keys[3]}", f"private {'y' * 500} := {keys[4]} end"]
+    plain = ["credential: abcdefgh", "access was granted to everybody", "the private 12345678 there", "bearer of newspapers", "access token 7 of 12"]
+    got = {r.doc_id: r.spans for r in secret_scan.scan(spark.createDataFrame(list(enumerate(texts + plain)), "doc_id long, text string")).collect()}
+    assert got == {i: f"novel:{t.index(keys[i])}:{t.index(keys[i]) + len(keys[i])}" if i < len(keys) else "" for i, t in enumerate(texts + plain)}
+
+
+def test_secret_novelty_matches_brute_force(spark, sf_dir):
+    """All spans again from the definitions: dictionary by counting, added bytes by compressing with and without each string."""
+    import zstandard
+
+    r = random.Random(11)
+    docs = [(d.doc_id, d.text) for d in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    for i in range(40):
+        key = "".join(r.choices(string.ascii_letters + string.digits if i % 2 else "settingsrivermarket", k=r.randint(8, 60)))
+        docs.append((10**6 + i, f"{r.choice(['some text', 'def main'])} my_{r.choice(secret_scan.SENSITIVE)} {r.choice([':', '=', '->', 'of the', ''])} {key} and value_{i % 3} more"))
+    got = {x.doc_id: (x.n_novel, x.spans) for x in secret_scan.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    held, count = {}, collections.Counter()
+    for i, text in docs:
+        text = text or ""
+        base = [(m.start(), k, m.end()) for k, (p, fits) in enumerate(SECRETS.values()) for m in re.finditer(p, text) if fits(m)]
+        found = [(s, e) for s, e in secret_scan.runs(text) if all(f <= s or e <= b for b, _, f in base)]
+        held[i] = text, base, found
+        places = [*((s, e) for s, _, e in base), *found]
+        free = "".join(" " if any(s <= j < e for s, e in places) else x for j, x in enumerate(text)) if places else text
+        around = " | ".join(free[max(0, s - 256) : s] + " " + free[e : e + 256] for s, e in places)
+        count.update(set(re.findall("[A-Za-z_][A-Za-z0-9_]{2,39}", around)))
+    top = sorted(count, key=lambda w: (-count[w], w))[:4096]
+    primed = zstandard.ZstdCompressionDict(" ".join(reversed(top)).encode()[-32768:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    size = lambda t: len(zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_dict_id=False).compress(t.encode()))
+    n = 0
+    for i, (text, base, found) in held.items():
+        novel = {}
+        for s, e in found:
+            before, word, after = text[max(0, s - 256) : s], text[s:e], text[e : e + 256]
+            least = 0.85 if len(word) < 128 or len(set(word)) < 2 else min(0.85, math.log2(len(set(word))) / 8)
+            if (size(before + word + after) - size(before + after)) / len(word.encode()) >= least:
+                novel[e] = min(s, novel.get(e, s))
+        spans = sorted([*base, *((s, 3, e) for e, s in novel.items())])
+        assert got[i] == (len(novel), ",".join(f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in spans))
+        n += len(novel)
+    assert 5 < n < 40
+
+
 def test_language_held_out_accuracy(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     hidden = F.when(F.col("doc_id") % 5 != 0, F.col("lang"))
