@@ -97,14 +97,69 @@ def export_nested_json(spark, sf):
 
 
 @query(
-    "log_fields",
+    "props_fields",
     "SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum FROM events GROUP BY event_type",
 )
-def log_fields(spark, sf):
+def props_fields(spark, sf):
     e = I.table(spark, sf, "events").withColumn("k", F.from_json("props", "k BIGINT")["k"])
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("k").alias("k_sum"))
 
 
+_KEPT = "('0x' || substr(md5('42:' || {key}), 1, 15))::BIGINT < {part}"
+_HALF = int(0.5 * (1 << 60))
+_LOG_DAY = "CAST(floor(epoch_us(ts) / 8.64e10) AS BIGINT)"
+
+
+def _log_root(spark):
+    import uuid
+
+    from pitloom.streaming.jobs import checkpoint_root
+
+    return f"{checkpoint_root(spark).rstrip('/')}/log-{uuid.uuid4().hex}"
+
+
+@query(
+    "inference_log",
+    f"WITH e AS (SELECT event_id, event_type, value, {_LOG_DAY} AS day FROM events), r AS (SELECT event_id, day, value, CAST(NULL AS DOUBLE) AS extra FROM e WHERE {_KEPT.format(key='event_id::VARCHAR', part=_HALF)} "
+    "UNION ALL SELECT event_id, day, value, value * 2 FROM e WHERE event_type = 'error') SELECT event_id, day, value, extra FROM r WHERE day > (SELECT max(day) FROM e) - 7",
+)
+def inference_log(spark, sf):
+    """Half of the events as one batch, written twice as after a loss, and the errors with one more column as a second; the last seven days are read."""
+    root = _log_root(spark)
+    e = I.ev(spark, sf).select(F.col("event_id").alias("request_id"), F.col("ts").alias("timestamp"), "event_type", "value")
+    for _ in range(2):
+        stores_io.append_log(e, root, "m", 0, rate=0.5)
+    stores_io.append_log(e.filter("event_type = 'error'").withColumn("extra", F.col("value") * 2), root, "m", 1)
+    last = e.agg(F.max(F.to_date("timestamp"))).first()[0]
+    back = stores_io.read_logs(spark, root, "m", 7, last)
+    return back.select(F.col("request_id").alias("event_id"), F.unix_date("dt").cast("long").alias("day"), "value", "extra")
+
+
+@query(
+    "inference_log_stream",
+    f"SELECT event_id, {_LOG_DAY} AS day, value FROM events WHERE {_KEPT.format(key='event_id::VARCHAR', part=_HALF)}",
+)
+def inference_log_stream(spark, sf):
+    from pitloom.streaming import jobs
+
+    e, _ = I.staged_stream(spark, I.ev(spark, sf).select("event_id", "ts", "value"), "ts")
+    root = _log_root(spark)
+    jobs.log_sink(e.filter("event_id >= 0"), f"{root}/log", f"{root}/ckpt", "m", ts="ts", rate=0.5, key=["event_id"]).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/log").select("event_id", F.unix_date("dt").cast("long").alias("day"), "value")
+
+
+@query(
+    "candidate_log",
+    with_inputs("SELECT query_id, candidate_id, cs_logit, nocs_logit, CAST(label AS DOUBLE) AS label FROM scores WHERE mask = 1", "scores"),
+)
+def candidate_log(spark, sf):
+    root = _log_root(spark)
+    rows = I.scores(spark, sf).withColumn("timestamp", F.timestamp_seconds(F.col("query_id") % 5 * 86_400))
+    for _ in range(2):
+        stores_io.append_candidate_log(rows, root, "m", 0, key=["query_id", "candidate_id"])
+    return stores_io.read_logs(spark, root, "m", 5, "1970-01-05").select("query_id", "candidate_id", "cs_logit", "nocs_logit", "label")
+
+
 @query(
     "pair_counts",
     with_inputs("SELECT player_id, champion, count(*) AS games, CAST(sum(result) AS BIGINT) AS wins FROM player_rows GROUP BY 1, 2", "player_rows"),

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitloom.operators.quality import _bin, psi_value, unfold
+from pitloom.sources.stores_io import append_log
 from pitloom.streaming.ordered import fold_in_order
 
 
@@ -30,18 +31,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
-def log_sink(df: DataFrame, path: str, checkpoint: str, model: str, ts: str = "timestamp", rate: float = 1.0, key: str | None = None):
-    """Append a feature stream to daily partitions; sampling by a hash of `key` (of the whole row without one), so a replay keeps the same rows."""
-    rows = df.withColumns({"model": F.lit(model), "dt": F.to_date(ts)})
-    if rate < 1:
-        rows = rows.filter(F.pmod(F.xxhash64(*([key] if key else df.columns)), F.lit(1_000_000)) < int(rate * 1_000_000))
-    return (
-        rows.writeStream.format("parquet")
-        .partitionBy("model", "dt")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-    )
+def log_sink(df: DataFrame, path: str, checkpoint: str, model: str, ts: str = "timestamp", rate: float = 1.0, key: list[str] = ("request_id",), **kw):
+    """Writes a feature stream to daily partitions, sampled by a hash of `key`. A micro-batch has folders of its own, so one that is repeated replaces itself."""
+
+    def update(batch: DataFrame, number: int) -> None:
+        append_log(batch, path, model, number, ts, rate, list(key), **kw)
+
+    return df.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).outputMode("append")
 
 
 def rate_flag(df: DataFrame, key: str, ts: str = "ts", limit: int = 120, window: str = "60 seconds", slide: str = "1 second", late: str = "5 minutes") -> DataFrame:

@@ -140,10 +140,12 @@ def test_sources_and_sinks(spark, tmp_path):
     assert text == ['{"a": {"x":{"1":{"rate":0.5}},"y":{"2":{"rate":null}}}}', '{"b": {"x":{"3":{"rate":0.25}}}}']
     log = spark.createDataFrame([(1, "2024-01-01 10:00:00", 0.5, 1), (2, "2024-01-03 10:00:00", 0.7, 0)], "request_id int, t string, f double, mask int")
     log = log.withColumn("timestamp", F.to_timestamp("t")).drop("t")
-    stores_io.append_log(log, str(tmp_path / "log"), "m")
-    stores_io.append_candidate_log(log.withColumn("extra", F.lit(1)), str(tmp_path / "log"), "m")
-    back = stores_io.read_logs(spark, str(tmp_path / "log"), "m", 2, "2024-01-03")
-    assert back.count() == 1 and "extra" in back.columns
+    stores_io.append_log(log, str(tmp_path / "log"), "m", 0)
+    for _ in range(2):  # a batch that is written again replaces itself
+        stores_io.append_candidate_log(log.withColumn("extra", F.lit(1)), str(tmp_path / "log"), "m", 1)
+    back = stores_io.read_logs(spark, str(tmp_path / "log"), "m", 3, "2024-01-03")
+    assert sorted((r.request_id, r.extra) for r in back.collect() if r.extra) == [(1, 1.0)] and back.count() == 3
+    assert stores_io.read_logs(spark, str(tmp_path / "log"), "m", 2, "2024-01-03").count() == 1
     assert matches.load_career(spark, str(tmp_path / "none.csv")).count() == 0
     stores_io.save_store(df, str(tmp_path / "s"), ["k1"])
     assert spark.read.parquet(str(tmp_path / "s")).count() == 3 and matches.discover(spark, str(tmp_path / "s/*/*.parquet")).count() >= 2

@@ -79,7 +79,7 @@ def test_windowed_streams_and_log_sink(spark, sf_dir, tmp_path):
         "event_id", F.col("ts").cast("timestamp").alias("timestamp"), "event_type", "value"
     )
 
-    q = jobs.log_sink(e, str(tmp_path / "log"), str(tmp_path / "log-c"), "m", rate=0.5, key="event_id").trigger(availableNow=True).start()
+    q = jobs.log_sink(e, str(tmp_path / "log"), str(tmp_path / "log-c"), "m", rate=0.5, key=["event_id"]).trigger(availableNow=True).start()
     q.awaitTermination()
     kept = spark.read.parquet(str(tmp_path / "log"))
     assert 0 < kept.count() < batch.count() and {"model", "dt"} <= set(kept.columns)
