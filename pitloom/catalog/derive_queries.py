@@ -322,25 +322,32 @@ def median_fill(spark, sf):
     return a.union(b)
 
 
+_RANKED = "query_id, candidate_id, label, round(cs_logit, 6) AS base_score, round(greatest(exp(-ln(2) * (query_id % 120) / 21.0), 0.05), 6) AS weight"
+
+
+def _ranking(spark, sf, split):
+    age = prep.decay_weight(F.col("query_id") % 120, 21.0)  # a query's age in days
+    f = prep.ranking_frame(I.scores(spark, sf), "query_id", "candidate_id", "cs_logit", "label", 50, split, F.greatest(age, F.lit(0.05)))
+    return f.select("query_id", "candidate_id", "label", r("base_score").alias("base_score"), r("weight").alias("weight"))
+
+
 def _rank_sql(split):
     base = "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cs_logit DESC, candidate_id) AS rn FROM scores"
     if split == "train":
-        body = "SELECT query_id, candidate_id, label FROM b WHERE rn <= 50 AND query_id IN (SELECT query_id FROM b WHERE rn <= 50 AND label = 1)"
+        body = f"SELECT {_RANKED} FROM b WHERE rn <= 50 AND query_id IN (SELECT query_id FROM b WHERE rn <= 50 AND label = 1)"
     else:
-        body = "SELECT query_id, candidate_id, label FROM b WHERE rn <= 50 OR label = 1"
+        body = f"SELECT {_RANKED} FROM b WHERE rn <= 50 OR label = 1"
     return with_inputs(body, "scores", b=base)
 
 
 @query("ranking_frame_train", _rank_sql("train"))
 def ranking_frame_train(spark, sf):
-    f = prep.ranking_frame(I.scores(spark, sf), "query_id", "candidate_id", "cs_logit", "label", 50, "train")
-    return f.select("query_id", "candidate_id", "label")
+    return _ranking(spark, sf, "train")
 
 
 @query("ranking_frame_val", _rank_sql("val"))
 def ranking_frame_val(spark, sf):
-    f = prep.ranking_frame(I.scores(spark, sf), "query_id", "candidate_id", "cs_logit", "label", 50, "val")
-    return f.select("query_id", "candidate_id", "label")
+    return _ranking(spark, sf, "val")
 
 
 @query(

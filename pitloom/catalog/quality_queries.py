@@ -121,11 +121,12 @@ def psi_baseline(spark, sf):
 
 def _psi_sql(edges_from_current=False, by=False):
     g = "event_type, " if by else ""
-    cur = f"SELECT {g}feature, {_BINC} AS b, count(*) AS c FROM x JOIN s USING (feature) WHERE NOT old GROUP BY ALL"
+    span = "s2" if edges_from_current else "s"
+    cur = f"SELECT {g}feature, {_BINC} AS b, count(*) AS c FROM x JOIN {span} USING (feature) WHERE NOT old GROUP BY ALL"
     keys = "(SELECT DISTINCT event_type FROM x), (SELECT unnest(['value', 'half']) AS feature)" if by else "(SELECT unnest(['value', 'half']) AS feature)"
     on = "c.event_type = k.event_type AND " if by else ""
     return (
-        f"WITH h AS ({_EVH}), x AS ({_PSIX}), s AS ({_SPAN}), "
+        f"WITH h AS ({_EVH}), x AS ({_PSIX}), s AS ({_SPAN}), s2 AS ({_SPAN.replace('WHERE old', 'WHERE NOT old')}), "
         f"bn AS (SELECT feature, {_BINC} AS b, count(*) AS c FROM x JOIN s USING (feature) WHERE old GROUP BY 1, 2), cn0 AS ({cur}), cn AS (SELECT * FROM cn0 WHERE b IS NOT NULL), "
         f"bt AS (SELECT feature, sum(c) AS t FROM bn GROUP BY 1), ct AS (SELECT {g}feature, sum(c) AS t FROM cn GROUP BY ALL), nn AS (SELECT {g}feature, count(*) AS n FROM x WHERE NOT old GROUP BY ALL), "
         f"k AS (SELECT * FROM {keys}, (SELECT unnest(range(10)) AS b)) "
@@ -141,6 +142,14 @@ def psi(spark, sf):
     return Q.psi(Q.psi_baseline(old, ["value", "half"]), new.drop("event_type")).withColumn("psi", r("psi"))
 
 
+@query("psi_without_edges", _psi_sql(edges_from_current=True))
+def psi_without_edges(spark, sf):
+    """A baseline of counts only, as older ones are: the current values' own range is cut into bins."""
+    old, new = halves(spark, sf)
+    base = Q.psi_baseline(old, ["value", "half"]).withColumn("bin_edges", F.lit(None).cast("array<double>"))
+    return Q.psi(base, new.drop("event_type"), legacy=True).withColumn("psi", r("psi"))
+
+
 @query("psi_by_segment", _psi_sql(by=True))
 def psi_by_segment(spark, sf):
     old, new = halves(spark, sf)

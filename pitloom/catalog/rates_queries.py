@@ -18,6 +18,14 @@ def r(c, n=6):
     return F.round(F.col(c) if isinstance(c, str) else c, n)
 
 
+def _written_root(spark, name):
+    import uuid
+
+    from pitloom.streaming.jobs import checkpoint_root
+
+    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 @query(
     "history_cut",
     "SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) >= (SELECT CAST(max(o_orderdate) - INTERVAL 18 MONTH AS DATE) FROM orders)",
@@ -53,18 +61,76 @@ def load_pairs_fallback(spark, sf):
 )
 def rosters(spark, sf):
     p = I.player_rows(spark, sf).select("league", "team", "player_id", F.col("position").alias("role")).distinct()
-    t = matches.team_players(p)
-    n = t.groupBy("league").agg(F.size(F.array_distinct(F.flatten(F.collect_list("players")))).cast("long").alias("n_players"))
+    n = p.groupBy("league").agg(F.count_distinct("player_id").alias("n_players"))
     return matches.league_teams(p).select("league", F.array_join("teams", ",").alias("teams")).join(n, "league")
 
 
+@query(
+    "roster_players",
+    with_inputs(
+        "SELECT league, team, string_agg(player_id, ',' ORDER BY o, player_id) AS players FROM ("
+        "SELECT DISTINCT league, team, player_id, position, CASE position WHEN 'top' THEN 1 WHEN 'jng' THEN 2 WHEN 'mid' THEN 3 WHEN 'bot' THEN 4 WHEN 'sup' THEN 5 END AS o FROM player_rows) GROUP BY 1, 2",
+        "player_rows",
+    ),
+)
+def roster_players(spark, sf):
+    p = I.player_rows(spark, sf).select("league", "team", "player_id", F.col("position").alias("role")).distinct()
+    return matches.team_players(p).select("league", "team", F.array_join("players", ",").alias("players"))
+
+
 @query(
     "vocab_and_prior",
-    with_inputs("SELECT v.champion, v.idx, round(pos_top, 6) AS pos_top, round(pos_sup, 6) AS pos_sup FROM vocab v JOIN prior USING (champion)", "vocab", "prior"),
+    with_inputs(
+        "SELECT v.champion, v.idx, position, round(p, 6) AS probability FROM vocab v JOIN (SELECT champion, unnest(['top', 'jng', 'mid', 'bot', 'sup']) AS position, unnest([pos_top, pos_jng, pos_mid, pos_bot, pos_sup]) AS p FROM prior) USING (champion)",
+        "vocab",
+        "prior",
+    ),
 )
 def vocab_and_prior(spark, sf):
+    """Both tables are written as the JSON files that the loaders read; they have a row for each champion."""
+    root = _written_root(spark, "json")
     v, p = I.vocab(spark, sf), I.position_prior(spark, sf)
-    return v.join(p, "champion").select("champion", "idx", r("pos_top").alias("pos_top"), r("pos_sup").alias("pos_sup"))
+    names = v.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("champion", "idx"))).alias("name_to_idx"))))
+    names.coalesce(1).write.text(f"{root}/vocab")
+    parts = F.map_from_arrays(F.array(*[F.lit(x) for x in rs.ROLES]), F.array(*[F.col(f"pos_{x}") for x in rs.ROLES]))
+    p.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("champion"), parts.alias("p")))))).coalesce(1).write.text(f"{root}/prior")
+    out = matches.load_vocab(spark, f"{root}/vocab").join(matches.load_position_prior(spark, f"{root}/prior"), "champion")
+    return out.select("champion", "idx", "position", r("probability").alias("probability"))
+
+
+@query("career_file", with_inputs("SELECT player_id, champion, games FROM career", "career"))
+def career_file(spark, sf):
+    """The table as a file that the loader reads, with what a file that does not exist gives."""
+    root = _written_root(spark, "career")
+    I.career(spark, sf).select("player_id", "champion", "games", "win_rate", "kda").write.option("header", True).csv(f"{root}/career.csv")
+    both = matches.load_career(spark, f"{root}/career.csv").unionByName(matches.load_career(spark, f"{root}/none.csv"))
+    return both.select("player_id", "champion", F.col("games").cast("long").alias("games"))
+
+
+@query("written_store", with_inputs("SELECT gameid, player_id, champion, league FROM player_rows", "player_rows"))
+def written_store(spark, sf):
+    root = _written_root(spark, "store")
+    stores_io.save_store(I.player_rows(spark, sf).select("gameid", "player_id", "champion", "league"), f"{root}/players", ["league"])
+    return spark.read.parquet(f"{root}/players").select("gameid", "player_id", "champion", "league")
+
+
+@query("refreshed_counts", "SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def refreshed_counts(spark, sf):
+    """Two periodic runs: the second sees the files only that came since the first. A batch's partial sums are its own folder."""
+    from pitloom.streaming import jobs
+
+    root = _written_root(spark, "refresh")
+    e = I.ev(spark, sf).select("event_id", "user_id", "value")
+    half = F.pmod(F.xxhash64("event_id"), F.lit(2))
+
+    def update(batch, number):
+        sums = batch.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+        sums.write.mode("overwrite").parquet(f"{root}/store/batch={number}")
+
+    for k in (0, 1):
+        e.filter(half == k).write.mode("append").parquet(f"{root}/in")
+        jobs.refresh(spark, f"{root}/in", e.schema, f"{root}/ckpt", update)
+    return spark.read.parquet(f"{root}/store").groupBy("user_id").agg(F.sum("n").alias("n"), r(F.sum("total"), 4).alias("total"))
 
 
 @query(
@@ -110,14 +176,6 @@ _HALF = int(0.5 * (1 << 60))
 _LOG_DAY = "CAST(floor(epoch_us(ts) / 8.64e10) AS BIGINT)"
 
 
-def _log_root(spark):
-    import uuid
-
-    from pitloom.streaming.jobs import checkpoint_root
-
-    return f"{checkpoint_root(spark).rstrip('/')}/log-{uuid.uuid4().hex}"
-
-
 @query(
     "inference_log",
     f"WITH e AS (SELECT event_id, event_type, value, {_LOG_DAY} AS day FROM events), r AS (SELECT event_id, day, value, CAST(NULL AS DOUBLE) AS extra FROM e WHERE {_KEPT.format(key='event_id::VARCHAR', part=_HALF)} "
@@ -125,7 +183,7 @@ def _log_root(spark):
 )
 def inference_log(spark, sf):
     """Half of the events as one batch, written twice as after a loss, and the errors with one more column as a second; the last seven days are read."""
-    root = _log_root(spark)
+    root = _written_root(spark, "log")
     e = I.ev(spark, sf).select(F.col("event_id").alias("request_id"), F.col("ts").alias("timestamp"), "event_type", "value")
     for _ in range(2):
         stores_io.append_log(e, root, "m", 0, rate=0.5)
@@ -143,7 +201,7 @@ def inference_log_stream(spark, sf):
     from pitloom.streaming import jobs
 
     e, _ = I.staged_stream(spark, I.ev(spark, sf).select("event_id", "ts", "value"), "ts")
-    root = _log_root(spark)
+    root = _written_root(spark, "log")
     jobs.log_sink(e.filter("event_id >= 0"), f"{root}/log", f"{root}/ckpt", "m", ts="ts", rate=0.5, key=["event_id"]).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{root}/log").select("event_id", F.unix_date("dt").cast("long").alias("day"), "value")
 
@@ -153,7 +211,7 @@ def inference_log_stream(spark, sf):
     with_inputs("SELECT query_id, candidate_id, cs_logit, nocs_logit, CAST(label AS DOUBLE) AS label FROM scores WHERE mask = 1", "scores"),
 )
 def candidate_log(spark, sf):
-    root = _log_root(spark)
+    root = _written_root(spark, "log")
     rows = I.scores(spark, sf).withColumn("timestamp", F.timestamp_seconds(F.col("query_id") % 5 * 86_400))
     for _ in range(2):
         stores_io.append_candidate_log(rows, root, "m", 0, key=["query_id", "candidate_id"])

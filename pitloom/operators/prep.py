@@ -189,13 +189,16 @@ def median_fill(train: DataFrame, test: DataFrame, cols: list[str]) -> tuple[Dat
     return train.withColumns(fill), test.withColumns(fill)
 
 
-def ranking_frame(scores: DataFrame, q: str, cand: str, score: str, label: str, k: int = 50, split: str = "train") -> DataFrame:
-    """Top-k candidates per query with the label flag.
+def ranking_frame(
+    scores: DataFrame, q: str, cand: str, score: str, label: str, k: int = 50, split: str = "train", weight: Column | None = None
+) -> DataFrame:
+    """Top-k candidates per query with the label flag, the base model's score (`base_score`) and the row's `weight` (of its query's age; 1 without one).
 
     train: queries whose positive is not among the k are dropped; val: the
     missed positive is added. The k best are cut before the shuffle, positives
     are joined by key.
     """
+    scores = scores.withColumns({"base_score": F.col(score), "weight": F.lit(1.0) if weight is None else weight})
     w = W.partitionBy(q).orderBy(F.col(score).desc(), F.col(cand).asc())
     top = scores.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
     if split == "train":

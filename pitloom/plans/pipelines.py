@@ -20,22 +20,30 @@ def prediction_stores(games: DataFrame, career: DataFrame) -> dict[str, DataFram
     prior = rates.base_prior(history, career)
     return {
         "meta": meta.meta_drift(history, games),
-        "player": entity.player_store(history, prior, dense=False),
+        "player": entity.player_store(history, prior),  # with the whole pool, which serving looks up
         "team": team.team_profile(rs.melt_teams(games)),
     }
 
 
-def recommendation_stores(games: DataFrame, career: DataFrame, vocab: DataFrame) -> dict[str, DataFrame]:
-    """Stores of the recommendation side (earlier games of the same day count)."""
+def recommendation_stores(games: DataFrame, career: DataFrame, vocab: DataFrame, pairs: DataFrame) -> dict[str, DataFrame]:
+    """Stores of the recommendation side (earlier games of the same day count), with the look-ups of counters and synergies from `pairs`."""
     history = rs.melt_players(games)
     bans = rs.melt_bans(games)
     prior = rates.base_prior(history, career)
     order = ["date", "gameid"]
-    grudge, grudge_latest = stores.grudge_store(games, bans.join(vocab.withColumnRenamed("idx", "champion_id"), "champion"))
+    ids = vocab.withColumnRenamed("idx", "champion_id")
+    grudge, grudge_latest = stores.grudge_store(games, bans.join(ids, "champion"))
     hot, hot_latest = stores.hot_streak_store(history, vocab)
+    player = entity.player_store(history, prior, "sequence", 21, death_floor=1.0, seq=order, dense=False)
+    mastered = player.join(ids, "champion").select("gameid", "day", "player_id", "champion_id", "mastery_score")
+    respect, respect_latest = stores.respect_store(mastered)
     return {
         "meta": meta.meta_patch_weighted(history, bans, games),
-        "player": entity.player_store(history, prior, "sequence", 21, death_floor=1.0, seq=order),
+        "player": player,
+        "respect": respect,
+        "respect_latest": respect_latest,
+        "counter": rates.counter_lookup(pairs),
+        "synergy": rates.synergy_lookup(pairs),
         "team": team.team_style(rs.melt_teams(games)),
         "pick_distribution": entity.pick_distribution(history),
         "grudge": grudge,
@@ -78,3 +86,17 @@ def assemble(games: DataFrame, written: dict[str, DataFrame], tags: DataFrame) -
     base = rs.normalise_flags(rs.one_hot(base, "league", ["LPL", "LCK", "LEC"]))
     wide = base.join(slots, "gameid").join(m, "gameid")
     return derive.derive_features(wide, tags)
+
+
+def assemble_recommendation(games: DataFrame, written: dict[str, DataFrame]) -> DataFrame:
+    """One row per seat of a game: the player's hot champion, signature and most picked champion, and what the team bans most against this opponent.
+
+    Stores are written and read, so each is a narrow scan here; all joins are on the seat's own keys.
+    """
+    against = rs.melt_teams(games).select("gameid", "team", "opponent")
+    seats = rs.melt_players(games).select("gameid", "team", "player_id", "position").join(against, ["gameid", "team"])
+    most = written["pick_distribution"].filter("rank = 1").select("gameid", "player_id", F.col("pick_dist_champion").alias("most_picked"), F.col("pick_dist_pct").alias("most_picked_pct"))
+    worst = written["grudge"].groupBy("gameid", "team", "opponent").agg(F.max(F.struct("rate", (-F.col("champion_id")).alias("c"))).alias("g"))
+    worst = worst.select("gameid", "team", "opponent", (-F.col("g.c")).alias("grudge_champion_id"), F.col("g.rate").alias("grudge_rate"))
+    out = seats.join(written["hot_streak"], ["gameid", "player_id"], "left").join(written["respect"], ["gameid", "player_id"], "left")
+    return out.join(most, ["gameid", "player_id"], "left").join(worst, ["gameid", "team", "opponent"], "left")
