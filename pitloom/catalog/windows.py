@@ -78,7 +78,7 @@ def window_sequence_isolation(spark, sf):
     o = I.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 20).alias("k"), "o_orderdate", "o_totalprice"
     )
-    d = decayed_mean(o, ["k"], "o_orderdate", "o_totalprice", 21, 90, isolation="sequence", seq=["o_orderdate", "id"])
+    d = decayed_mean(o, ["k"], "o_orderdate", "o_totalprice", 21, 90, isolation="sequence", seq=["o_orderdate", "id"], run=4096)
     return d.select("id", r("mean", 4).alias("mean_price"), F.col("mean_n").alias("n"))
 
 

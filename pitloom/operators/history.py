@@ -135,6 +135,7 @@ def trailing_sums(
     seq: list | None = None,
     bucket_us: int = DAY_US,
     lower: str = "inclusive",
+    run: int | None = None,
 ) -> DataFrame:
     """Sums over the earlier rows of the same key inside trailing windows.
 
@@ -148,7 +149,9 @@ def trailing_sums(
     timestamps never see each other; ages are fractional days.
     isolation="sequence": rows earlier in `seq`; time is cut to days, so an
     earlier row of the same day has age 0 and the window is [day - W, day]
-    (`lower="exclusive"`: day - W itself is out).
+    (`lower="exclusive"`: day - W itself is out). A day of a key is ordered in one
+    task, unless `run` is given: then it is cut into runs of that many numbers of the
+    last (whole number) column of `seq`, and only the runs' sums are scanned together.
 
     A sum over no rows is null.
     """
@@ -212,10 +215,15 @@ def trailing_sums(
     cell = W.partitionBy(*keys, "_b")
     edges = sorted({x for x in nb.values() if x is not None})
     if seq_mode:
-        inside = cell.orderBy(*(seq or ["_t"])).rowsBetween(W.unboundedPreceding, -1)
-        local = src.select(
-            *df.columns, "_b", "_t", *[agg[x.fn](f"_x_{n}").over(inside).alias(f"_l_{n}") for n, x in m.items()]
-        )
+        if run:
+            place = F.struct(*[F.col(c) for c in seq[:-1]], F.floor(F.col(seq[-1]) / run).alias("_run"))
+            scanned = src.withColumnRenamed("_b", "_day")
+            local = prior_scan(scanned, [*keys, "_day"], place, seq, {f"_l_{n}": (x.fn, F.col(f"_x_{n}")) for n, x in m.items()}).withColumnRenamed("_day", "_b")
+        else:
+            inside = cell.orderBy(*(seq or ["_t"])).rowsBetween(W.unboundedPreceding, -1)
+            local = src.select(
+                *df.columns, "_b", "_t", *[agg[x.fn](f"_x_{n}").over(inside).alias(f"_l_{n}") for n, x in m.items()]
+            )
     else:
         # a row comes once as itself (_e = 0) and once per window length as the
         # lower edge, shifted to the bucket where it is about to leave
@@ -251,7 +259,7 @@ def trailing_sums(
     return found.select(*[F.col(f"r.{c}") for c in df.columns], *[F.col(f"p._s_{n}").alias(n) for n in m])
 
 
-def decayed_mean(df, keys, ts, x, half_life, window, isolation="strict_time", seq=None, skip_null=True, name="mean"):
+def decayed_mean(df, keys, ts, x, half_life, window, isolation="strict_time", seq=None, skip_null=True, name="mean", run=None):
     """Decayed trailing mean of `x`, its weight and the number of rows behind it."""
     x = col(x)
     live = x.isNotNull() if skip_null else F.lit(True)
@@ -265,6 +273,7 @@ def decayed_mean(df, keys, ts, x, half_life, window, isolation="strict_time", se
         half_life=half_life,
         isolation=isolation,
         seq=seq,
+        run=run,
     )
     return out.select(
         *df.columns,

@@ -189,3 +189,22 @@ def test_decay_is_finite_for_any_date(spark, window, half_life):
             s, _, n = want[r.id]
             assert r.s is None or math.isfinite(r.s)
             assert abs((r.s or 0.0) - s) <= 1e-9 * max(1.0, abs(s)), (r.id, r.s, s)
+
+
+def test_a_busy_day_in_runs(spark):
+    """A third of all rows on one day of one key, cut into runs, gives what one ordered day gives; times of day come before ids."""
+    import random
+
+    from pitloom.operators.history import decayed_mean
+
+    r = random.Random(9)
+    rows = [("a", "2024-01-05 %02d:00:00" % r.randrange(3), i, float(r.randrange(100))) for i in range(400)]
+    rows += [(r.choice("abc"), "2024-01-%02d 00:00:00" % r.randrange(1, 20), 400 + i, float(r.randrange(100))) for i in range(800)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, t string, id long, x double").withColumn("t", F.to_timestamp("t"))
+    one = decayed_mean(df, ["k"], "t", "x", 5, 10, isolation="sequence", seq=["t", "id"])
+    cut = decayed_mean(df, ["k"], "t", "x", 5, 10, isolation="sequence", seq=["t", "id"], run=16)
+    want = {x.id: x for x in one.collect()}
+    got = {x.id: x for x in cut.collect()}
+    assert len(got) == len(rows) and max(df.filter("k = 'a' AND to_date(t) = '2024-01-05'").groupBy("t", F.floor(F.col("id") / 16)).count().select("count").collect())[0] <= 16
+    assert all(got[i].mean_n == x.mean_n and (x.mean is None) == (got[i].mean is None) and abs((x.mean or 0) - (got[i].mean or 0)) < 1e-9 for i, x in want.items())
