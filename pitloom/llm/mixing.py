@@ -113,7 +113,8 @@ def mix(
     exponent = find_exponent(shares, target_entropy, max_repeats, budget_share)
     power = F.when(F.col("tokens") > 0, F.pow("share", F.lit(exponent))).otherwise(0.0)
     norm = shares.agg(F.sum(power)).first()[0] or 1.0
-    budget = F.floor(power / F.lit(norm) * F.lit(budget_share * total))
+    # a budget that is a whole number but for the order of additions is that number
+    budget = F.floor(power / F.lit(norm) * F.lit(budget_share * total) + F.lit(1e-6))
     plan = shares.select("source", "tokens", (power / F.lit(norm)).alias("weight"), budget.alias("budget"))
     plan = plan.withColumn("passes", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(F.lit(1)))
     plan = plan.select("source", "weight", "passes", F.when(F.col("tokens") > 0, F.col("budget") - F.col("passes") * F.col("tokens")).otherwise(0).alias("rest"))

@@ -141,7 +141,7 @@ e(step, low, high) AS (
     SELECT source, tokens, n_blocks, exponent, CASE WHEN tokens > 0 THEN pow(share, exponent) ELSE 0 END AS power FROM s, x
 ), p AS (
     SELECT source, tokens, n_blocks, exponent, power / (SELECT sum(power) FROM w) AS weight,
-           floor(power / (SELECT sum(power) FROM w) * (SELECT sum(tokens) FROM s))::BIGINT AS budget FROM w
+           floor(power / (SELECT sum(power) FROM w) * (SELECT sum(tokens) FROM s) + 1e-6)::BIGINT AS budget FROM w
 ), q AS (
     SELECT source, n_blocks, exponent, weight, CASE WHEN tokens > 0 THEN budget // tokens ELSE 1 END AS passes,
            CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS rest FROM p
