@@ -1,9 +1,11 @@
 """Steps that must not grow faster than their input, on rows of their own."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from pitloom.operators import history, lookups
+from pitloom.operators import history, lookups, ranking, stores
 from pitloom.operators.reshape import ROLES, SIDES
 
 
@@ -40,3 +42,38 @@ def test_sequence_decay_of_a_long_silent_key(spark):
     assert got[1] == (pytest.approx((2.0 * 0.5 + 8.0) / 1.5), 2)
     assert got[2] == (pytest.approx(5.0), 2)
     assert got[3] == (None, 1)
+
+
+def test_grudges_are_listed_from_blocks_of_meetings(spark):
+    n = 150  # more meetings than a block holds
+    games = spark.createDataFrame([(i, i // 4, "a", "b") for i in range(n)], "gameid long, day long, blue_team string, red_team string")
+    banned = {i: 7 + i % 3 for i in range(0, n, 7)}
+    bans = spark.createDataFrame([(i, "a", "b", c) for i, c in banned.items()], "gameid long, team string, opponent string, champion_id long")
+    out = stores.grudge_store(games, bans)[0]
+    want = {(i, c): round(min(sum(x == c for j, x in banned.items() if j < i) / i, 1.0), 6) for i in range(1, n) for c in (7, 8, 9) if any(x == c for j, x in banned.items() if j < i)}
+    assert {(r.gameid, r.champion_id): r.rate for r in out.collect()} == want
+    text = plan(out)
+    assert text.index("filter(_met") < text.index("Join")  # what is listed goes into no join
+
+
+def test_filters_take_queries_with_their_candidates(spark):
+    rnd = random.Random(5)
+    pos = lambda: rnd.choice([[0.9, 0.1, 0.0, 0.0, 0.0], [0.0, 0.0, 0.0, 0.0, 0.0]]) if rnd.random() < 0.4 else [rnd.random() for _ in range(5)]
+    pri = spark.createDataFrame([(i, rnd.sample(p := pos(), len(p))) for i in range(7, 27)], "candidate_id long, pos array<double>")
+    lists = [(i, [rnd.randrange(7, 29) for _ in range(rnd.randrange(0, 6))]) for i in range(60)]
+    q = spark.createDataFrame(lists, "q int, ally array<long>").withColumn("enemy", F.reverse("ally"))
+    ids = spark.range(7, 29).withColumnRenamed("id", "candidate_id")
+    rows = q.crossJoin(ids)
+    facts = {"meta_wr": F.lit(0.5), "meta_presence": F.lit(0.1), "meta_ban": F.lit(0.3)}
+    key = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    assert key(ranking.filter_ban_conflicts(q, pri, candidates=ids)) == key(ranking.filter_ban_conflicts(rows, pri))
+    assert key(ranking.enrich(q, pri, candidates=ids, facts=facts)) == key(ranking.enrich(rows.withColumns(facts), pri))
+    kept = ranking.filter_pick_conflicts(q, pri, candidates=ids)
+    assert key(kept) == key(ranking.filter_pick_conflicts(rows, pri))
+    fits = {r.candidate_id: [i for i in range(5) if r.pos[i] >= 0.15] or list(range(5)) for r in pri.collect()}
+
+    def assignable(team, taken=()):
+        return not team or any(assignable(team[1:], (*taken, i)) for i in fits.get(team[0], range(5)) if i not in taken)
+
+    got = {(r.q, r.candidate_id) for r in kept.collect()}
+    assert got and all(assignable([*dict(lists)[i], c]) for i, c in got if dict(lists)[i])
