@@ -104,8 +104,10 @@ def template_fill(cores: DataFrame, stats: DataFrame, synergy: DataFrame, counte
     keys = stats.agg(F.array_sort(F.collect_set(F.struct("champion", "position"))).alias("a"))
     rows = cores.withColumns({"_home": home.scalar(), "_keys": keys.scalar()})
     taken = F.transform("core", lambda c: F.coalesce(F.try_element_at(F.col("_home"), c), F.lit("")))
-    open_ = F.filter("_keys", lambda k: ~F.array_contains("_taken", k["position"]) & ~F.array_contains("core", k["champion"]))
-    rows = rows.withColumn("_taken", taken).withColumn("_open", open_).select(*cores.columns, F.inline("_open"))
+    # unfolded first and filtered after: a filter inside the unfolded array would be worked out again for each row that a core was counted from
+    rows = rows.withColumn("_taken", taken).select(*cores.columns, "_taken", F.inline("_keys"))
+    used = [F.coalesce(F.array_contains(x, F.col(y)), F.lit(True)) for x, y in (("_taken", "position"), ("core", "champion"))]
+    rows = rows.filter(~used[0] & ~used[1]).drop("_taken")
     rows = rows.join(dim, ["champion", "position"])
 
     def add(m):
