@@ -94,3 +94,19 @@ def test_windowed_streams_and_log_sink(spark, sf_dir, tmp_path):
     counts = jobs.run_available(drift, str(tmp_path / "d"), str(tmp_path / "d-c"))
     assert counts.count() > 0 and counts.exceptAll(jobs.drift_stream(batch, base, ["value"], "timestamp", "7 days")).count() == 0
     assert all(r.psi >= 0 for r in jobs.drift_of(counts, base).collect())
+
+
+def test_state_is_asked_by_bucket(spark, tmp_path):
+    """Two thousand keys set no timer each; nulls, NaN and large ids come through."""
+    e = spark.range(6000).select(
+        (F.col("id") + (1 << 60) + 1).alias("event_id"), F.when(F.col("id") % 2000 != 7, F.col("id") % 2000).alias("user_id"), F.timestamp_seconds(F.floor(F.col("id") / 2000) + 9).alias("ts"),
+        F.when(F.col("id") == 3, float("nan")).when(F.col("id") != 4, 2.0).alias("value"),
+    )
+    made = jobs.entity_decay(_files(spark, e, str(tmp_path / "in"), [F.lit(True)]), "user_id", "ts", "event_id", "value", 1.0)
+    q = made.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    timers = [s.customMetrics.get("numRegisteredTimers", 0) for p in q.recentProgress for s in p.stateOperators]
+    assert 0 < max(timers) <= 256
+    got = {r.event_id - (1 << 60) - 1: (r.mean, r.n) for r in spark.read.parquet(str(tmp_path / "o")).collect()}
+    assert len(got) == 6000 and got[7] == (None, 0) and got[2007] == (2.0, 1) and got[2004] == (None, 0) and got[4004] == (2.0, 1)
+    assert got[2003][0] != got[2003][0] and got[2003][1] == 1
