@@ -419,19 +419,13 @@ def align_predictions(a: DataFrame, b: DataFrame, key: list[str], p: str = "p")
 
 def align_rankings(df: DataFrame, q: str, a: str, b: str, cand: str, k: int = 20, label: str | None = None) -> DataFrame:
     """Per query: rank correlation (average ranks), top-k overlap, same best, label ranks, verdict."""
-    w = W.partitionBy(q)
-
-    def avg_rank(c):
-        return F.rank().over(w.orderBy(c)) + (F.count("*").over(W.partitionBy(q, c)) - 1) / 2
-
-    r = df.withColumns(
-        {
-            "_ra": avg_rank(a),
-            "_rb": avg_rank(b),
-            "_pa": F.row_number().over(w.orderBy(F.col(a).desc(), cand)),
-            "_pb": F.row_number().over(w.orderBy(F.col(b).desc(), cand)),
-        }
-    )
+    r = df.select(q, a, b, cand, *([label] if label is not None and label not in (q, a, b, cand) else []))
+    # one sort for each score: ranks are taken downwards in the order of the positions, which leaves their correlation as it is
+    for c, rank, place in ((a, "_ra", "_pa"), (b, "_rb", "_pb")):
+        down = W.partitionBy(q).orderBy(F.col(c).desc())
+        r = r.withColumn(place, F.row_number().over(W.partitionBy(q).orderBy(F.col(c).desc(), cand)))
+        ties = F.count("*").over(down.rangeBetween(W.currentRow, W.currentRow))
+        r = r.withColumns({"_up": F.rank().over(down), "_ties": ties}).withColumn(rank, F.col("_up") + (F.col("_ties") - 1) / 2).drop("_up", "_ties")
     aggs = [
         F.corr("_ra", "_rb").alias("spearman"),
         F.count_if((F.col("_pa") <= k) & (F.col("_pb") <= k)).alias("overlap"),
