@@ -77,3 +77,60 @@ def test_filters_take_queries_with_their_candidates(spark):
 
     got = {(r.q, r.candidate_id) for r in kept.collect()}
     assert got and all(assignable([*dict(lists)[i], c]) for i, c in got if dict(lists)[i])
+
+
+def _sorts_and_joins(spark, df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum(" Sort [" in x or x.startswith("Sort [") for x in plan.splitlines()), [x for x in plan.splitlines() if "Join" in x]
+
+
+def test_rankings_are_sorted_once_a_score(spark):
+    from pitloom.operators.quality import align_rankings
+
+    rows = [(1, i, [0.5, 0.5, None, 0.1, 0.9][i % 5], float(i // 3), int(i == 4)) for i in range(12)]
+    df = spark.createDataFrame(rows, "q long, cand long, a double, b double, label int")
+    out = align_rankings(df, "q", "a", "b", "cand", 3, "label")
+    assert _sorts_and_joins(spark, out)[0] <= 3
+    got = out.first()
+    ra, rb = ([sorted(r[i] if r[i] is not None else -1.0 for r in rows) for i in (2, 3)])
+    import numpy as np
+
+    mean = lambda xs, v: np.mean([i for i, x in enumerate(xs) if x == v])
+    spearman = np.corrcoef([mean(ra, -1.0 if r[2] is None else r[2]) for r in rows], [mean(rb, r[3]) for r in rows])[0, 1]
+    assert abs(got.spearman - spearman) < 1e-9 and got.label_rank_a == 1 and got.depth == 3
+
+
+def test_items_of_games_meet_earlier_days_and_slots_before_they_are_unfolded(spark):
+    """The rows of every game and item join the sums of the runs only."""
+    from pitloom.operators.meta import meta_patch_weighted
+
+    games = spark.createDataFrame([(1, 10, "1.1"), (2, 10, "1.1"), (3, 11, "1.2"), (4, None, "1.1")], "gameid long, day int, patch string")
+    picks = games.crossJoin(spark.createDataFrame([("a", 1), ("b", 0), (None, 1)], "champion string, result int"))
+    bans = games.crossJoin(spark.createDataFrame([("c",)], "champion string"))
+    out = meta_patch_weighted(picks, bans, games)
+    assert not [x for x in _sorts_and_joins(spark, out)[1] if "coalesce(champion" in x]
+    got = {(r.gameid, r.champion): (r.meta_pick_rate_pit, r.meta_win_rate_pit) for r in out.collect()}
+    assert set(got) == {(g, c) for g in (2, 3) for c in "abc"}
+    assert got[2, "a"] == (1.0, 2 / 3) and got[2, "c"] == (0.0, 0.5)
+    assert abs(got[3, "b"][0] - 1.0) < 1e-9
+
+
+def test_pick_shares_of_players_with_games_of_no_day(spark):
+    from pitloom.operators.entity import pick_distribution
+
+    rows = [("p", 1, 5, "a"), ("p", 2, 5, "b"), ("p", 3, 6, "a"), ("p", 4, 99, "b"), ("p", 5, None, "a"), ("p", 6, None, "a"), ("p", 7, 100, None), ("p", 8, 101, "c")]
+    h = spark.createDataFrame(rows, "player_id string, gameid long, day int, champion string")
+    got = {}
+    for r in pick_distribution(h, 90, 2).orderBy("gameid", "rank").collect():
+        got.setdefault(r.gameid, []).append((r.pick_dist_champion, r.pick_dist_pct))
+    assert got == {2: [("a", 1.0)], 3: [("a", 0.5), ("b", 0.5)], 7: [("b", 1.0)], 8: [("b", 0.5), (None, 0.5)]}
+
+
+def test_hot_streak_when_the_best_falls(spark):
+    from pitloom.operators.stores import hot_streak_store
+
+    rows = [("p", i, i, c, w, 3, 1, 2) for i, (c, w) in enumerate([("a", 1), ("a", 1), ("b", 1), ("b", 0), ("a", 0), ("a", 0), ("a", 0), ("b", 1), ("b", 1)])]
+    h = spark.createDataFrame(rows, "player_id string, gameid long, day int, champion string, result int, kills int, deaths int, assists int")
+    v = spark.createDataFrame([("a", 7), ("b", 8)], "champion string, idx long")
+    got = {r.gameid: (r.hot_champion_id, round(r.hot_win_rate, 4)) for r in hot_streak_store(h, v)[0].collect()}
+    assert got == {2: (7, 1.0), 3: (7, 1.0), 4: (7, 1.0), 5: (7, 0.6667), 6: (7, 0.5), 7: (8, 0.5), 8: (8, 0.6667)}
