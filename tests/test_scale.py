@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pitloom.operators import history, lookups, ranking, stores
+from pitloom.operators import derive, draft, entity, history, lookups, ranking, stores
+from pitloom.plans import pipelines
 from pitloom.operators.reshape import ROLES, SIDES
 
 
@@ -134,3 +135,26 @@ def test_hot_streak_when_the_best_falls(spark):
     v = spark.createDataFrame([("a", 7), ("b", 8)], "champion string, idx long")
     got = {r.gameid: (r.hot_champion_id, round(r.hot_win_rate, 4)) for r in hot_streak_store(h, v)[0].collect()}
     assert got == {2: (7, 1.0), 3: (7, 1.0), 4: (7, 1.0), 5: (7, 0.6667), 6: (7, 0.5), 7: (8, 0.5), 8: (8, 0.6667)}
+
+
+def test_limited_windows_are_no_sliding_frames(spark):
+    rng = random.Random(3)
+    rows = [(k, rng.randrange(60), float(rng.randrange(9))) for k in (1, 2, None) for _ in range(80)] + [(1, None, 2.0)]
+    df = spark.createDataFrame(rows, "k int, d int, x double").select("*", F.timestamp_seconds(F.col("d").cast("long") * 86_400).alias("ts"))
+    out = history.trailing_sums(df, ["k"], "ts", {"s": history.Measure(F.col("x"), None, 7), "w": history.Measure(F.col("x"), 3.0, 7), "l": history.Measure(F.col("x"), 3.0, 20)})
+    for r in out.filter("k = 1 and d is not null").collect():
+        def want(life, span):
+            v = [x * (2 ** (-(r.d - d) / life) if life else 1) for k, d, x in rows if k == 1 and d is not None and r.d - span <= d < r.d]
+            return pytest.approx(sum(v)) if v else None
+
+        assert (r.s, r.w, r.l) == (want(None, 7), want(3.0, 7), want(3.0, 20))
+    text = plan(out)
+    assert "specifiedwindowframe(RangeFrame, -6" not in text and "specifiedwindowframe(RangeFrame, -19" not in text
+
+
+def test_a_pool_is_unfolded_by_all_tasks(spark):
+    df = spark.createDataFrame([("p", day, None) for day in range(64)], "player_id string, date int, champion string")
+    pool = spark.createDataFrame([("p", "a"), ("p", "b"), ("p", "a"), ("q", "c")], "player_id string, champion string")
+    out = entity.dense_rows(df, "player_id", "champion", pool, 4)
+    assert out.count() == 128
+    assert len({r.t for r in out.select(F.spark_partition_id().alias("t")).collect()}) == 4
