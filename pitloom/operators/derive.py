@@ -181,14 +181,19 @@ FAMILIES = {
 
 def derive_features(df: DataFrame, tags: DataFrame | None = None, families: list[str] | None = None) -> DataFrame:
     """All derived columns of a wide match row, in dependency order."""
-    out = df
-    for name, fn in FAMILIES.items():
-        if families is not None and name not in families:
-            continue
-        if name == "style_interactions" and tags is not None:
-            out = composition(out, tags)
-        out = fn(out)
-    return out
+    wanted = [n for n in FAMILIES if families is None or n in families]
+    # the join comes before the columns that need no join, so that they are not shuffled
+    out, comp = df, []
+    if "style_interactions" in wanted and tags is not None:
+        out = composition(df, tags)
+        comp = [c for c in out.columns if c not in df.columns]
+    order = [c for c in out.columns if c not in comp]
+    for name in wanted:
+        if name == "style_interactions":
+            order += comp
+        out = FAMILIES[name](out)
+        order += [c for c in out.columns if c not in order and c not in comp]
+    return out.select(*order)
 
 
 def rookie_fill(df: DataFrame, team: list[str], unknown: str, penalty: dict, default: dict) -> DataFrame:

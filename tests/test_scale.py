@@ -158,3 +158,20 @@ def test_a_pool_is_unfolded_by_all_tasks(spark):
     out = entity.dense_rows(df, "player_id", "champion", pool, 4)
     assert out.count() == 128
     assert len({r.t for r in out.select(F.spark_partition_id().alias("t")).collect()}) == 4
+
+
+def test_composition_is_joined_before_the_differences(spark):
+    n = [f"{s}_{p}" for s in SIDES for p in ROLES]
+    df = spark.createDataFrame([(1,), (2,), (2,), (None,)], "gameid long")
+    df = df.select("gameid", *[F.lit(f"C{i}").alias(f"{x}_champion") for i, x in enumerate(n)], *[F.lit(i * 1.5).alias(f"{x}_mastery_score") for i, x in enumerate(n)])
+    tags = spark.createDataFrame([("C0", 3, None), ("C5", 2, 4)], "champion string, engage int, poke int")
+    tags = tags.select("*", *[F.lit(1).alias(t) for t in derive.TAGS if t not in ("engage", "poke")])
+    out = derive.derive_features(df, tags)
+    rows = out.collect()
+    assert sorted(r.gameid for r in rows) == [1, 2, 2]
+    one = next(r for r in rows if r.gameid == 1)
+    assert (one.blue_comp_engage_sum, one.red_comp_poke_sum, one.diff_top_mastery_score) == (7.0, 8.0, -7.5)
+    names = out.columns
+    assert names.index("diff_team_wr_balance") < names.index("blue_comp_engage_sum") < names.index("blue_bloodiness_x_aggression")
+    under = plan(out).split("SortMergeJoin")[-1]
+    assert "diff_top_mastery_score" not in under  # what needs no join is not shuffled
