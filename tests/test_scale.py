@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pitloom.operators import derive, draft, entity, history, lookups, ranking, stores
+from pitloom.operators import derive, entity, history, lookups, ranking, stores
 from pitloom.plans import pipelines
 from pitloom.operators.reshape import ROLES, SIDES
 
@@ -175,3 +175,9 @@ def test_composition_is_joined_before_the_differences(spark):
     assert names.index("diff_team_wr_balance") < names.index("blue_comp_engage_sum") < names.index("blue_bloodiness_x_aggression")
     under = plan(out).split("SortMergeJoin")[-1]
     assert "diff_top_mastery_score" not in under  # what needs no join is not shuffled
+
+
+def test_stores_may_rest_on_written_ones(spark, tmp_path):
+    frames = {"a": spark.range(3), "b": lambda written: written["a"].filter("id > 0")}
+    out = pipelines.write_stores(frames, str(tmp_path))
+    assert out["b"].count() == 2 and "a" in frames["b"](out).inputFiles()[0].split("/")
