@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pitloom.operators import derive, entity, history, lookups, ranking, stores
+from pitloom.operators import candidates, derive, entity, history, lookups, ranking, stores
 from pitloom.plans import pipelines
 from pitloom.operators.reshape import ROLES, SIDES
 
@@ -181,3 +181,78 @@ def test_stores_may_rest_on_written_ones(spark, tmp_path):
     frames = {"a": spark.range(3), "b": lambda written: written["a"].filter("id > 0")}
     out = pipelines.write_stores(frames, str(tmp_path))
     assert out["b"].count() == 2 and "a" in frames["b"](out).inputFiles()[0].split("/")
+
+
+def test_candidates_are_made_from_one_row_per_lineup(spark):
+    rnd = random.Random(11)
+    ids = list(range(5, 15))  # 5 and 6 are no champions
+    pos = {i: rnd.choice([[0.9, 0.1, 0.0, 0.0, 0.0], [0.2, 0.2, 0.3, 0.2, 0.1], [0.0, 0.0, 0.0, 0.1, 0.9]]) for i in ids}
+    syn = {i: {j: round(rnd.random(), 3) for j in ids if rnd.random() < 0.5} for i in ids}
+    ctr = {i: {j: rnd.choice([0.4, 0.7, None]) for j in [*ids, 99] if rnd.random() < 0.5} for i in ids}
+    dim = spark.createDataFrame([(i, pos[i], syn[i] or None, ctr[i]) for i in ids], "candidate_id long, pos array<double>, syn map<long,double>, ctr map<long,double>")
+    vocab = spark.createDataFrame([(f"C{i}", i) for i in ids], "champion string, idx long")
+    a, b = [f"a{i}" for i in range(5)], ["b0", "b1", None, "b3", "b4"]
+    teams = [(1, "x", "y", a, b, "C7| C8|?"), (1, "y", "x", b, a, "C7| C8|?"), (2, "x", "y", a, b, None), (None, "x", "y", a, b, "C9")]
+    q = []
+    for g, team, opp, ally, enemy, prev in teams:
+        for step in range(4):
+            drawn = rnd.sample([*ids[2:], 99], 4)
+            used = None if step == 3 else [*drawn, None] if step == 2 else drawn
+            q.append((len(q), g, team, opp, drawn[:step], drawn[step:], used, step % 2, step, 1, ally, enemy, prev, rnd.choice(ids)))
+    names = "query_id gameid team opponent ally enemy unavailable is_pick ban_step is_red_side ally_pids enemy_pids prev_game_champs label".split()
+    kinds = "long long string string array<long> array<long> array<long> int int int array<string> array<string> string long".split()
+    queries = spark.createDataFrame(q, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
+    num = lambda: rnd.choice([None, round(rnd.uniform(0, 9), 2)])
+    meta = [(g, c, *[num() for _ in range(4)]) for g in (1, 2, None) for c in ids[::2]]
+    play = [(g, p, c, *[num() for _ in range(7)]) for g in (1, 2) for p in (*a[:3], "b0", "b4", None) for c in rnd.sample(ids, 4)]
+    grudge = [(1, "x", "y", 8, 0.25), (1, "y", "x", 9, None), (2, "x", "y", 8, 0.5), (2, None, "y", 9, 0.5)]
+    resp, hot = [(1, "b0", 8, 0.5), (1, "b4", 8, 0.75), (1, None, 9, 0.9), (1, "a1", 10, None)], [(1, "a0", 11, 0.5), (2, "b1", None, 0.5)]
+    frame = lambda rows, head, cols: spark.createDataFrame(rows, head + ", " + ", ".join(f"{c} double" for c in cols))
+    threat = lambda rows: spark.createDataFrame(rows, "gameid long, player_id string, champion_id long, value double")
+    tables = (
+        frame(meta, "gameid long, champion_id long", candidates.META),
+        frame(play, "gameid long, player_id string, champion_id long", candidates.PLAYER),
+        frame(grudge, "gameid long, team string, opponent string, champion_id long", ["rate"]),
+    )
+    metas, plays = {x[:2]: x[2:] for x in meta}, {x[:3]: x[3:] for x in play if x[1]}  # no name, no row
+    for mode in ("train", "serve"):
+        out = candidates.candidate_features(queries, dim, *tables, threat(resp), threat(hot), vocab, mode)
+        text = plan(out)
+        assert "Generate" not in text and "Broadcast" not in text  # the product is neither unfolded from nor joined to a row per query
+        got = {(r.query_id, r.candidate_id): r for r in out.collect()}
+        assert len(got) == len(ids) * sum(x[1] is not None for x in q)
+        occ = lambda team, i: sum(pos[c][i] for c in team if c in pos)
+        clip = lambda x: min(max(x, 0.0), 1.0)
+        val = lambda x, d: d if x is None else x
+        for n, g, team, opp, ally, enemy, used, pick, ban, red, mine, their, prev, label in q:
+            if g is None:
+                continue
+            banned = [int(x.strip()[1:]) for x in (prev or "").split("|") if x.strip()[1:].isdigit()]
+            am = [clip((1.2 if mode == "serve" else 1.0) - occ(ally, i)) for i in range(5)]
+            em = [clip(1.0 - occ(enemy, i)) for i in range(5)]
+            pairs = lambda m, side, c, f=lambda x: x: max((f(val(m[c].get(x), 0.5)) for x in side), default=0.0)
+            stat = lambda p, c, k: val(plays.get((g, p, c), [None] * 7)[k], candidates.PLAYER_DEFAULT[k])
+            for c in ids:
+                r = got[n, c]
+                want = dict(zip(candidates.META, (val(x, d) for x, d in zip(metas.get((g, c), [None] * 4), candidates.META_DEFAULT))))
+                want |= {name: max(stat(p, c, k) * m for p, m in zip(mine, am)) for k, name in enumerate(candidates.PLAYER)}
+                them = [stat(p, c, 0) * m for p, m in zip(their, em)]
+                flip = lambda x: 1 - x
+                want |= {"ally_synergy": pairs(syn, ally, c), "enemy_synergy": pairs(syn, enemy, c), "enemy_counter": pairs(ctr, enemy, c, flip), "ally_counter": pairs(ctr, ally, c, flip)}
+                want |= {"enemy_mastery_max": max(them), "enemy_mastery_mean": sum(them) / 5, "n_ally_picked": len(ally), "is_pick": pick, "ban_step": ban, "is_red_side": red}
+                want |= {"last_ally_synergy": val(syn[c].get(ally[-1]), 0.5) if ally else 0.5, "is_fearless_banned": float(c in banned)}
+                want["grudge"] = val({x[:4]: x[4] for x in grudge}.get((g, team, opp, c)), 0.0)
+                for name, rows in (("respect", resp), ("hot_streak", hot)):
+                    want[name] = max((v for i, p, x, v in rows if i == g and x == c and v is not None and p in their and p is not None), default=0.0)
+                if mode == "train":
+                    want |= {"ally_role_fit": sum(p * m for p, m in zip(pos[c], am)), "enemy_role_fit": sum(p * m for p, m in zip(pos[c], em))}
+                else:
+                    best = max(pos[c])
+                    at, hard = pos[c].index(best), best >= candidates.HARD
+                    fit = lambda o: 0.0 if hard and o >= candidates.HARD else max(0.0, (1.0 if hard else 1.2) - o)
+                    want |= {"ally_role_fit": fit(occ(ally, at)), "enemy_role_fit": fit(occ(enemy, at))}
+                want |= {f"pos_{p}": x for p, x in zip(ROLES, pos[c])}
+                assert {k: getattr(r, k) for k in candidates.CANDIDATE_COLUMNS} == pytest.approx(want), (mode, n, c)
+                free = None if c >= 7 and c not in banned and (used is None or (None in used and c not in used)) else int(c >= 7 and c not in banned and c not in used)
+                assert r.mask == (1 if mode == "train" and c == label else free), (mode, n, c)
+                assert r.gameid == g and r.label == label
