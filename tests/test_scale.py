@@ -256,3 +256,72 @@ def test_candidates_are_made_from_one_row_per_lineup(spark):
                 free = None if c >= 7 and c not in banned and (used is None or (None in used and c not in used)) else int(c >= 7 and c not in banned and c not in used)
                 assert r.mask == (1 if mode == "train" and c == label else free), (mode, n, c)
                 assert r.gameid == g and r.label == label
+
+
+@pytest.mark.parametrize("half_life", [5.0, 0.004])
+def test_pool_sums_are_made_by_columns(spark, half_life):
+    """Several spans of a window, times of one instant, nulls, and decays whose weights no double spans at once."""
+    import math
+
+    day, rnd = 86_400.0, random.Random(3)
+    rows = []
+    for i in range(160):
+        at = rnd.choice([rnd.uniform(0, 40), rnd.randrange(41), 20 + rnd.random() / 50])
+        rows.append((i, rnd.choice(["p", "q", None]), round(at * 1e3) / 1e3 * day, rnd.choice(["a", "b", "c", None]), rnd.choice([0, 1, None]), rnd.randrange(9), rnd.choice([0, 1, 4]), rnd.randrange(9)))
+    h = spark.createDataFrame(rows, "gameid long, player_id string, s double, champion string, result int, kills int, deaths int, assists int")
+    h = h.withColumn("date", F.timestamp_micros((F.col("s") * 1_000_000).cast("long"))).drop("s")
+    prior = spark.createDataFrame([("p", "a", 4.0, 3.0), ("p", "z", 2.0, 1.0), ("x", "a", 1.0, 1.0)], "player_id string, champion string, base_g double, base_w double")
+    out = entity.player_store(h, prior, half_life=half_life, window=7, mastery_half_life=9)
+    assert "MapInArrow" in plan(out)  # the product of times and pool goes into no window
+    base = {("p", "a"): (4.0, 3.0), ("p", "z"): (2.0, 1.0)}
+    want = {}
+    pools = {"p": {"z"}, "q": set()}
+    for r in rows:
+        if r[1] and r[3]:
+            pools[r[1]].add(r[3])
+    pools["p"].add("a")
+
+    def sums(p, c, t, life, window):
+        s = [0.0, 0.0, 0.0, 0.0]
+        n = 0
+        for _, q, at, x, res, k, d, a in rows:
+            if (q, x) == (p, c) and at < t and (window is None or at >= t - window * day):
+                w = math.exp(-math.log(2) / life * (t - at) / day)
+                s = [s[0] + w, s[1] + w * (res or 0), s[2] + w * (k + a), s[3] + w * d]
+                n += 1
+        return *s, n, [res for _, q, at, x, res, *_ in rows if (q, x) == (p, c) and at < t and (window is None or at >= t - window * day) and res is not None]
+
+    for g, p, t, own, *_ in rows:
+        for c in pools.get(p, ()):
+            w, wr, ka, d, n, known = sums(p, c, t, half_life, 7)
+            far = n and w < 1e-200  # weights that no double holds
+            faint = far or 0 < d < 1e-200
+            recent = (n, None if not n or not known or far else wr / w, None if not n or faint else ka / d if d > 0 else ka)
+            w, wr, ka, d, n, known = sums(p, c, t, 9, None)
+            bg, bw = base.get((p, c), (0.0, 0.0))
+            rate = bw / bg if bg else 0.5
+            if n and not known:
+                score = None
+            else:
+                kda = 3.0 if not n else ka / d if d > 0 else ka
+                score = ((wr + 3 * rate) / (w + 3) if n else rate) * 50 + min(math.log1p(bg + n) / math.log1p(50), 1) * 30 + min(kda, 8) / 8 * 20
+            want[g, c] = (*recent, score, far, faint, None if own is None else own == c)
+    got = {(r.gameid, r.champion): r for r in out.collect()}
+    assert got.keys() == want.keys() and len(got) > 300
+    for at, (n, wr, kda, score, far, faint, played) in want.items():
+        r = got[at]
+        assert (r.player_recent_games_90d, r.played) == (n, played), at
+        assert r.mastery_score == (None if score is None else pytest.approx(score, rel=1e-9)), at
+        if not far:
+            assert r.player_recent_wr_90d == (None if wr is None else pytest.approx(wr, rel=1e-7)), at
+        if not faint:
+            assert r.player_recent_kda_90d == (None if kda is None else pytest.approx(kda, rel=1e-7)), at
+
+
+def test_lineups_meet_their_tags_beside_the_wide_rows(spark):
+    games = slots_game(spark, [1, 2, 2])
+    tags = spark.createDataFrame([("blue_top_1", *range(7))], "champion string, " + ", ".join(f"{t} int" for t in derive.TAGS))
+    wide = games.join(games.groupBy("gameid").agg(F.count("*").alias("n")), "gameid")
+    a, b = (derive.derive_features(wide, tags, lineups=x) for x in (None, games))
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert plan(b).count("SortMergeJoin") + plan(b).count("HashJoin") < plan(a).count("SortMergeJoin") + plan(a).count("HashJoin")
