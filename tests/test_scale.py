@@ -325,3 +325,38 @@ def test_lineups_meet_their_tags_beside_the_wide_rows(spark):
     a, b = (derive.derive_features(wide, tags, lineups=x) for x in (None, games))
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
     assert plan(b).count("SortMergeJoin") + plan(b).count("HashJoin") < plan(a).count("SortMergeJoin") + plan(a).count("HashJoin")
+
+
+def test_items_of_a_day_are_made_where_they_are_emitted(spark, monkeypatch):
+    import math
+
+    from pitloom.operators import meta
+
+    monkeypatch.setattr(meta, "_GAMES", 3)  # several blocks in a cell
+    rnd = random.Random(4)
+    g = [(i, rnd.choice([0, 0, 1, 3, None]), rnd.choice(["14.1", "14.2", "beta"])) for i in range(40)]
+    picks = [(i, d, p, rnd.choice(["a", "b", "c", None]), rnd.choice([0, 1, None])) for i, d, p in g for _ in range(2)] + [(None, 1, "14.1", "b", 1)]
+    bans = [(i, d, p, rnd.choice(["a", "d"])) for i, d, p in g if i % 3]
+    df = lambda rows, more="": spark.createDataFrame(rows, f"gameid long, day int, patch string{more}")
+    idx = {"14.1": 14 * 24 + 1, "14.2": 14 * 24 + 2, "beta": 0}
+    pen = lambda p, q: max(math.exp(-0.5 * abs(idx[p] - idx[q])), 0.1)
+    ev = [(i, d, p, c, (1, w or 0, 0)) for i, d, p, c, w in picks] + [(i, d, p, c, (0, 0, 1)) for i, d, p, c in bans]
+    want = {}
+    for i, d, p in g:
+        if d is None:
+            continue
+        age = lambda day: math.exp(-math.log(2) / 7 * (d - day))
+        earlier = lambda j, day: day is not None and (day < d or (day == d and (j is None or j < i)))
+        slots = max(sum(pen(q, p) * age(day) for j, day, q in g if earlier(j, day)), 1.0)
+        for c in "abcd":
+            mine = [(pen(q, p) * age(day), x) for j, day, q, name, x in ev if name == c and earlier(j, day)]
+            if mine:
+                a, w, b = (sum(f * x[k] for f, x in mine) for k in range(3))
+                want[i, c] = (a / slots, b / slots, (a + b) / slots, (w + 1) / (a + 2))
+    for sub in (None, F.floor(F.col("gameid") / 8)):
+        out = meta.meta_patch_weighted(df(picks, ", champion string, result int"), df(bans, ", champion string"), df(g), sub_bucket=sub)
+        got = {(r.gameid, r.champion): tuple(r)[3:] for r in out.collect()}
+        assert got.keys() == want.keys()
+        for k, x in want.items():
+            assert got[k] == pytest.approx(x, rel=1e-9), (sub, k)
+        assert "MapInArrow" in plan(out)  # no row for a game and an item before the sweep
