@@ -57,6 +57,15 @@ def test_grudges_are_listed_from_blocks_of_meetings(spark):
     assert text.index("filter(_met") < text.index("Join")  # what is listed goes into no join
 
 
+def test_rows_of_grudge_scans_are_sent_once(spark):
+    games = spark.createDataFrame([(1, 1, "a", "b"), (2, 2, "a", "b"), (3, 3, None, "b"), (4, 4, "b", "a")], "gameid long, day long, blue_team string, red_team string")
+    bans = spark.createDataFrame([(1, "a", "b", None), (1, "b", "a", 7), (2, "a", "b", 7), (3, None, "b", 7)], "gameid long, team string, opponent string, champion_id long")
+    out = stores.grudge_store(games, bans)[0]
+    got = {(r.gameid, r.team, r.champion_id): r.rate for r in out.collect()}
+    assert got == {(2, "a", None): 1.0, (4, "a", None): 0.5, (4, "a", 7): 0.5, (2, "b", 7): 1.0, (4, "b", 7): 0.5}
+    assert "<=>" not in plan(out) and "isnull(champion_id" not in plan(out)  # no join of a scan that tells nulls apart, for which its rows are sent again
+
+
 def test_filters_take_queries_with_their_candidates(spark):
     rnd = random.Random(5)
     pos = lambda: rnd.choice([[0.9, 0.1, 0.0, 0.0, 0.0], [0.0, 0.0, 0.0, 0.0, 0.0]]) if rnd.random() < 0.4 else [rnd.random() for _ in range(5)]
